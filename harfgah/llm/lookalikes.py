@@ -24,7 +24,7 @@ def consistent(texts: list[str | None]) -> list[str | None]:
     whole-script look-alikes gets the one script that can spell it, then the project's normal form, and one blank for
     any blank space. Non-joiners between letters, case, accents and punctuation stay.
     """
-    c = Codes(SEP.join([t.replace(SEP, " ") if t else "" for t in texts])).nfkc(INVISIBLE).resolved()
+    c = Codes(f" {SEP} ".join([t.replace(SEP, " ") if t else "" for t in texts])).nfkc(INVISIBLE).resolved()
     c = c.mapped({k: v for k, v in DISPLAY.pairs().items() if k in c.chars})
     s = Codes(tidy_zwnj(c.s)).joined("NFC").s
     return [None if t is None else " ".join(x.split()) for t, x in zip(texts, s.split(SEP), strict=True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 # Persian letter or letters, Latin spellings from the commonest, where in a word it may stand, weight.
 ANYWHERE = ("initial", "medial", "final")
 INNER = ("medial", "final")
@@ -139,6 +141,7 @@ TYPED_VOWELS = {"a": "Aa", "aa": "A", "e": "e", "o": "o", "i": "i", "ee": "i", "
 ANY_VOWEL = "aeoAiu"
 
 
+@cache
 def latin_units() -> list[str]:
     """Latin spellings of the correspondences and the letters, longest first."""
     units = {s for _, spellings, *_ in CORRESPONDENCES for s in spellings if s} | set("abcdefghijklmnopqrstuvwxyz'")
@@ -146,6 +149,7 @@ def latin_units() -> list[str]:
     return sorted(units, key=lambda u: (-len(u), u))
 
 
+@cache
 def reverse_index() -> dict[tuple[str, str], list[tuple[str, float, bool]]]:
     """(unit, position) to Persian spellings with weight and whether the unit is their first spelling, heaviest first.
 

@@ -1,0 +1,151 @@
+"""Compact byte forms of word lists, frequencies, pairs and vowels; every reader refuses cut-off bytes.
+
+Word list: number of letters, two bytes for each letter, four bytes of count, then for each word in order one byte for
+what it shares with the word before it, a byte for each further letter, and 255. All numbers are little-endian.
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+END = 0xFF
+
+
+class Truncated(ValueError):
+    pass
+
+
+def words_to_bytes(words: Iterable[str]) -> bytes:
+    ordered = sorted(set(words))
+    letters = sorted(set("".join(ordered)))
+    if len(letters) > 254 or any(ord(c) > 0xFFFF for c in letters):
+        raise ValueError("too many different letters, or one beyond the basic plane")
+    code = {c: i for i, c in enumerate(letters)}
+    out = bytearray([len(letters)])
+    out += b"".join(struct.pack("<H", ord(c)) for c in letters) + struct.pack("<I", len(ordered))
+    before = ""
+    for w in ordered:
+        same = next((i for i, (a, b) in enumerate(zip(w, before, strict=False)) if a != b), min(len(w), len(before)))
+        same = min(same, 255)
+        out += bytes([same, *(code[c] for c in w[same:]), END])
+        before = w
+    return bytes(out)
+
+
+def words_from_bytes(data: bytes, at: int = 0) -> tuple[list[str], int]:
+    """The words, and where they end."""
+    try:
+        n = data[at]
+        letters = [chr(x) for x in struct.unpack_from(f"<{n}H", data, at + 1)]
+        (count,) = struct.unpack_from("<I", data, at + 1 + 2 * n)
+        at += 5 + 2 * n
+        out, word = [], ""
+        for _ in range(count):
+            stop = data.index(END, at + 1)
+            word = word[: data[at]] + "".join(letters[b] for b in data[at + 1 : stop])
+            out.append(word)
+            at = stop + 1
+    except (IndexError, ValueError, struct.error) as e:
+        raise Truncated("the word list is cut off") from e
+    return out, at
+
+
+def varint(n: int) -> bytes:
+    """Seven bits a byte, the least first; the top bit says that more follow."""
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def from_varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        if at >= len(data):
+            raise Truncated("a number is cut off")
+        if shift > 35:
+            raise ValueError("a number is too long")
+        value |= (data[at] & 0x7F) << shift
+        at += 1
+        if data[at - 1] < 0x80:
+            return value, at
+        shift += 7
+
+
+def frequencies_to_bytes(scores: dict[str, int]) -> bytes:
+    return words_to_bytes(scores) + bytes(scores[w] for w in sorted(scores))
+
+
+def frequencies_from_bytes(data: bytes) -> dict[str, float]:
+    words, at = words_from_bytes(data)
+    if len(data) - at < len(words):
+        raise Truncated("scores are missing")
+    return {w: data[at + i] / 255 for i, w in enumerate(words)}
+
+
+def pairs_to_bytes(pairs: dict[tuple[str, str], int]) -> bytes:
+    """Of each head its tails as differences of places, then all scores in that order."""
+    words = sorted({w for pair in pairs for w in pair})
+    place = {w: i for i, w in enumerate(words)}
+    tails: dict[str, list[str]] = {w: [] for w in words}
+    for head, tail in sorted(pairs):
+        tails[head].append(tail)
+    ids, scores = bytearray(), bytearray()
+    for w in words:
+        ids += varint(len(tails[w]))
+        last = 0
+        for t in tails[w]:
+            ids += varint(place[t] - last)
+            last = place[t]
+            scores.append(pairs[w, t])
+    return words_to_bytes(words) + struct.pack("<I", len(pairs)) + bytes(ids) + bytes(scores)
+
+
+def pairs_from_bytes(data: bytes) -> dict[tuple[str, str], float]:
+    words, at = words_from_bytes(data)
+    if len(data) - at < 4:
+        raise Truncated("the number of pairs is missing")
+    (n,) = struct.unpack_from("<I", data, at)
+    at += 4
+    found: list[tuple[str, str]] = []
+    for w in words:
+        count, at = from_varint(data, at)
+        last = 0
+        for _ in range(count):
+            step, at = from_varint(data, at)
+            last += step
+            if last >= len(words):
+                raise ValueError(f"a pair names word {last} of {len(words)}")
+            found.append((w, words[last]))
+    if len(data) - at < n or len(found) != n:
+        raise Truncated("scores are missing")
+    return {pair: data[at + i] / 255 for i, pair in enumerate(found)}
+
+
+def vowels_to_bytes(vowels: dict[str, str]) -> bytes:
+    return words_to_bytes(vowels) + b"".join(vowels[w].encode("ascii") + b"\n" for w in sorted(vowels))
+
+
+def vowels_from_bytes(data: bytes) -> dict[str, str]:
+    words, at = words_from_bytes(data)
+    lines = data[at:].split(b"\n")
+    if len(lines) <= len(words):
+        raise Truncated("vowels are missing")
+    return dict(zip(words, (x.decode("ascii") for x in lines), strict=False))
+
+
+def decoded_words(artifacts: DataFrame, name: str, data: str) -> DataFrame:
+    """name, place, word of every word list in a column of bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, i, w) for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if b is not None for i, w in enumerate(words_from_bytes(b)[0])]
+            yield pa.RecordBatch.from_pydict({"name": pa.array([r[0] for r in rows], pa.string()), "place": pa.array([r[1] for r in rows], pa.int32()), "word": pa.array([r[2] for r in rows], pa.string())})
+
+    return artifacts.select(F.col(name).cast("string").alias("name"), F.col(data).alias("data")).mapInArrow(work, "name string, place int, word string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key with fewer rows than this is never split.
 LEAST_HOT = 50_000
@@ -19,7 +20,8 @@ def hot_keys(counts: DataFrame, on: list[str], n: str = "n", least: int = LEAST_
     total = counts.agg(F.sum(n)).first()[0] or 0
     limit = max(least, total // MOST_HOT)
     rows = counts.where(F.col(n) > limit).select(*on, F.ceil(F.col(n) / limit).cast("int").alias("_salts")).collect()
-    return counts.sparkSession.createDataFrame(rows, counts.select(*on).schema.add("_salts", "int")) if rows else None
+    schema = T.StructType([*(counts.schema[k] for k in on), T.StructField("_salts", T.IntegerType())])
+    return counts.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:

@@ -44,3 +44,10 @@ def found_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.
 def runs_of(first: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """All runs of k words inside texts that have size words from first: the text of each, and where it starts."""
     return expand(first, np.maximum(size - k + 1, 0))
+
+
+def result_names(eval_key: str, key: str, carry: tuple[str, ...], own: list[str]) -> dict[str, str]:
+    """Names of the result: the evaluation's key gets the prefix eval_ if it is the corpus's too, carried columns corpus_ where they would clash."""
+    first = f"eval_{eval_key}" if eval_key == key else eval_key
+    taken = {first, key, *own}
+    return {"eval_key": first, "key": key, **{f"carry_{i}": f"corpus_{c}" if c in taken else c for i, c in enumerate(carry)}}

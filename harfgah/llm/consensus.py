@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from harfgah.session import cut, under
 #: Judges whose messages are broadcast to the edges; beyond it they are joined by a shuffle.
 BROADCAST_JUDGES = 100_000
 ROUNDS, TOLERANCE = 20, 1e-3
+#: Log odds per unit of the first share of accepts above a half.
+FIRST = 6.0
 
 
 def verdict(c: Column) -> Column:
@@ -48,77 +51,118 @@ def probability(c: Column) -> Column:
     return 1 / (1 + F.exp(-clipped(c)))
 
 
+def _judge_rows(state: DataFrame) -> DataFrame:
+    """Per judge and kind: votes, and what the beliefs say of them; and the kind's share of accepted items, each item once."""
+    p, up = probability(F.col("belief")), F.col("up")
+    return state.groupBy("judge", "kind").agg(
+        F.count("*").alias("n"),
+        F.sum(p).alias("accepted"),
+        F.sum(p * up).alias("both_up"),
+        F.sum((1 - p) * (1 - up)).alias("both_down"),
+        F.sum(p / F.col("votes")).alias("items_accepted"),
+        F.sum(1 / F.col("votes")).alias("items"),
+    )
+
+
+MEASURES = ("n", "accepted", "both_up", "both_down")
+
+
+def _by_judge(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("judge").agg(*(F.sum(c).alias(c) for c in MEASURES))
+
+
+def _prior(rows: DataFrame) -> dict[str, float]:
+    """Log odds of accept of each kind; kinds are the few sorts of items that the caller names."""
+    found = rows.groupBy("kind").agg(F.sum("items_accepted").alias("a"), F.sum("items").alias("n")).collect()
+    return {r["kind"]: _log_odds(r["a"], r["n"]) for r in found}
+
+
+def _log_odds(part: float, whole: float) -> float:
+    return math.log(part + 1) - math.log(max(whole - part, 0.0) + 1)
+
+
+def _worth() -> Column:
+    """What a vote is worth in log odds of accept, from all the judge's other items, smoothed by one vote each way."""
+    p, vote = probability(F.col("belief")), F.col("up")
+    up = (F.col("both_up") - p * vote + 1) / (F.col("accepted") - p + 2)
+    down = (F.col("both_down") - (1 - p) * (1 - vote) + 1) / (F.col("n") - F.col("accepted") - (1 - p) + 2)
+    up, down = (F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6)) for x in (up, down))
+    return F.when(vote == 1, F.log(up) - F.log(1 - down)).otherwise(F.log(1 - up) - F.log(down))
+
+
 def consensus(edges: DataFrame, items: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Consensus:
     """Consensus of each item, with its agreement, and the reliability of each judge.
 
     edges: item, judge, up. items: item, kind; each kind has its own share of accepted items. Messages, as log odds of
     accept against the rest (with two classes, reject's are their negatives):
 
-    judge to item: what this judge's vote is worth, from all their *other* items: of the items that the messages to
-    the judge hold accepted (rejected), how many the judge accepted (rejected), smoothed by one vote each way.
-    item to judge: the prior of its kind plus the messages from its *other* judges.
+    judge to item: what this judge's vote is worth, from all their *other* items: of those held accepted (rejected), how
+    many the judge accepted (rejected), smoothed by one vote each way.
+    item to judge: the prior of its kind and the messages of its *other* judges; the judge adds their own vote's worth
+    of the round before and so has a belief in each item.
 
-    Rounds go on until no judge's reliability moves by more than the tolerance. Each round is two aggregations (by
-    judge, by item) that are combined before the shuffle, so neither a judge nor an item with a third of all votes
-    comes into one task as rows. An item without votes gets the verdict of its kind's prior and null agreement; ties
-    are 'accept'. The state is written to the shared folder each round.
+    Rounds go on until no judge's reliability moves by more than the tolerance. Each is two aggregations, by judge and by
+    item, which combine before the shuffle, and a join that splits hot items: neither a judge nor an item with a third of
+    all votes comes into one task. Messages are written to the shared folder each round. An item without votes gets the
+    verdict of its kind's prior and null agreement; ties are 'accept'.
     """
-    edges = cut(edges)
-    start = cut(edges.groupBy("item").agg(F.sum("up").alias("s"), F.count("*").alias("n")))
-    hot_items = hot_keys(start, ["item"])
-    of_judge = cut(edges.groupBy("judge").count())
-    few_judges = under(of_judge, BROADCAST_JUDGES)
-    hot_judges = None if few_judges else hot_keys(of_judge, ["judge"], "count")
-    # first beliefs: the other judges' share of accepts
-    heat = 4.0
-    state = cut(salted_join(edges, start, ["item"], hot_items).select("item", "judge", "up", (heat * (F.try_divide(F.col("s") - F.col("up") + 0.5, F.col("n")) - 0.5)).alias("to_judge")))
-    kinds = items.select(F.col("item").cast("string").alias("item"), "kind").where("item is not null").dropDuplicates(["item"])
-    kinds = cut(kinds)
-    last: dict[str, tuple[float, float]] | None = None
-    done = 0
+    spark = edges.sparkSession
+    kinds = cut(items.select(F.col("item").cast("string").alias("item"), "kind").where("item is not null").dropDuplicates(["item"]))
+    edges = cut(edges.join(kinds, "item"))
+    per_item = cut(edges.groupBy("item").agg(F.sum("up").alias("ups"), F.count("*").alias("votes")))
+    hot_items = hot_keys(per_item, ["item"], "votes")
+    of_judge = cut(edges.groupBy("judge").agg(F.count("*").alias("n")))
+    few = under(of_judge, BROADCAST_JUDGES)
+    hot_judges = None if few else hot_keys(of_judge, ["judge"])
+    # the first belief is the share of accepts
+    state = salted_join(edges, per_item, ["item"], hot_items).withColumn("belief", FIRST * (F.col("ups") / F.col("votes") - 0.5)).drop("ups")
+    last: dict[str, float] = {}
+    before: DataFrame | None = None
+    done, prior = 0, {}
     for done in range(1, rounds + 1):
-        p = probability(F.col("to_judge"))
-        mass = state.withColumn("p", p)
-        judges = cut(
-            mass.groupBy("judge").agg(
-                F.count("*").alias("n"),
-                F.sum("p").alias("accepted"),
-                F.sum(F.col("p") * F.col("up")).alias("both_up"),
-                F.sum((1 - F.col("p")) * (1 - F.col("up"))).alias("both_down"),
-            )
-        )
-        at = mass.join(F.broadcast(judges), "judge") if few_judges else salted_join(mass, judges, ["judge"], hot_judges)
-        # all but this edge, smoothed
-        up = (F.col("both_up") - F.col("p") * F.col("up") + 1) / (F.col("accepted") - F.col("p") + 2)
-        rejected = F.col("n") - F.col("accepted") - (1 - F.col("p"))
-        down = (F.col("both_down") - (1 - F.col("p")) * (1 - F.col("up")) + 1) / (rejected + 2)
-        worth = F.when(F.col("up") == 1, F.log(up) - F.log(1 - down)).otherwise(F.log(1 - up) - F.log(down))
-        sent = at.select("item", "judge", "up", worth.alias("to_item"))
-        prior = _priors(state, kinds)
-        sums = sent.groupBy("item").agg(F.sum("to_item").alias("total"), F.count("*").alias("votes"), F.sum("up").alias("ups"))
-        whole = kinds.join(sums, "item", "left").join(F.broadcast(prior), "kind", "left").withColumn("belief", F.coalesce("prior", F.lit(0.0)) + F.coalesce("total", F.lit(0.0)))
-        whole = cut(whole)
-        state = cut(salted_join(sent, whole.select("item", "belief"), ["item"], hot_items).select("item", "judge", "up", (F.col("belief") - F.col("to_item")).alias("to_judge")))
-        moved = judges.select("judge", ((F.col("both_up") + F.col("both_down")) / F.col("n")).alias("reliability"))
-        now = moved if last is None else moved.join(last, "judge")
-        if last is not None:
-            step = now.agg(F.max(F.abs(F.col("reliability") - F.col("before")))).first()[0]
-            if step is None or step < tolerance:
-                break
-        last = moved.withColumnRenamed("reliability", "before")
-    ups = F.coalesce("ups", F.lit(0))
+        rows = _judge_rows(state)
+        if few:
+            # judges times kinds rows, checked
+            local = rows.toArrow()
+            by = local.group_by("judge").aggregate([(c, "sum") for c in MEASURES]).rename_columns(["judge", *MEASURES])
+            of = local.group_by("kind").aggregate([("items_accepted", "sum"), ("items", "sum")]).to_pylist()
+            prior = {r["kind"]: _log_odds(r["items_accepted_sum"], r["items_sum"]) for r in of}
+            now = {r["judge"]: (r["both_up"] + r["both_down"]) / r["n"] for r in by.to_pylist()}
+            step = max((abs(v - last.get(k, 2.0)) for k, v in now.items()), default=0.0)
+            last = now
+            at = state.join(F.broadcast(spark.createDataFrame(by)), "judge")
+        else:
+            rows = cut(rows)
+            judges, prior = cut(_by_judge(rows)), _prior(rows)
+            moved = judges.select("judge", ((F.col("both_up") + F.col("both_down")) / F.col("n")).alias("r"))
+            step = 1.0 if before is None else moved.join(before, "judge").agg(F.max(F.abs(F.col("r") - F.col("r0")))).first()[0] or 0.0
+            before = moved.withColumnRenamed("r", "r0")
+            at = salted_join(state, judges, ["judge"], hot_judges)
+        of_kind = F.lit(0.0)
+        for kind, value in prior.items():
+            of_kind = F.when(F.col("kind") == kind, value).otherwise(of_kind)
+        sent = at.select("item", "judge", "up", "kind", "votes", _worth().alias("to_item"))
+        sums = sent.groupBy("item").agg(F.sum("to_item").alias("total"))
+        state = cut(salted_join(sent, sums, ["item"], hot_items).select("item", "judge", "up", "kind", "votes", (F.col("total") + of_kind).alias("belief")))
+        if step < tolerance:
+            break
+    believed = state.groupBy("item").agg(F.first("belief").alias("belief"))
+    of_kind = F.lit(0.0)
+    for kind, value in prior.items():
+        of_kind = F.when(F.col("kind") == kind, value).otherwise(of_kind)
+    whole = kinds.join(believed, "item", "left").join(per_item, "item", "left").withColumn("belief", F.coalesce("belief", of_kind))
+    ups, n = F.coalesce("ups", F.lit(0)), F.col("votes")
     accept = F.col("belief") >= 0
-    agreeing = F.when(accept, ups).otherwise(F.col("votes") - ups)
     found = whole.select(
         F.col("item").alias("item_id"),
         "kind",
         F.when(accept, "accept").otherwise("reject").alias("verdict"),
-        F.coalesce("votes", F.lit(0)).alias("n_votes"),
-        F.try_divide(agreeing, F.col("votes")).alias("agreement"),
-        F.try_divide(ups * (ups - 1) + (F.col("votes") - ups) * (F.col("votes") - ups - 1), F.col("votes") * (F.col("votes") - 1)).alias("pair_agreement"),
+        F.coalesce(n, F.lit(0)).alias("n_votes"),
+        F.try_divide(F.when(accept, ups).otherwise(n - ups), n).alias("agreement"),
+        F.try_divide(ups * (ups - 1) + (n - ups) * (n - ups - 1), n * (n - 1)).alias("pair_agreement"),
         probability(F.abs(F.col("belief"))).alias("confidence"),
     )
-    people = judges.select(
+    people = _by_judge(_judge_rows(state)).select(
         "judge",
         F.col("n").alias("n_votes"),
         ((F.col("both_up") + F.col("both_down")) / F.col("n")).alias("reliability"),
@@ -126,10 +170,3 @@ def consensus(edges: DataFrame, items: DataFrame, rounds: int = ROUNDS, toleranc
         ((F.col("both_down") + 1) / (F.col("n") - F.col("accepted") + 2)).alias("rejects_right"),
     )
     return Consensus(found, people, done)
-
-
-def _priors(state: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The log odds of accept among the items of each kind, from the beliefs sent so far; kinds are few."""
-    mean = state.groupBy("item").agg(F.avg(probability(F.col("to_judge"))).alias("p"))
-    by = kinds.join(mean, "item").groupBy("kind").agg(F.sum("p").alias("a"), F.count("*").alias("n"))
-    return by.select("kind", (F.log(F.col("a") + 1) - F.log(F.col("n") - F.col("a") + 1)).alias("prior"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harfgah.llm.arrow import map_batches, pieces
-from harfgah.llm.blocks import BLOCK_ROWS, blocks, expand, found_in, runs_of
+from harfgah.llm.blocks import BLOCK_ROWS, blocks, expand, found_in, result_names, runs_of
 from harfgah.llm.text import Words, spans_hash
 
 #: Consecutive words that make a leak.
@@ -163,4 +163,4 @@ def leaks(evals: DataFrame, corpus: DataFrame, fields: list[str], texts: list[st
                 )
 
         out.append(map_batches(rows, work, schema))
-    return reduce(DataFrame.unionByName, out).withColumnsRenamed({"eval_key": eval_key, "key": key, **{f"carry_{i}": c for i, c in enumerate(carry)}, **{f"leaked_{i}": f"leaked_{f}" for i, f in enumerate(fields)}})
+    return reduce(DataFrame.unionByName, out).withColumnsRenamed({f"leaked_{i}": f"leaked_{f}" for i, f in enumerate(fields)} | result_names(eval_key, key, carry, [f"leaked_{f}" for f in fields]))

@@ -1,3 +1,80 @@
-"""DuckDB SQL for the queries of this package that SQL can express."""
+"""DuckDB SQL for the queries of this package that SQL can express.
 
-ORACLES: dict[str, str] = {}
+DuckDB has NFC but not NFKC, so the compatibility forms are resolved by a table that is made from the rule itself: every
+character of the listed blocks whose NFKC differs. One-to-one forms go through translate, longer ones through replace.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+from harfgah.functions.fold import DISPLAY, HAMZA_ABOVE, MATCH, ZWNJ, translate_sql
+from harfgah.llm.text import INVISIBLE, TO_LATIN
+from harfgah.plans.sqltools import quoted
+
+#: Blocks with compatibility forms that are resolved: Latin-1, general punctuation, Arabic presentation forms, full-width forms.
+BLOCKS = [(0xA0, 0x180), (0x2000, 0x2070), (0x3000, 0x3001), (0xFB50, 0xFDFE), (0xFE70, 0xFF00), (0xFF01, 0xFF5F)]
+FORMS = {chr(c): f for a, b in BLOCKS for c in range(a, b) if (f := unicodedata.normalize("NFKC", chr(c))) != chr(c)}
+ONE = {c: f for c, f in FORMS.items() if len(f) == 1}
+#: Of the longer forms those of words and letters; the rest are marks or signs that can't stand in these texts' words.
+LONG = {c: f for c, f in FORMS.items() if len(f) > 1 and (0xFEF5 <= ord(c) <= 0xFEFC or c in "…﷼")}
+HIDDEN = "".join(sorted(INVISIBLE))
+
+
+def looks_sql(x: str, form: dict[str, str]) -> str:
+    """Invisible characters, compatibility forms and look-alikes resolved, then the project's letter map, composed."""
+    x = f"translate({x}, {quoted(HIDDEN)}, '')"
+    x = f"nfc_normalize({translate_sql(x, ONE | LONG)})"
+    return f"nfc_normalize({translate_sql(x, TO_LATIN | form)})"
+
+
+def folded_sql(x: str) -> str:
+    return f"lower(replace(replace({looks_sql(x, MATCH.pairs())}, '{ZWNJ}', ''), '{HAMZA_ABOVE}', ''))"
+
+
+WORD = r"[\p{L}\p{N}]+"
+
+
+def words_sql(x: str) -> str:
+    return f"coalesce(regexp_extract_all({folded_sql(x)}, '{WORD}', 0), [])"
+
+
+def key_sql(x: str) -> str:
+    return rf"coalesce(regexp_replace({folded_sql(x)}, '[^\p{{L}}\p{{N}}]+', '', 'g'), '')"
+
+
+RECORDS = f"""(select example_id, {key_sql('latin')} as l, {key_sql('persian')} as p from (select example_id, latin, persian from example
+ union all select example_id, json_extract_string(payload, '$.latin'), json_extract_string(payload, '$.persian') from example_raw where json_valid(payload)))"""
+
+P2_FOUND = f"""
+with r as materialized (select * from {RECORDS} where l <> '' or p <> ''), g as (select l, p, min(example_id) as first_id from r group by l, p having count(*) > 1)
+select g.first_id, r.example_id from r join g on r.l = g.l and r.p = g.p where r.example_id <> g.first_id
+"""
+P2_GROUPS = f"select min(example_id) as first_id, count(*) as n_copies, l as latin, p as persian from {RECORDS} where l <> '' or p <> '' group by l, p"
+
+TERMS = f"""(with t as materialized (select id, {words_sql('text')} as w from (select row_number() over () as id, text from (select persian as text from example union all select expected from chat_test))),
+ o as (select id, unnest(w) as term from t), c as (select term, count(*) as n_occurrences, count(distinct id) as n_records from o group by term)
+ select term, n_occurrences, n_records, case when n_records * 20 > (select count(*) from t) then 'common' when n_records < 3 then 'rare' end as mark from c)"""
+P3_TERMS = f"select * from {TERMS}"
+P3_FOUND = f"select term, mark from {TERMS} where mark is not null"
+
+BLANK = r"[\s   -   　]+"
+TIDY = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({{}}, '{ZWNJ}+', '{ZWNJ}', 'g'), '{ZWNJ}([\s   -   　\p{{{{P}}}}])', '\1', 'g'), '([\s   -   　\p{{{{P}}}}]){ZWNJ}', '\1', 'g'), '^{ZWNJ}|{ZWNJ}$', '', 'g')"
+LOOKS = f"(select key, text, trim(regexp_replace({TIDY.format(looks_sql('text', DISPLAY.pairs()))}, '{BLANK}', ' ', 'g'), ' ') as form from (select norm_id as key, input as text from normalization union all select id, expected from chat_test))"
+P4_FOUND = f"with l as materialized (select * from {LOOKS} where form <> '') select a.key as id_a, b.key as id_b from l a join l b on a.form = b.form and a.text <> b.text and a.key < b.key"
+
+P6_FOUND = f"""
+with e as materialized (select distinct id, array_to_string(w[i : i + 4], ' ') as gram from (select id, w, unnest(generate_series(1, len(w) - 4)) as i from (select id, {words_sql('expected')} as w from chat_test union all select id, {words_sql('input')} from chat_test))),
+t as materialized (select distinct example_id, array_to_string(w[i : i + 4], ' ') as gram from (select example_id, w, unnest(generate_series(1, len(w) - 4)) as i from (select example_id, {words_sql('latin')} as w from example where split = 'train' union all select example_id, {words_sql('persian')} from example where split = 'train')))
+select distinct e.id as eval_id, t.example_id from e join t using (gram)
+"""
+
+P9_FOUND = f"""
+with d as materialized (select doc_id, {words_sql('text')} as w from documents), n as (select doc_id, w, len(w) as n from d where len(w) >= 5),
+g as (select doc_id, i, array_to_string(w[i : i + 3], ' ') as gram from (select doc_id, w, unnest(generate_series(1, n - 3)) as i from n)),
+r as (select doc_id, i from (select *, row_number() over (partition by doc_id, gram order by i) as k from g) where k > 1),
+c as (select doc_id, count(distinct i + j) as covered from r, range(4) t(j) group by doc_id)
+select n.doc_id from n join c using (doc_id) where covered * 10 >= n * 3
+"""
+
+ORACLES: dict[str, str] = {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_terms": P3_TERMS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND}

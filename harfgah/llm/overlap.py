@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harfgah.llm.arrow import map_batches, pieces
-from harfgah.llm.blocks import BLOCK_ROWS, blocks, expand, found_in, runs_of
+from harfgah.llm.blocks import BLOCK_ROWS, blocks, expand, found_in, result_names, runs_of
 from harfgah.llm.text import Words, spans_hash
 
 #: Near: the evaluation text has so many words, and the common sequence is at least 3/4 of the longer text.
@@ -201,4 +201,4 @@ def overlaps(evals: DataFrame, corpus: DataFrame, sides: dict[str, str], eval_ke
                 )
 
         out.append(map_batches(rows, work, schema))
-    return reduce(DataFrame.unionByName, out).withColumnsRenamed({"eval_key": eval_key, "key": key, **{f"carry_{i}": c for i, c in enumerate(carry)}})
+    return reduce(DataFrame.unionByName, out).withColumnsRenamed(result_names(eval_key, key, carry, ["side", "same", "common_words", "longer_words", "coverage"]))

@@ -21,6 +21,7 @@ from harfgah.operators import tokens as K
 from harfgah.operators.candidates import best_path
 from harfgah.operators.convert import Candidate, Converter, Scoring, Tables, rounded
 from harfgah.operators.tensors import Weights, beam, forward
+from harfgah.session import spread
 
 LOCAL_MARKS = NormalForm(digits="preserve", punctuation=True)
 DETACHED = re.compile(r"h[aā]{1,2}(ye|yeh|yi|ei|yam|yat|yash|yeshaan|yetaan|yemaan|yeman|yeshan)?|tar|tarin")
@@ -254,7 +255,7 @@ class Engine:
                 found = [[{"output": o, "probability": p, "reason": r} for o, p, r in c.convert(w)[:limit]] if w is not None else None for w in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["word", "candidates"])
 
-        return words.select(F.col(word).alias("word")).mapInArrow(work, "word string, candidates array<struct<output:string,probability:double,reason:string>>")
+        return spread(words.select(F.col(word).alias("word"))).mapInArrow(work, "word string, candidates array<struct<output:string,probability:double,reason:string>>")
 
     def transliterate(self, df: DataFrame, key: str, text: str, options: Options | None = None) -> DataFrame:
         """key and result (see RESULT) of each text. key must be unique; a null text gives an empty result, as an empty one.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harfgah.functions.tables import CORRESPONDENCES, latin_units, reverse_index
+from harfgah.session import spread
 
 UNIT_COST, UNKNOWN_COST = 1.2, 6.0
 
@@ -90,7 +91,7 @@ def beam_candidates(words: DataFrame, word: str, results: int = 3, width: int =
             rows = [(w, i, o, s) for w in batch.column(0).to_pylist() if w for i, (o, s) in enumerate(sorted(walked(w, width, limit).items(), key=lambda x: -x[1])[:results])]
             yield pa.RecordBatch.from_pydict({"word": pa.array([r[0] for r in rows], pa.string()), "ord": pa.array([r[1] for r in rows], pa.int32()), "output": pa.array([r[2] for r in rows], pa.string()), "score": pa.array([r[3] for r in rows], pa.float64())})
 
-    return words.select(F.col(word).alias("word")).mapInArrow(work, "word string, ord int, output string, score double")
+    return spread(words.select(F.col(word).alias("word"))).mapInArrow(work, "word string, ord int, output string, score double")
 
 
 def channel_prior(rules: DataFrame) -> DataFrame:

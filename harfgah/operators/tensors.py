@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harfgah.session import spread
+
 
 def doubles(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
@@ -161,4 +163,4 @@ def decoded(words: DataFrame, word: str, weights: Weights, **options: float) ->
             rows = [(x, i, o, s) for x in batch.column(0).to_pylist() if x is not None for i, (o, s) in enumerate(beam(forward(w, [place.get(c, 0) for c in x]), w.labels, **options))]
             yield pa.RecordBatch.from_pydict({"word": pa.array([r[0] for r in rows], pa.string()), "ord": pa.array([r[1] for r in rows], pa.int32()), "output": pa.array([r[2] for r in rows], pa.string()), "log_prob": pa.array([r[3] for r in rows], pa.float64())})
 
-    return words.select(F.col(word).alias("word")).mapInArrow(work, kind)
+    return spread(words.select(F.col(word).alias("word"))).mapInArrow(work, kind)

@@ -52,9 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: survives the loss of an executor, ends the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder and go on from there: it is computed once, survives the loss of an executor and ends the lineage."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -65,3 +66,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 def under(df: DataFrame, rows: int) -> bool:
     """Whether df has at most this many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: for few bytes with much work each, which adaptive execution would put into one task."""
+    sc, parts = df.sparkSession.sparkContext, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, sc.defaultParallelism))

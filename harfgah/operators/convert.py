@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from harfgah.functions.fold import ZWNJ, normalize
-from harfgah.functions.tables import ANY_VOWEL, EZAFE_HEADS, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, SUFFIX_AFTER_HE, TANVIN_ADVERBS, TYPED_VOWELS, WORD_EXCEPTIONS
+from harfgah.functions.tables import ANY_VOWEL, EZAFE_HEADS, LINK, MIN_STEM, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, PREFIXES, SUFFIX_AFTER_HE, SUFFIXES, TANVIN_ADVERBS, TYPED_VOWELS, WORD_EXCEPTIONS
 from harfgah.operators.candidates import walked
 from harfgah.operators.channel import Channel, Emissions
 
@@ -27,6 +27,9 @@ class Scoring:
     out_of_table: float = -2.0
     walk: float = 1.0
     bucket: int = 32
+    #: Score of each affix taken off; minus infinity: none is tried.
+    affix: float = -math.inf
+    stem_bucket: int = 8
     carry: int = 24
     width: int = 48
     segmentations: int = 8
@@ -122,6 +125,36 @@ def vowel_misses(typed: list[str], vowels: str) -> int:
     return row[-1]
 
 
+def taken_apart(word: str) -> list[tuple[str, str, list[str]]]:
+    """(Persian prefix, Latin stem, Persian suffixes from the inside): one prefix and two suffixes at most, three letters of stem at least."""
+    out = []
+    for typed, prefix in [("", ""), *((t, f) for t, f in PREFIXES if word.startswith(t))]:
+        todo: list[tuple[str, list[str]]] = [(word[len(typed) :], [])]
+        for stem, suffixes in todo:
+            if (typed or suffixes) and len(stem) >= MIN_STEM:
+                out.append((prefix, stem, suffixes))
+            if len(suffixes) < 2:
+                todo += ((stem[: -len(t)], [f, *suffixes]) for t, f in SUFFIXES if stem.endswith(t) and len(stem) - len(t) >= MIN_STEM)
+    return out
+
+
+def put_together(prefix: str, stem: str, suffixes: list[str]) -> str:
+    """Affixes joined to a stem: alef after a silent he, a doubled ye after a long vowel, the object marker in full after a vowel."""
+    word = prefix + stem
+    for s in suffixes:
+        he, long, ye = word.endswith("ه"), word.endswith(("ا", "و")), word.endswith("ی")
+        if s == LINK:
+            s = "ی" if long else ""
+        elif s in ("م", "ت", "ش") and he:
+            s = "ا" + s
+        elif s == "ی":
+            s = "ای" if he else "یی" if long else "" if ye else s
+        elif s == "و" and (long or he or ye):
+            s = "رو"
+        word += s
+    return word
+
+
 class Converter:
     """Ranks spellings of a word and remembers them; extra(word) may add spellings of a model to the pool.
 
@@ -160,6 +193,16 @@ class Converter:
                 out[o] = (o, fit + s.frequency * freq, f"{source}, in table")
             else:
                 out[o] = (o, fit + s.out_of_table + s.walk * ((x if x is not None else top) - top), source)
+        if s.affix > -math.inf:
+            for prefix, stem, suffixes in taken_apart(word):
+                cost = s.affix * (len(suffixes) + bool(prefix))
+                for fa in t.buckets.get(latin_key(stem), ())[: s.stem_bucket]:
+                    o = put_together(prefix, fa, suffixes)
+                    fit = self.channel.best(word, o)[0]
+                    if fit > -math.inf and not (o in out and o in t.frequency):
+                        x = fit + s.frequency * t.frequency[fa] + cost
+                        if o not in out or x > out[o][1]:
+                            out[o] = (o, x, f"affixes on {fa}")
         return sorted(out.values(), key=lambda x: -x[1])
 
     def generated(self, word: str, results: int) -> list[Candidate]:

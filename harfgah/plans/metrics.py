@@ -233,3 +233,16 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("example_id", F.when(A.char_error_rate(F.col("a"), F.col("b")) > 0.9, "cer").when((F.col("split") == "test") & (F.col("source") == "synthetic"), "audit").otherwise("kept").alias("part"))
 
 
+
+
+JUDGED_SQL = "(select id, ref_span, hyp_span, bool_and(v = 'accept') as accepted from (select id, ref_span, hyp_span, lower(trim(verdict)) as v from judge_calibration where judge in ('claude', 'luna')) where v in ('accept', 'reject') group by all)"
+
+
+@query(f"select s.category, count(*) as n, sum(len(rw))::bigint as n_words, sum(errors)::bigint as errors, sum(least(errors, coalesce(j.n, 0)))::bigint as refunded from {SCORED_SQL} s left join (select id, count(*) filter (where accepted) as n from {JUDGED_SQL} group by id) j using (id) group by s.category")
+def judged_tier(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of each category, and how many of them are refunded for spans that both judges accepted."""
+    v = table(spark, d, "judge_calibration").where("judge in ('claude', 'luna')").select("id", "ref_span", "hyp_span", F.lower(F.trim("verdict")).alias("v")).where("v in ('accept', 'reject')")
+    spans = v.groupBy("id", "ref_span", "hyp_span").agg(F.bool_and(F.col("v") == "accept").alias("accepted"))
+    refunds = spans.groupBy("id").agg(F.count_if("accepted").alias("n_accepted"))
+    rows = scored(spark, d).join(refunds, "id", "left")
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.size("rw")).alias("n_words"), F.sum("errors").alias("errors"), F.sum(F.least("errors", F.coalesce("n_accepted", F.lit(0)))).alias("refunded"))

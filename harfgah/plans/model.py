@@ -174,3 +174,12 @@ def homophone_snap(spark: SparkSession, d: str) -> DataFrame:
     places = F.flatten(F.transform(F.split("word", ""), lambda c, i: F.transform(F.coalesce(F.try_element_at(swaps, c), F.array().cast("array<string>")), lambda b: F.struct(i.alias("i"), b.alias("b")))))
     made = words.select("word", F.inline(places)).withColumn("output", F.concat(F.expr("left(word, i)"), "b", F.expr("substr(word, i + 2)")))
     return made.join(words.withColumnRenamed("word", "output"), "output", "left_semi").groupBy("word").agg(F.min(F.struct("i", "b", "output")).alias("x")).select("word", "x.output")
+
+
+@query(f"select a.label, count(*) as n_rows, count(*) filter (where a.v <> b.v) as n_changed from {VECS_SQL} a join (select vec_id, case when vec_id = (select min(vec_id) from embeddings) then list_transform(v, lambda x: x + 1) else v end as v from {VECS_SQL}) b using (vec_id) group by a.label")
+def surgery_check(spark: SparkSession, d: str) -> DataFrame:
+    """A copy of the rows in which one was changed: exactly that one differs."""
+    rows = vecs(spark, d)
+    first = rows.agg(F.min("vec_id").alias("first"))
+    changed = rows.crossJoin(F.broadcast(first)).select("vec_id", F.when(F.col("vec_id") == F.col("first"), F.transform("v", lambda x: x + 1)).otherwise(F.col("v")).alias("w"))
+    return rows.join(changed, "vec_id").groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("v") != F.col("w")).alias("n_changed"))

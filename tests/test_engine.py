@@ -45,6 +45,16 @@ def test_word_passes():
     assert vowel_misses(["e"], "ae") == 0 and vowel_misses(["o"], "a") == 1 and vowel_misses([], "aei") == 0
 
 
+def test_affixes():
+    from harfgah.operators.convert import Scoring, put_together, taken_apart
+    from harfgah.functions.tables import LINK
+
+    assert ("", "ketaab", ["ها", "مون"]) in taken_apart("ketaabhaamoon") and ("نمی", "khoram", []) in taken_apart("nemikhoram") and taken_apart("nam") == []
+    assert [put_together("", "قلم", ["ش"]), put_together("", "مدرسه", ["ش"]), put_together("", "جا", ["ی"]), put_together("می", "خورم", []), put_together("", "پا", [LINK])] == ["قلمش", "مدرسهاش", "جایی", "میخورم", "پای"]
+    c = Converter(Tables(frequency=FREQUENCY), Scoring(affix=-1.0))
+    assert "کتابهامون" in [o for o, _, _ in c.pool("ketabhamoon")]
+
+
 def test_sentences(spark):
     e = Engine(Tables(frequency=FREQUENCY))
     texts = {1: "salam, khubi?", 2: "", 3: None, 4: "ketab ash", 5: "na omid", 6: "bisto bist", 7: "madrese ye man", 8: "سلام 😂 http://a.ir  x", 9: "  ", 10: "Salam Google", 11: "salam " * 300}

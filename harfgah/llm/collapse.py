@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from harfgah.llm.arrow import map_batches, pieces
 from harfgah.llm.text import Words
 from harfgah.operators.skew import hot_keys, salted_join
-from harfgah.session import scratch
+from harfgah.session import cut, scratch
 
 FIELDS = ("latin", "persian")
 
@@ -82,7 +82,8 @@ def collapse(records: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, pay
     """Groups and copies of records that are the same but for formatting and field order.
 
     groups: the smallest key of each group, its number of records and its folded fields. copies: the smallest key of the
-    group with each other key of it. The fingerprints are written once to the shared folder. Grouping hashes on the
+    group with each other key of it. The fingerprints, and the groups of two or more, are written once to the shared
+    folder. Grouping hashes on the
     fingerprint and compares the fields, so records with equal fingerprints but different fields stay apart; counts are
     made before the shuffle, and the join back to the records splits hot groups. Null and empty fields are the same.
     A key that comes twice is one record twice.
@@ -93,7 +94,7 @@ def collapse(records: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, pay
     rows = spark.read.parquet(path)
     on = ["h1", "h2", *fields]
     groups = rows.groupBy(*on).agg(F.min(key).alias("first_id"), F.count("*").alias("n_copies"))
-    several = groups.where("n_copies > 1")
+    several = cut(groups.where("n_copies > 1"))
     hot = hot_keys(several, on, "n_copies")
     copies = salted_join(rows, several, on, hot).where(F.col(key) != F.col("first_id")).select("first_id", key)
     return groups.select("first_id", "n_copies", *fields), copies

@@ -13,6 +13,7 @@ from harfgah.functions.fold import DISPLAY, tidy_zwnj
 from harfgah.llm.arrow import map_batches, pieces
 from harfgah.llm.text import INVISIBLE, LOOKALIKES, SEP, Codes, _foreign, _script, _token, scripts_of
 from harfgah.operators.skew import hot_keys, salted_join
+from harfgah.session import cut
 
 _invisible = re.compile("[" + "".join(sorted(map(re.escape, INVISIBLE))) + "]")
 
@@ -71,7 +72,7 @@ def same_looking(rows: DataFrame, key: str = "key") -> DataFrame:
     rows = rows.where("form <> ''").select(F.col(key).alias("id"), "form", "text")
     variants = rows.groupBy("form", "text").agg(F.count("*").alias("n"))
     several = variants.groupBy("form").agg(F.count("*").alias("k"), F.sum("n").alias("of_form")).where("k > 1")
-    variants = variants.join(several, "form")
+    variants = cut(variants.join(several, "form"))
     hot = hot_keys(variants, ["form", "text"])
     a = variants.select("form", F.col("text").alias("text_a"))
     pairs = a.join(a.withColumnRenamed("text_a", "text_b"), "form").where("text_a <> text_b")

@@ -102,10 +102,13 @@ def greedy_units(c: Column) -> Column:
 def naive_word(c: Column) -> Column:
     """Each unit by its heaviest Persian spelling at its place in the word; a unit without one stays."""
     table = F.create_map(*(F.lit(x) for kv in sorted(first_choice().items()) for x in kv))
-    units = greedy_units(F.lower(c))
-    n = F.size(units)
-    at = lambda i: F.when(i == 0, "initial").when(i == n - 1, "final").otherwise("medial")
-    return F.array_join(F.transform(units, lambda u, i: F.coalesce(F.try_element_at(table, F.concat(u, F.lit("|"), at(i))), u)), "")
+
+    def spelled(units: Column) -> Column:
+        at = lambda i: F.when(i == 0, "initial").when(i == F.size(units) - 1, "final").otherwise("medial")
+        return F.array_join(F.transform(units, lambda u, i: F.coalesce(F.try_element_at(table, F.concat(u, F.lit("|"), at(i))), u)), "")
+
+    # as the one element of an array the units are made once, though they are used twice
+    return F.get(F.transform(F.array(greedy_units(F.lower(c))), spelled), F.lit(0))
 
 
 def naive_text(c: Column) -> Column:

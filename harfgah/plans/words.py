@@ -12,7 +12,7 @@ from harfgah.functions.fold import ARABIC_DIGITS, DEAD_INVISIBLES, HAMZA_ALEF, L
 from harfgah.functions.tables import ENGLISH, ENGLISH_CLUSTERS, ENGLISH_SUFFIXES, HOMOGRAPHS, JOINING_PREFIXES, JOINING_SUFFIXES
 from harfgah.operators import tokens as K
 from harfgah.plans.sqltools import leak_key_sql, match_key_sql, metric_words_sql, naive_word_sql, quoted, split_sql, unstretch_sql
-from harfgah.session import table
+from harfgah.session import parallel, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return parallel(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def latin_words(spark: SparkSession, d: str) -> DataFrame:

@@ -72,3 +72,12 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores: for few bytes with much work each, which adaptive execution would put into one task."""
     sc, parts = df.sparkSession.sparkContext, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(parts, sc.defaultParallelism))
+
+
+def parallel(df: DataFrame) -> DataFrame:
+    """df as it is if its scan has a task for every core; a small file in one piece is dealt to all cores.
+
+    For scans under costly expressions. A large table has more splits than cores and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -23,7 +23,7 @@ SPELLED_SQL = "(select * from " + values_sql([(fa, u, pos, float(w) / (i + 1), i
 
 @query(f"select unit, position, fa, w, canonical, row_number() over (partition by unit, position order by w desc, fa) - 1 as rank from (select unit, position, fa, sum(w::double) as w, bool_or(first) as canonical from {SPELLED_SQL} group by all)")
 def reverse_index(spark: SparkSession, d: str) -> DataFrame:
-    return D.reverse_table(D.correspondences(spark))
+    return D.reverse_table(D.correspondences(spark)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"select fa, position, unit, round(w / sum(w) over (partition by fa, position), 9) as p from (select fa, position, unit, sum(w) as w from {SPELLED_SQL} where fa <> '' group by all)")

@@ -21,7 +21,7 @@ QUERIES, ORACLES = query.queries, query.oracles
 def engine(spark: SparkSession, d: str) -> Engine:
     """Tables from the training split and the loanwords that both judges accepted."""
     loans = P.loans(spark, d).where("a = 'accept' and b = 'accept'").groupBy(F.lower("en").alias("typed")).agg(F.min("fa").alias("output"))
-    return Engine(tables_from(log_quantised(P.counts(spark, d), 25_000), loans, P.top_pairs(spark, d)))
+    return Engine(tables_from(log_quantised(P.counts(spark, d), 25_000), loans, P.whole_pairs(spark, d)))
 
 
 @query()

@@ -98,8 +98,17 @@ PMI_SQL = f"""(with u as {UNIGRAMS_SQL}, v as (select * from u order by n desc,
  from p join v a on a.word = head join v b on b.word = tail where n_pair >= 3) where pmi > 0 order by n_pair desc, head, tail limit 3000)"""
 
 
-def top_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return C.pmi(C.adjacent(keyed(spark, d), "example_id", "w"), counts(spark, d), 3, 3000)
+def top_pairs(spark: SparkSession, d: str, top: int = 3000) -> DataFrame:
+    return C.pmi(C.adjacent(keyed(spark, d), "example_id", "w"), counts(spark, d), 3, top)
+
+
+#: The reference's own table size (build_bigram.py --max-pairs).
+WHOLE_PAIRS = 30_000
+WHOLE_PMI_SQL = PMI_SQL.replace("limit 3000)", f"limit {WHOLE_PAIRS})")
+
+
+def whole_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return top_pairs(spark, d, WHOLE_PAIRS)
 
 
 @query(f"select * from {PMI_SQL}")
@@ -107,12 +116,26 @@ def bigram_pmi_top(spark: SparkSession, d: str) -> DataFrame:
     return top_pairs(spark, d)
 
 
+@query(f"select * from {WHOLE_PMI_SQL}")
+def bigram_pmi_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The pair table in the reference's size."""
+    return whole_pairs(spark, d)
+
+
 @query(f"select head as word from {PMI_SQL} union select tail from {PMI_SQL}")
 def bigram_live_vocab(spark: SparkSession, d: str) -> DataFrame:
-    p = top_pairs(spark, d)
+    return _live(top_pairs(spark, d))
+
+
+def _live(p: DataFrame) -> DataFrame:
     return p.select(F.col("head").alias("word")).union(p.select("tail")).distinct()
 
 
+@query(f"select head as word from {WHOLE_PMI_SQL} union select tail from {WHOLE_PMI_SQL}")
+def bigram_live_vocab_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _live(whole_pairs(spark, d))
+
+
 @query(
     f"""with p as {PMI_SQL}, v as (select word, row_number() over (order by word) - 1 as id from (select head as word from p union select tail from p)),
     i as (select a.id as head_id, b.id as tail_id, pmi from p join v a on a.word = head join v b on b.word = tail)
@@ -120,9 +143,18 @@ def bigram_live_vocab(spark: SparkSession, d: str) -> DataFrame:
 )
 def bigram_delta_ids(spark: SparkSession, d: str) -> DataFrame:
     """Pairs as the encoded table has them: ids in alphabetical order, tails as differences."""
+    return _delta_ids(top_pairs(spark, d))
+
+
+@query(ORACLES["bigram_delta_ids"].replace(PMI_SQL, WHOLE_PMI_SQL))
+def bigram_delta_ids_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _delta_ids(whole_pairs(spark, d))
+
+
+def _delta_ids(pairs: DataFrame) -> DataFrame:
     from harfgah.session import cut
 
-    p = cut(top_pairs(spark, d))
+    p = cut(pairs)
     ids = cut(C.word_ids(p.select(F.col("head").alias("word")).union(p.select("tail")), "word"))
     rows = p.join(ids.select(F.col("word").alias("head"), F.col("id").alias("head_id")), "head").join(ids.select(F.col("word").alias("tail"), F.col("id").alias("tail_id")), "tail")
     w = Window.partitionBy("head_id").orderBy("tail_id")
@@ -133,8 +165,17 @@ def bigram_delta_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with p as {PMI_SQL} select head, tail, coalesce(pmi, 0.0) / 6 as score from (select distinct w[1] as head, w[2] as tail from {KEYED_SQL} where len(w) > 1) left join p using (head, tail)")
 def bigram_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The score of the first two words of every example; a pair that isn't in the table scores 0."""
+    return _lookup(spark, d, top_pairs(spark, d))
+
+
+@query(ORACLES["bigram_lookup"].replace(PMI_SQL, WHOLE_PMI_SQL))
+def bigram_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _lookup(spark, d, whole_pairs(spark, d))
+
+
+def _lookup(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     asked = keyed(spark, d).where(F.size("w") > 1).select(F.col("w")[0].alias("head"), F.col("w")[1].alias("tail")).distinct()
-    return asked.join(top_pairs(spark, d), ["head", "tail"], "left").select("head", "tail", (F.coalesce("pmi", F.lit(0.0)) / 6).alias("score"))
+    return asked.join(pairs, ["head", "tail"], "left").select("head", "tail", (F.coalesce("pmi", F.lit(0.0)) / 6).alias("score"))
 
 
 @query(

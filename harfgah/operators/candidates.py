@@ -109,10 +109,11 @@ def smoothed(counts: DataFrame, prior: DataFrame, keys: list[str], alpha: float)
     return both.withColumn("p_new", (n + alpha * F.coalesce("p", F.lit(0.0))) / (total + alpha))
 
 
-def best_by_key(candidates: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """The k best rows of each key with ord from 0."""
+def best_by_key(candidates: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:
+    """The k best rows of each key, or all, with ord from 0."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return candidates.withColumn("ord", F.row_number().over(w) - 1).where(F.col("ord") < k)
+    ranked = candidates.withColumn("ord", F.row_number().over(w) - 1)
+    return ranked if k is None else ranked.where(F.col("ord") < k)
 
 
 def softmax(candidates: DataFrame, keys: list[str], score: str, digits: int = 4) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,24 +112,30 @@ LISTS_SQL = f"""(select typed, ord, output, n, round(exp(s - max(s) over (partit
  (select typed, word as output, n, round(ln(1 + n), 6) as s, row_number() over (partition by typed order by n desc, word) - 1 as ord from {P.TYPED_SQL}) where ord < 4)"""
 
 
-def lists(spark: SparkSession, d: str) -> DataFrame:
+#: As many as the reference reranks (CONTEXT_CANDIDATES).
+READINGS = 8
+WHOLE_LISTS_SQL = LISTS_SQL.replace("where ord < 4)", f"where ord < {READINGS})")
+ALL_LISTS_SQL = LISTS_SQL.replace(" where ord < 4)", ")")
+
+
+def lists(spark: SparkSession, d: str, k: int | None = 4) -> DataFrame:
     rows = P.typed(spark, d).withColumnRenamed("word", "output")
-    top = D.best_by_key(rows, ["typed"], [F.desc("n"), F.asc("output")], 4).withColumn("s", F.round(F.log(1 + F.col("n")), 6))
+    top = D.best_by_key(rows, ["typed"], [F.desc("n"), F.asc("output")], k).withColumn("s", F.round(F.log(1 + F.col("n")), 6))
     return D.softmax(top, ["typed"], "s").select("typed", F.col("ord").cast("long").alias("ord"), "output", "n", "probability")
 
 
 @query(f"select * from {LISTS_SQL}")
-def candidate_softmax(spark: SparkSession, d: str) -> DataFrame:
-    return lists(spark, d)
+def candidate_softmax(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
+    return lists(spark, d, k)
 
 
 @query(
     f"""with l as {LISTS_SQL}, f as (select *, ord = max(ord) over (partition by typed) as first, coalesce(sum(probability) filter (where ord <> m) over (partition by typed), 0) as rest from (select *, max(ord) over (partition by typed) as m from l))
     select typed, output, row_number() over (partition by typed order by not first, ord) - 1 as ord, case when first then 0.8 else round(0.2 * probability / case when rest = 0 then 1 else rest end, 4) end as probability from f"""
 )
-def promote_rescale(spark: SparkSession, d: str) -> DataFrame:
+def promote_rescale(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     """The last candidate put first."""
-    rows = lists(spark, d)
+    rows = lists(spark, d, k)
     rows = rows.withColumn("last", F.col("ord") == F.max("ord").over(Window.partitionBy("typed")))
     return D.promoted(rows, ["typed"], F.col("last")).select("typed", "output", F.col("ord").cast("long").alias("ord"), "probability")
 
@@ -137,10 +145,10 @@ def promote_rescale(spark: SparkSession, d: str) -> DataFrame:
     n as (select *, case when mixed then round(weight / sum(weight) over (partition by typed), 4) else probability end as p from m)
     select typed, output, row_number() over (partition by typed order by case when mixed then -weight end, ord) - 1 as ord, p as probability from n"""
 )
-def final_class_tilt(spark: SparkSession, d: str) -> DataFrame:
+def final_class_tilt(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     """Readings with a final he favoured, as at the end of a clause."""
     he = F.col("output").endswith("ه") & (F.length("output") > 1)
-    return D.tilted(lists(spark, d), ["typed"], he, 2.0).select("typed", "output", F.col("ord").cast("long").alias("ord"), "probability")
+    return D.tilted(lists(spark, d, k), ["typed"], he, 2.0).select("typed", "output", F.col("ord").cast("long").alias("ord"), "probability")
 
 
 @query(
@@ -150,9 +158,9 @@ def final_class_tilt(spark: SparkSession, d: str) -> DataFrame:
     r as (select *, case when hit then round(q / sum(q) over (partition by typed), 4) else probability end as pr from p)
     select typed, output, row_number() over (partition by typed order by pr desc, ord) - 1 as ord, pr as probability from r"""
 )
-def vowel_group_penalty(spark: SparkSession, d: str) -> DataFrame:
+def vowel_group_penalty(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     """Confusable readings weighed by how far their length is from what was typed."""
-    rows = lists(spark, d).withColumns({"g": W.confusable_key(F.col("output")), "misses": F.abs(F.length("output") - F.length("typed"))})
+    rows = lists(spark, d, k).withColumns({"g": W.confusable_key(F.col("output")), "misses": F.abs(F.length("output") - F.length("typed"))})
     return D.penalised(rows, ["typed"], "g", "misses", 3.0).select("typed", "output", F.col("ord").cast("long").alias("ord"), "probability")
 
 
@@ -162,10 +170,10 @@ def vowel_group_penalty(spark: SparkSession, d: str) -> DataFrame:
     select typed, fa as output, 0::bigint as ord, 0.9 as probability from (select distinct typed, fa from j)
     union all select typed, output, row_number() over (partition by typed order by ord), round(0.1 * probability / case when rest = 0 then 1 else rest end, 4) from r where output <> fa"""
 )
-def loanword_merge(spark: SparkSession, d: str) -> DataFrame:
+def loanword_merge(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     """A loanword's spelling put first with nine tenths."""
     loans = table(spark, d, "loanwords").where("en is not null and fa is not null").groupBy(F.lower("en").alias("typed")).agg(F.min("fa").alias("fa"))
-    rows = lists(spark, d).join(loans, "typed")
+    rows = lists(spark, d, k).join(loans, "typed")
     w = Window.partitionBy("typed")
     rest = rows.withColumn("rest", F.sum(F.when(F.col("output") != F.col("fa"), F.col("probability")).otherwise(0.0)).over(w)).where("output <> fa")
     kept = rest.select("typed", "output", F.row_number().over(w.orderBy("ord")).cast("long").alias("ord"), F.round((1 - 0.9) * F.col("probability") / F.when(F.col("rest") == 0, 1.0).otherwise(F.col("rest")), 4).alias("probability"))
@@ -209,9 +217,9 @@ def hiatus_ye(spark: SparkSession, d: str) -> DataFrame:
     where length(t.typed) >= 4 and regexp_matches(t.typed, '[^e]e$') and not ends_with(t.output, 'ه') and not regexp_matches(s.output, '[هاو]$') and s.output not in ({', '.join(map(quoted, EZAFE_HEADS))})
     and not exists (select 1 from l where l.typed = t.typed and l.output = s.output || 'ه')"""
 )
-def copula_candidates(spark: SparkSession, d: str) -> DataFrame:
+def copula_candidates(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     """A reading with the copula for words in e whose stem is a word, put second with a fifth."""
-    rows = lists(spark, d)
+    rows = lists(spark, d, k)
     top = rows.where("ord = 0").select("typed", F.col("output").alias("top"), "probability").where((F.length("typed") >= 4) & F.col("typed").rlike("[^e]e$") & ~F.col("top").endswith("ه"))
     stems = rows.where("ord = 0").select(F.concat("typed", F.lit("e")).alias("typed"), F.col("output").alias("stem")).where(~F.col("stem").rlike("[هاو]$") & ~F.col("stem").isin(*EZAFE_HEADS))
     stems = stems.join(T.persian_words(spark, d).select(F.col("word").alias("stem")), "stem")
@@ -263,6 +271,13 @@ def vowel_runs(spark: SparkSession, d: str) -> DataFrame:
     return T.latin_words(spark, d).select("word", runs.alias("runs"), F.size(runs).cast("long").alias("n"))
 
 
+# The same over as many readings as the reference reranks.
+
+for _f in (candidate_softmax, promote_rescale, final_class_tilt, vowel_group_penalty, loanword_merge, copula_candidates):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, k=READINGS)
+    ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(LISTS_SQL, WHOLE_LISTS_SQL)
+
+
 # Lines of candidate lists.
 
 LINES_SQL = f"(select example_id, pos, typed from (select example_id, unnest(l) as typed, unnest(range(len(l))) as pos from (select example_id, string_split(lower(latin), ' ') as l from example where split <> 'train' and latin is not null)) where typed <> '')"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pytest
 
+from harfgah.plans import candidates as D
 from harfgah.plans import conversion
 from harfgah.plans import corpus as P
+from harfgah.plans import metrics as H
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +27,22 @@ def test_pairs_beyond_three_thousand(spark, pairs_dir):
     assert P.bigram_live_vocab_whole(spark, pairs_dir).count() == 6600
     assert P.bigram_lookup_whole(spark, pairs_dir).where("score > 0").count() == 3300
     assert len(conversion.engine(spark, pairs_dir).tables.bigrams) == 3300
+
+
+@pytest.fixture(scope="module")
+def lines_dir(spark, tmp_path_factory):
+    """A form with ten readings, most often in training lines; one line has no split."""
+    d = tmp_path_factory.mktemp("lines")
+    readings = ["سر", "سیر", "سار", "صر", "سور", "سیار", "سرو", "سری", "سرا", "صور"]
+    texts = [(f"{x} من", "sr man") for i, x in enumerate(readings) for _ in range(20 - i)] + [("سور خوب", "sr khub")] * 9
+    rows = [(i, None if i == 0 else "test" if i % 50 == 1 else "train", "typed_lines", fa, latin) for i, (fa, latin) in enumerate(texts)]
+    spark.createDataFrame(rows, "example_id long, split string, source string, persian string, latin string").write.parquet(f"{d}/example.parquet")
+    return str(d)
+
+
+def test_eight_readings(spark, lines_dir):
+    rows = D.QUERIES["candidate_softmax_whole"](spark, lines_dir).where("typed = 'sr'").collect()
+    assert sorted(r["ord"] for r in rows) == list(range(8)) and sum(r["probability"] for r in rows) == pytest.approx(1, abs=1e-3)
+    r = H.oracle_recall_whole(spark, lines_dir).collect()[0]
+    assert r["oracle"] == r["n_words"] > r["top_8"] > r["top_3"]
+    assert sorted(r["place"] for r in H.candidate_hits_whole(spark, lines_dir).collect()) == list(range(10))

@@ -283,8 +283,12 @@ for _f in (candidate_softmax, promote_rescale, final_class_tilt, vowel_group_pen
 LINES_SQL = f"(select example_id, pos, typed from (select example_id, unnest(l) as typed, unnest(range(len(l))) as pos from (select example_id, string_split(lower(latin), ' ') as l from example where split <> 'train' and latin is not null)) where typed <> '')"
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "example").where("split <> 'train'").select("example_id", F.posexplode(F.split(F.lower("latin"), " ")).alias("pos", "typed"))
+WHOLE_LINES_SQL = LINES_SQL.replace("split <> 'train' and ", "")
+
+
+def lines(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    rows = table(spark, d, "example")
+    rows = (rows if whole else rows.where("split <> 'train'")).select("example_id", F.posexplode(F.split(F.lower("latin"), " ")).alias("pos", "typed"))
     return rows.where("typed <> ''").withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -292,10 +296,10 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     f"""with s as (select example_id, pos, typed, coalesce(output, typed) as output, coalesce(probability, 0) as probability from {LINES_SQL} left join (select * from {LISTS_SQL} where ord = 0) using (typed))
     select example_id, string_agg(output, ' ' order by pos) as text, round(exp(avg(round(ln(greatest(probability, 1e-9)), 9))), 4) as confidence, count(*) as n_words from s group by example_id"""
 )
-def document_confidence(spark: SparkSession, d: str) -> DataFrame:
+def document_confidence(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Every held-out line put together from the first readings, and the geometric mean of their probabilities."""
-    top = lists(spark, d).where("ord = 0").select("typed", "output", "probability")
-    rows = lines(spark, d).join(top, "typed", "left").select("example_id", "pos", F.coalesce("output", "typed").alias("output"), F.coalesce("probability", F.lit(0.0)).alias("p"))
+    top = lists(spark, d, READINGS if whole else 4).where("ord = 0").select("typed", "output", "probability")
+    rows = lines(spark, d, whole).join(top, "typed", "left").select("example_id", "pos", F.coalesce("output", "typed").alias("output"), F.coalesce("probability", F.lit(0.0)).alias("p"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "output"))), lambda x: x["output"]), " ")
     return rows.groupBy("example_id").agg(text.alias("text"), F.round(F.exp(F.avg(F.round(F.log(F.greatest("p", F.lit(1e-9))), 9))), 4).alias("confidence"), F.count("*").alias("n_words"))
 
@@ -304,10 +308,10 @@ def document_confidence(spark: SparkSession, d: str) -> DataFrame:
     f"""with l as (select example_id, pos, typed, typed in (select typed from {LISTS_SQL}) as known from {LINES_SQL}), r as (select *, sum(case when known then 0 else 1 end) over (partition by example_id order by pos) as run from l)
     select example_id, min(pos) as first_pos, count(*) as n_words from r where known group by example_id, run having count(*) > 1"""
 )
-def context_runs(spark: SparkSession, d: str) -> DataFrame:
+def context_runs(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Runs of two or more neighbouring words with readings; a word without one breaks the run."""
-    known = lists(spark, d).select("typed").distinct().withColumn("known", F.lit(True))
-    rows = lines(spark, d).join(known, "typed", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    known = lists(spark, d, READINGS if whole else 4).select("typed").distinct().withColumn("known", F.lit(True))
+    rows = lines(spark, d, whole).join(known, "typed", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.when(F.col("known"), 0).otherwise(1)).over(Window.partitionBy("example_id").orderBy("pos")))
     return rows.where("known").groupBy("example_id", "run").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_words")).where("n_words > 1").drop("run")
 
@@ -326,11 +330,11 @@ select example_id, array_to_string(path, ' ') as chosen from (select v.*, row_nu
 
 
 @query(VITERBI_SQL)
-def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
+def viterbi_path(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """The readings of every held-out line that fit one another best."""
-    options = lists(spark, d).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("options"))
-    rows = lines(spark, d).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("lists"))
-    pairs = P.top_pairs(spark, d).select("head", "tail", (F.col("pmi") / 6).alias("score"))
+    options = lists(spark, d, READINGS if whole else 4).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("options"))
+    rows = lines(spark, d, whole).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("lists"))
+    pairs = (P.whole_pairs if whole else P.top_pairs)(spark, d).select("head", "tail", (F.col("pmi") / 6).alias("score"))
     return D.chosen_paths(rows, "example_id", pairs).select("example_id", F.array_join("chosen", " ").alias("chosen"))
 
 
@@ -360,13 +364,28 @@ def lexicon_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     d as (select example_id, text, min((k, ord)) as place from a where text <> (select text from base where base.example_id = a.example_id) group by 1, 2)
     select example_id, text, rank from (select example_id, text, row_number() over (partition by example_id order by place) - 1 as rank from d) where rank < 3"""
 )
-def text_alternatives(spark: SparkSession, d: str) -> DataFrame:
+def text_alternatives(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Up to three other readings of every held-out line: one word changed, the least certain first."""
-    options = lists(spark, d).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("o"))
-    rows = lines(spark, d).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("lists"))
+    options = lists(spark, d, READINGS if whole else 4).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("o"))
+    rows = lines(spark, d, whole).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("lists"))
     base = F.transform("lists", lambda o: o[0]["output"])
     places = F.sort_array(F.filter(F.transform("lists", lambda o, i: F.struct(o[0]["probability"].alias("p"), i.alias("i"), F.size(o).alias("n"))), lambda x: x["n"] > 1))
     rows = rows.withColumns({"base": base, "places": F.slice(places, 1, 3)})
     texts = F.flatten(F.transform("places", lambda x: F.transform(F.slice(F.get("lists", x["i"]), 2, 8), lambda c: F.array_join(F.transform("base", lambda b, j: F.when(j == x["i"], c["output"]).otherwise(b)), " "))))
     distinct = F.array_distinct(F.filter(texts, lambda t: t != F.array_join("base", " ")))
     return rows.select("example_id", F.posexplode(F.slice(distinct, 1, 3)).alias("rank", "text")).withColumn("rank", F.col("rank").cast("long"))
+
+
+# The same over every line with a Latin text, eight readings and the whole pair table.
+
+
+def whole_sql(sql: str) -> str:
+    return sql.replace(LINES_SQL, WHOLE_LINES_SQL).replace(LISTS_SQL, WHOLE_LISTS_SQL).replace(P.PMI_SQL, P.WHOLE_PMI_SQL)
+
+
+for _f in (document_confidence, context_runs, viterbi_path, text_alternatives):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
+for _f in (document_confidence, context_runs):
+    ORACLES[f"{_f.__name__}_whole"] = whole_sql(ORACLES[_f.__name__])
+#: Too slow over all lines of larger tables; the tests run it over a few.
+WHOLE_VITERBI_SQL, WHOLE_ALTERNATIVES_SQL = whole_sql(VITERBI_SQL), whole_sql(ORACLES["text_alternatives"])

@@ -46,3 +46,22 @@ def test_eight_readings(spark, lines_dir):
     r = H.oracle_recall_whole(spark, lines_dir).collect()[0]
     assert r["oracle"] == r["n_words"] > r["top_8"] > r["top_3"]
     assert sorted(r["place"] for r in H.candidate_hits_whole(spark, lines_dir).collect()) == list(range(10))
+
+
+def test_every_line(spark, lines_dir):
+    import duckdb
+
+    n = spark.read.parquet(f"{lines_dir}/example.parquet").count()
+    for name, text in (("document_confidence_whole", "text"), ("viterbi_path_whole", "chosen"), ("text_alternatives_whole", "text")):
+        rows = D.QUERIES[name](spark, lines_dir).collect()
+        assert len({r["example_id"] for r in rows}) == n and 0 in {r["example_id"] for r in rows}
+        if name == "viterbi_path_whole":
+            chosen = {r["example_id"]: r[text] for r in rows}
+    assert D.QUERIES["context_runs_whole"](spark, lines_dir).count() == n
+    # only "سور خوب" is a pair with positive information, and its first word is the form's fifth reading
+    assert {chosen[i] for i in range(n - 9, n)} == {"سور خوب"}
+    con = duckdb.connect()
+    con.sql(f"create view example as select * from '{lines_dir}/example.parquet/*.parquet'")
+    assert dict(con.sql(D.WHOLE_VITERBI_SQL).fetchall()) == chosen
+    want = con.sql(f"select example_id, text, rank from ({D.WHOLE_ALTERNATIVES_SQL})").fetchall()
+    assert sorted(map(tuple, D.QUERIES["text_alternatives_whole"](spark, lines_dir).select("example_id", "text", "rank").collect())) == sorted(want)

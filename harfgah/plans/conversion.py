@@ -26,9 +26,19 @@ def engine(spark: SparkSession, d: str) -> Engine:
 
 @query()
 def transliterate_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every document through the whole engine."""
+    return _transliterated(spark, d, "documents", "doc_id", "text")
+
+
+@query()
+def transliterate_chat(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluation message through the whole engine."""
-    out = engine(spark, d).transliterate(table(spark, d, "chat_test"), "id", "input")
-    return out.select("id", "result.text", "result.alternatives", "result.confidence", F.size("result.spans").alias("n_spans"))
+    return _transliterated(spark, d, "chat_test", "id", "input")
+
+
+def _transliterated(spark: SparkSession, d: str, name: str, key: str, text: str) -> DataFrame:
+    out = engine(spark, d).transliterate(table(spark, d, name), key, text)
+    return out.select(key, "result.text", "result.alternatives", "result.confidence", F.size("result.spans").alias("n_spans"))
 
 
 @query()

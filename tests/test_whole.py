@@ -65,3 +65,9 @@ def test_every_line(spark, lines_dir):
     assert dict(con.sql(D.WHOLE_VITERBI_SQL).fetchall()) == chosen
     want = con.sql(f"select example_id, text, rank from ({D.WHOLE_ALTERNATIVES_SQL})").fetchall()
     assert sorted(map(tuple, D.QUERIES["text_alternatives_whole"](spark, lines_dir).select("example_id", "text", "rank").collect())) == sorted(want)
+
+
+def test_documents_are_converted(spark, pairs_dir):
+    spark.createDataFrame([(1, "salam"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{pairs_dir}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in conversion.transliterate_full(spark, pairs_dir).collect()}
+    assert set(rows) == {1, 2, 3} and rows[1] != "salam"

@@ -299,12 +299,13 @@ class Engine:
         return rows.select(F.col(key).alias("key"), "spans").mapInArrow(work, f"key {kind}, result {RESULT}").withColumnRenamed("key", key)
 
 
-def tables_from(counts: DataFrame, loanwords: DataFrame | None = None, pairs: DataFrame | None = None, top: int = 25_000, top_loanwords: int = 50_000) -> Tables:
+def tables_from(counts: DataFrame, loanwords: DataFrame | None = None, pairs: DataFrame | None = None, top: int = 25_000) -> Tables:
     """Tables of a corpus: its top words (word, score 1-255), loanwords (typed, output), pairs (head, tail, pmi).
 
-    Every table is cut to a stated number of rows by count before it comes to the driver.
+    Words are cut to a stated number by count before they come to the driver, pairs when they are built. Loanwords come whole, as any of
+    them can be typed: their table must fit the driver's memory.
     """
     freq = {r["word"]: r["score"] / 255 for r in counts.select("word", "score").orderBy(F.desc("score"), "word").limit(top).collect()}
-    loans = {r["typed"]: [r["output"]] for r in loanwords.select("typed", "output").orderBy("typed").limit(top_loanwords).collect()} if loanwords is not None else {}
+    loans = {r["typed"]: [r["output"]] for r in loanwords.select("typed", "output").collect()} if loanwords is not None else {}
     big = {(r["head"], r["tail"]): r["pmi"] / 6 for r in pairs.select("head", "tail", "pmi").collect()} if pairs is not None else {}
     return Tables(frequency=freq, loanwords=loans, bigrams=big)

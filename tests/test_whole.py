@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from harfgah.engine import tables_from
 from harfgah.plans import candidates as D
 from harfgah.plans import conversion
 from harfgah.plans import corpus as P
@@ -71,3 +72,9 @@ def test_documents_are_converted(spark, pairs_dir):
     spark.createDataFrame([(1, "salam"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{pairs_dir}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in conversion.transliterate_full(spark, pairs_dir).collect()}
     assert set(rows) == {1, 2, 3} and rows[1] != "salam"
+
+
+def test_every_loanword(spark):
+    counts = spark.createDataFrame([("من", 1)], "word string, score int")
+    loans = spark.range(50_001).selectExpr("lpad(id, 6, '0') as typed", "'وام' as output")
+    assert len(tables_from(counts, loans).loanwords) == 50_001

@@ -181,9 +181,9 @@ def loanword_merge(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
 
 
 @query(f"select l.typed, l.output, coalesce(u.score, 0)::integer as score, l.ord from {LISTS_SQL} l left join ({P.ORACLES['unigram_logquant']}) u on u.word = l.output")
-def frequency_scores(spark: SparkSession, d: str) -> DataFrame:
+def frequency_scores(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """The log frequency of each reading; an unknown one scores 0."""
-    return lists(spark, d).join(P.unigram_logquant(spark, d).select(F.col("word").alias("output"), "score"), "output", "left").select("typed", "output", F.coalesce("score", F.lit(0)).alias("score"), "ord")
+    return lists(spark, d, READINGS if whole else 4).join((P.unigram_logquant_whole if whole else P.unigram_logquant)(spark, d).select(F.col("word").alias("output"), "score"), "output", "left").select("typed", "output", F.coalesce("score", F.lit(0)).alias("score"), "ord")
 
 
 @query(
@@ -343,11 +343,11 @@ def viterbi_path(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     a as (select typed, arg_min(output, ord) as output, arg_min(probability, ord) as probability from l where output in (select output from lex) group by typed)
     select b.typed, case when not b.known and a.output is not null and b.probability - a.probability < 0.25 then a.output else b.output end as output from b left join a using (typed)"""
 )
-def lexicon_tiebreak(spark: SparkSession, d: str) -> DataFrame:
+def lexicon_tiebreak(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """An unknown first reading gives way to a lexicon word that is nearly as probable."""
-    rows = lists(spark, d)
+    rows = lists(spark, d, READINGS if whole else 4)
     lex = table(spark, d, "loanwords").where("fa is not null").select(F.col("fa").alias("output")).distinct().withColumn("lex", F.lit(True))
-    freq = P.unigram_logquant(spark, d).select(F.col("word").alias("output"), F.lit(True).alias("freq"))
+    freq = (P.unigram_logquant_whole if whole else P.unigram_logquant)(spark, d).select(F.col("word").alias("output"), F.lit(True).alias("freq"))
     flagged = rows.join(lex, "output", "left").join(freq, "output", "left")
     best = flagged.where("ord = 0").select("typed", "output", "probability", (F.coalesce("lex", F.lit(False)) | F.coalesce("freq", F.lit(False))).alias("known"))
     other = flagged.where("lex").groupBy("typed").agg(F.min(F.struct("ord", "output", "probability")).alias("o"))
@@ -376,6 +376,11 @@ def text_alternatives(spark: SparkSession, d: str, whole: bool = False) -> DataF
     return rows.select("example_id", F.posexplode(F.slice(distinct, 1, 3)).alias("rank", "text")).withColumn("rank", F.col("rank").cast("long"))
 
 
+for _f in (frequency_scores, lexicon_tiebreak):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
+    ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(LISTS_SQL, WHOLE_LISTS_SQL).replace(P.ORACLES["unigram_logquant"], P.ORACLES["unigram_logquant_whole"])
+
+
 # The same over every line with a Latin text, eight readings and the whole pair table.
 
 

@@ -64,6 +64,15 @@ def synthetic_typings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select 'frequency' as name, (row_number() over (order by word) - 1)::integer as place, word from ({P.ORACLES['unigram_logquant']}) where regexp_full_match(word, '[ء-ی]+')")
 def front_decode(spark: SparkSession, d: str) -> DataFrame:
     """The frequency table's words, encoded to bytes and decoded again."""
-    words = [r["word"] for r in P.unigram_logquant(spark, d).where(F.col("word").rlike(r"\A[ء-ی]+\z")).select("word").collect()]  # of two thousand
+    return _front_decoded(spark, P.unigram_logquant(spark, d))
+
+
+@query(ORACLES["front_decode"].replace(P.ORACLES["unigram_logquant"], P.ORACLES["unigram_logquant_whole"]))
+def front_decode_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _front_decoded(spark, P.unigram_logquant_whole(spark, d))
+
+
+def _front_decoded(spark: SparkSession, table: DataFrame) -> DataFrame:
+    words = [r["word"] for r in table.where(F.col("word").rlike(r"\A[ء-ی]+\z")).select("word").collect()]  # of twenty-five thousand at most
     rows = spark.createDataFrame([("frequency", bytearray(codecs.words_to_bytes(words)))], "name string, data binary")
     return codecs.decoded_words(rows, "name", "data")

@@ -44,10 +44,24 @@ def unigram_logquant(spark: SparkSession, d: str) -> DataFrame:
     return C.log_quantised(counts(spark, d), 2000)
 
 
+#: The reference's own table size (build_frequency.py --top), which the engine has too.
+WHOLE_WORDS = 25_000
+
+
+@query(ORACLES["unigram_logquant"].replace("limit 2000", f"limit {WHOLE_WORDS}"))
+def unigram_logquant_whole(spark: SparkSession, d: str) -> DataFrame:
+    return C.log_quantised(counts(spark, d), WHOLE_WORDS)
+
+
 @query(f"with u as {UNIGRAMS_SQL}, k as (select word from u order by n desc, word limit 200) select count(*) as n_words, sum(n)::bigint as n_tokens, round(sum(n) filter (where word in (select word from k)) / sum(n), 6) as coverage from u")
-def vocab_coverage(spark: SparkSession, d: str) -> DataFrame:
+def vocab_coverage(spark: SparkSession, d: str, top: int = 200) -> DataFrame:
     c = counts(spark, d)
-    return C.coverage(c, C.log_quantised(c, 200))
+    return C.coverage(c, C.log_quantised(c, top))
+
+
+@query(ORACLES["vocab_coverage"].replace("limit 200", f"limit {WHOLE_WORDS}"))
+def vocab_coverage_whole(spark: SparkSession, d: str) -> DataFrame:
+    return vocab_coverage(spark, d, WHOLE_WORDS)
 
 
 @query(f"select split, count(*) as n, count(*) filter (where k in (select k from {EVAL_SQL})) as n_leaked from {KEYED_SQL} group by split")
@@ -84,14 +98,19 @@ RAW_WORDS_SQL = f"(select word, replace(word, '{ZWNJ}', '') as solid, count(*) a
     f"""with top as (select word from {UNIGRAMS_SQL} order by n desc, word limit 200), w as (select * from {RAW_WORDS_SQL} where solid not in (select word from top))
     select solid, arg_max(word, (n, word)) as word, sum(n)::bigint as n, count(*) as n_forms from w group by solid having sum(n) >= 2"""
 )
-def supplement_words(spark: SparkSession, d: str) -> DataFrame:
+def supplement_words(spark: SparkSession, d: str, top_words: int = 200) -> DataFrame:
     """Words outside the table, one spelling for each solid form: the commonest."""
     raw = table(spark, d, "example").select(F.explode(F.split("persian", "[ \t\n\f\r؟.،!]+")).alias("word")).where(F.col("word").rlike(f"^[ء-ی{ZWNJ}]+$"))
     words = raw.groupBy("word").agg(F.count("*").alias("n")).withColumn("solid", F.replace("word", F.lit(ZWNJ), F.lit("")))
-    top = counts(spark, d).orderBy(F.desc("n"), "word").limit(200).select(F.col("word").alias("solid"))
+    top = counts(spark, d).orderBy(F.desc("n"), "word").limit(top_words).select(F.col("word").alias("solid"))
     return words.join(top, "solid", "left_anti").groupBy("solid").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.sum("n").alias("n"), F.count("*").alias("n_forms")).where("n >= 2")
 
 
+@query(ORACLES["supplement_words"].replace("limit 200)", f"limit {WHOLE_WORDS})"))
+def supplement_words_whole(spark: SparkSession, d: str) -> DataFrame:
+    return supplement_words(spark, d, WHOLE_WORDS)
+
+
 PAIRS_SQL = f"(select head, tail, count(*) as n_pair from (select unnest(w) as head, unnest(list_concat(w[2:], [null])) as tail from {KEYED_SQL}) where tail is not null group by 1, 2)"
 PMI_SQL = f"""(with u as {UNIGRAMS_SQL}, v as (select * from u order by n desc, word limit 25000), p as {PAIRS_SQL}
  select head, tail, n_pair, pmi from (select p.*, round(least(6, ln((n_pair / (select sum(n_pair) from p)) / ((a.n / (select sum(n) from u)) * (b.n / (select sum(n) from u))))), 6) as pmi

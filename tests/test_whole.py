@@ -78,3 +78,9 @@ def test_every_loanword(spark):
     counts = spark.createDataFrame([("من", 1)], "word string, score int")
     loans = spark.range(50_001).selectExpr("lpad(id, 6, '0') as typed", "'وام' as output")
     assert len(tables_from(counts, loans).loanwords) == 50_001
+
+
+def test_words_beyond_two_thousand(spark, pairs_dir):
+    assert P.unigram_logquant_whole(spark, pairs_dir).count() == conversion.front_decode_whole(spark, pairs_dir).count() == 6600
+    assert P.vocab_coverage_whole(spark, pairs_dir).collect()[0]["coverage"] == 1.0
+    assert P.supplement_words_whole(spark, pairs_dir).count() == 0

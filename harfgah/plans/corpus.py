@@ -318,6 +318,14 @@ def label_vocab(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.col("label") != "", F.desc("n"), "label")) - 1).cast("long"))
 
 
+@query("select label, n, row_number() over (order by label <> '', n desc, label) - 1 as rank from (select label, count(*) as n from (select unnest(labels) as label from example) group by label having count(*) >= 2)")
+def label_vocab_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every output label seen twice or more, as in the reference (train.py), by count, the empty one first."""
+    n = table(spark, d, "example").select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).where("n >= 2")
+    rows = n.select("label", "n", (F.col("label") != "").alias("spelled"), (-F.col("n")).alias("m"))
+    return indexed(rows, ["spelled", "m", "label"], "rank").select("label", "n", "rank")
+
+
 @query("select source, count(*) as n, count(*) filter (where array_to_string(labels, '') = persian) as lossless, count(*) filter (where len(labels) = length(latin)) as aligned from example where labels is not null group by source")
 def label_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Labels must spell the Persian side, and there must be one for each Latin letter."""

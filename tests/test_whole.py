@@ -84,3 +84,10 @@ def test_words_beyond_two_thousand(spark, pairs_dir):
     assert P.unigram_logquant_whole(spark, pairs_dir).count() == conversion.front_decode_whole(spark, pairs_dir).count() == 6600
     assert P.vocab_coverage_whole(spark, pairs_dir).collect()[0]["coverage"] == 1.0
     assert P.supplement_words_whole(spark, pairs_dir).count() == 0
+
+
+def test_every_label(spark, tmp_path):
+    rows = [(["", "ا", f"l{i:03}"],) for i in range(150) for _ in range(2)] + [(["once"],)]
+    spark.createDataFrame(rows, "labels array<string>").write.parquet(f"{tmp_path}/example.parquet")
+    got = {r["label"]: r["rank"] for r in P.label_vocab_whole(spark, str(tmp_path)).collect()}
+    assert sorted(got.values()) == list(range(152)) and got[""] == 0 and got["ا"] == 1 and "once" not in got

@@ -1,7 +1,9 @@
 """The public surface: an engine converts a column of Latin-typed text to Persian script, with alternatives and spans.
 
-Plan: tokens of every text; its different words, converted once each in Arrow batches; joined back by word; one group for
-each text, whose sentence passes run in the row of its spans.
+Plan: words are counted (combined before the one shuffle), the commonest of them converted once each over all cores and
+broadcast, a bounded number; then one scan of the texts, each scanned, converted and put together in its own row. Words
+beyond the common ones are converted where they stand, and remembered by the worker. No token is shuffled, so neither a
+hot word nor a long text comes into one task with others.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harfgah.functions.fold import NormalForm, normalize
-from harfgah.functions.tables import DEMONSTRATIVES, NUMBER_WORDS
-from harfgah.operators import tokens as K
+from harfgah.functions.tables import DEMONSTRATIVES, HOMOGRAPHS, NUMBER_WORDS
+from harfgah.functions.words import englishness_of
 from harfgah.operators.candidates import best_path
-from harfgah.operators.convert import Candidate, Converter, Scoring, Tables, rounded
+from harfgah.operators.channel import Emissions
+from harfgah.operators.convert import Candidate, Converter, Scoring, Tables, rounded, unstretch
 from harfgah.operators.tensors import Weights, beam, forward
-from harfgah.session import spread
+from harfgah.operators.tokens import guard, scanned
+from harfgah.session import parallel, spread
 
 LOCAL_MARKS = NormalForm(digits="preserve", punctuation=True)
 DETACHED = re.compile(r"h[aā]{1,2}(ye|yeh|yi|ei|yam|yat|yash|yeshaan|yetaan|yemaan|yeman|yeshan)?|tar|tarin")
@@ -44,6 +48,8 @@ class Options:
     persian_punctuation: bool = True
     protect: tuple[str, ...] = ()
     force: tuple[str, ...] = ()
+    #: Outputs that a model's beam keeps at each letter.
+    beam: int = 8
 
 
 @dataclass
@@ -67,6 +73,16 @@ class Span:
         self.output, self.confidence = best[0], rounded(best[1])
 
 
+#: Words that are converted beforehand and broadcast; the others are converted in the tasks, with the same results.
+COMMON_WORDS = 50_000
+#: Spans of an Arrow batch; a longer text has a batch of its own.
+SPANS_AT_ONCE = 50_000
+ENGLISH_FROM = 0.5
+COPIED = {"other-script": "non-latin", "identifier": "code"}
+#: The letter by which a model is told that a word ends a clause.
+CLAUSE_END = "$"
+
+
 class Sentence:
     """The passes over the spans of one text, in their order."""
 
@@ -211,6 +227,46 @@ def finished(spans: list[Span], options: Options) -> dict:
     }
 
 
+def spans_of(text: str | None, converter: Converter, options: Options, force: frozenset[str], protect: frozenset[str], common: dict[str, list[Candidate]]) -> list[Span]:
+    """The spans of a text before the sentence passes: what is copied, and why, and the candidates of each word."""
+    s = scanned(text, force)
+    shown = [i for i, k in enumerate(s.kind) if k != "space"]
+    reason: dict[int, str] = {}
+    soft, english = [], []
+    for i in shown:
+        loan = False
+        if s.kind[i] == "word":
+            tok, low = s.tok[i], s.tok[i].lower()
+            if low in protect and low not in force:
+                reason[i] = "english"
+            elif low not in force:
+                base = unstretch(low)[0]
+                loan = converter.loan_forms(base) is not None
+                if not s.starts[i] and tok[0].isupper() and tok[1:2].islower() and base not in HOMOGRAPHS:
+                    reason[i], loan = "english", False
+                elif not loan and englishness_of(base) >= ENGLISH_FROM:
+                    reason[i] = "english"
+        soft.append(loan)
+        english.append(reason.get(i) == "english")
+    for i, back in zip(shown, guard(soft, english), strict=True):
+        if back:
+            reason[i] = "english"
+    out, at = [], 0
+    for i, (kind, tok) in enumerate(zip(s.kind, s.tok, strict=True)):
+        if kind == "word" and i not in reason:
+            low = tok.lower()
+            found = list(common.get(low) or converter.convert(low))
+            out.append(Span(tok, found[0][0], "convert", at, None, rounded(found[0][1]), found))
+        elif kind == "space":
+            out.append(Span(tok, tok, "space", at))
+        elif kind == "punct":
+            out.append(Span(tok, normalize(tok, LOCAL_MARKS) if options.persian_punctuation else tok, "punct", at))
+        else:
+            out.append(Span(tok, tok, "copy", at, reason.get(i) or COPIED.get(kind, kind)))
+        at += len(tok) if tok.isascii() else utf16(tok)
+    return out
+
+
 class Engine:
     """mode rules: candidates by rules and tables; hybrid: a model's outputs join the pool."""
 
@@ -228,84 +284,114 @@ class Engine:
     def has_context(self) -> bool:
         return bool(self.tables.bigrams)
 
-    def converter(self) -> Converter:
+    @property
+    def uses_clause_marker(self) -> bool:
+        """Whether a word's candidates depend on its ending a clause: they do for a model with a letter for the end."""
+        return self.mode != "rules" and self.weights is not None and CLAUSE_END in self.weights.letters
+
+    def converter(self, width: int = 8) -> Converter:
         w = self.weights
         if self.mode == "rules" or w is None:
             return Converter(self.tables, self.scoring)
         place = {c: i + 1 for i, c in enumerate(w.letters)}
-        outputs = lambda word: [o for o, _ in beam(forward(w, [place.get(c, 0) for c in word]), w.labels)]
+        found = lambda word: beam(forward(w, [place.get(c, 0) for c in word]), w.labels, width)
         if self.mode == "hybrid":
-            return Converter(self.tables, self.scoring, outputs)
+            return Converter(self.tables, self.scoring, lambda word: [o for o, _ in found(word)])
 
         class ModelOnly(Converter):
             def pool(self, word: str) -> list[tuple[str, float, str]]:
-                scored = beam(forward(w, [place.get(c, 0) for c in word]), w.labels)
-                return sorted(((o, s + 2 * self.t.frequency.get(o, 0.0), "model") for o, s in scored), key=lambda x: -x[1])
+                return sorted(((o, s + 2 * self.t.frequency.get(o, 0.0), "model") for o, s in found(word)), key=lambda x: -x[1])
 
         return ModelOnly(self.tables, self.scoring)
 
-    def words(self, words: DataFrame, word: str = "word", limit: int = 8) -> DataFrame:
+    def remembered(self, width: int = 8) -> Converter:
+        """The converter of this process: a worker keeps it, and what it has converted, from task to task."""
+        if getattr(self, "_kept", (None, None))[0] != width:
+            self._kept = (width, self.converter(width))
+        return self._kept[1]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
+    def words(self, words: DataFrame, word: str = "word", limit: int = 8, width: int = 8) -> DataFrame:
         """word and candidates (best first) of different typed words, each converted once."""
         share = words.sparkSession.sparkContext.broadcast(self)
         kind = pa.list_(pa.struct([("output", pa.string()), ("probability", pa.float64()), ("reason", pa.string())]))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = share.value.converter()
+            c = share.value.remembered(width)
             for batch in batches:
                 found = [[{"output": o, "probability": p, "reason": r} for o, p, r in c.convert(w)[:limit]] if w is not None else None for w in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["word", "candidates"])
 
         return spread(words.select(F.col(word).alias("word"))).mapInArrow(work, "word string, candidates array<struct<output:string,probability:double,reason:string>>")
 
+    def common_words(self, texts: DataFrame, text: str, width: int = 8, most: int = COMMON_WORDS) -> dict[str, list[Candidate]]:
+        """The commonest words of the texts with all their candidates: at most so many, converted over all cores."""
+        typed = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+(?:['’][a-z]+)*"), 0)).alias("word"))
+        top = typed.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+        rows = self.words(top, limit=1_000, width=width).toArrow()
+        out = {}
+        for w, found in zip(rows.column("word").to_pylist(), rows.column("candidates").to_pylist(), strict=True):
+            out[w] = [(c["output"], c["probability"], c["reason"]) for c in found]
+        return out
+
     def transliterate(self, df: DataFrame, key: str, text: str, options: Options | None = None) -> DataFrame:
-        """key and result (see RESULT) of each text. key must be unique; a null text gives an empty result, as an empty one.
+        """key and result (see RESULT) of each text. A null text gives an empty result, as an empty one; repeated rows come out each.
 
-        Extra columns are left out; join them back by key.
+        Extra columns are left out; join them back by key. One scan of df counts its words, one converts it.
         """
         o = options or Options()
-        loans = df.sparkSession.createDataFrame([(w,) for w in self.tables.loanwords] or [("",)], "word string")
-        flagged = K.guarded(K.classified(K.sentence_flags(K.tokens(df, key, text), key), loans), key)
-        low = F.lower("tok")
-        forced, kept = (low.isin(*(w.lower() for w in ws)) if ws else F.lit(False) for ws in (o.force, o.protect))
-        word = (F.col("kind") == "word") & ~kept & (forced | (F.col("reason").isNull() & ~F.col("guarded")))
-        copied = F.when(F.col("kind") == "word", "english").when(F.col("kind") == "other-script", "non-latin").when(F.col("kind") == "identifier", "code").otherwise(F.col("kind"))
-        action = F.when(word | forced, "convert").when(F.col("kind") == "punct", "punct").otherwise("copy")
-        spans = flagged.select(key, "pos", "tok", action.alias("action"), F.when(action == "copy", copied).alias("reason"))
-        blanks = K.tokens(df, key, text).where("kind = 'space'").select(key, "pos", "tok", F.lit("space").alias("action"), F.lit(None).cast("string").alias("reason"))
-        spans = spans.unionByName(blanks)
-        asked = spans.where("action = 'convert'").select(F.lower("tok").alias("word")).distinct()
-        spans = spans.withColumn("word", F.when(F.col("action") == "convert", F.lower("tok"))).join(self.words(asked), "word", "left")
-        rows = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "tok", "action", "reason", "candidates"))).alias("spans"))
-        rows = df.select(key).join(rows, key, "left")
-        share = df.sparkSession.sparkContext.broadcast(self)
+        spark = df.sparkSession
+        texts = parallel(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+        common = self.common_words(texts, "text", o.beam)
+        share = spark.sparkContext.broadcast((self, common))
+        force, protect = (frozenset(w.lower() for w in ws) for ws in (o.force, o.protect))
         kind, shape = df.schema[key].dataType.simpleString(), RESULT_SHAPE
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sentence = Sentence(share.value.converter(), o)
+            engine, common = share.value
+            sentence = Sentence(engine.remembered(o.beam), o)
             for batch in batches:
-                out = []
-                for row in batch.column(1).to_pylist():
-                    spans, at = [], 0
-                    for t in row or []:
-                        found = [(c["output"], c["probability"], c["reason"]) for c in t["candidates"] or []]
-                        tok = t["tok"]
-                        output = found[0][0] if found else normalize(tok, LOCAL_MARKS) if t["action"] == "punct" and o.persian_punctuation else tok
-                        spans.append(Span(tok, output, t["action"], at, t["reason"], rounded(found[0][1]) if found else 1.0, found))
-                        at += utf16(tok)
+                keys, out, start, size = batch.column(0), [], 0, 0
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    spans = spans_of(t, sentence.c, o, force, protect, common)
                     sentence.run(spans)
                     out.append(finished(spans, o))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, shape)], names=["key", "result"])
+                    size += len(spans)
+                    if size > SPANS_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), pa.array(out, shape)], names=["key", "result"])
+                        out, start, size = [], i + 1, 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), pa.array(out, shape)], names=["key", "result"])
+
+        return texts.mapInArrow(work, f"key {kind}, result {RESULT}").withColumnRenamed("key", key)
+
 
-        return rows.select(F.col(key).alias("key"), "spans").mapInArrow(work, f"key {kind}, result {RESULT}").withColumnRenamed("key", key)
+def bounded(rows: DataFrame, most: int, name: str) -> list:
+    """The rows of a table on the driver; an error if there are more than its stated bound."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} {name}: give a smaller table, or a greater bound if the driver and executors can hold it")
+    return found
 
 
-def tables_from(counts: DataFrame, loanwords: DataFrame | None = None, pairs: DataFrame | None = None, top: int = 25_000) -> Tables:
-    """Tables of a corpus: its top words (word, score 1-255), loanwords (typed, output), pairs (head, tail, pmi).
+def tables_from(counts: DataFrame, loanwords: DataFrame | None = None, pairs: DataFrame | None = None, top: int = 25_000, vowels: DataFrame | None = None, lexicon: DataFrame | None = None, emissions: Emissions | None = None, most: int = 1_000_000) -> Tables:
+    """Tables of a corpus: its top words (word, score 1-255), loanwords (typed, output or forms), pairs (head, tail, pmi),
+    vowels (word, vowels), lexicon (word), and fitted emissions.
 
-    Words are cut to a stated number by count before they come to the driver, pairs when they are built. Loanwords come whole, as any of
-    them can be typed: their table must fit the driver's memory.
+    Words are cut to a stated number by count, the vowels to those words; of pairs, loanwords and lexicon every row counts,
+    so none is cut: more than most of them are an error.
     """
     freq = {r["word"]: r["score"] / 255 for r in counts.select("word", "score").orderBy(F.desc("score"), "word").limit(top).collect()}
-    loans = {r["typed"]: [r["output"]] for r in loanwords.select("typed", "output").collect()} if loanwords is not None else {}
-    big = {(r["head"], r["tail"]): r["pmi"] / 6 for r in pairs.select("head", "tail", "pmi").collect()} if pairs is not None else {}
-    return Tables(frequency=freq, loanwords=loans, bigrams=big)
+    loans = {}
+    if loanwords is not None:
+        forms = F.col("forms") if "forms" in loanwords.columns else F.array("output")
+        loans = {r["typed"]: r["forms"] for r in bounded(loanwords.select("typed", forms.alias("forms")), most, "loanwords")}
+    big = {(r["head"], r["tail"]): r["pmi"] / 6 for r in bounded(pairs.select("head", "tail", "pmi"), most, "pairs")} if pairs is not None else {}
+    lex = frozenset(r["word"] for r in bounded(lexicon.select("word"), most, "lexicon words")) if lexicon is not None else frozenset()
+    said = {}
+    if vowels is not None:
+        known = counts.select("word", "score").orderBy(F.desc("score"), "word").limit(top).select("word")
+        said = {r["word"]: r["vowels"] for r in vowels.join(known, "word", "left_semi").select("word", "vowels").collect()}
+    return Tables(frequency=freq, loanwords=loans, bigrams=big, lexicon=lex, vowels=said, emissions=emissions)

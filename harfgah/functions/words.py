@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,6 +92,24 @@ def englishness(c: Column) -> Column:
     return F.when(F.length(c) < 2, 0.0).when(c.isin(*sorted(HOMOGRAPHS)), 0.0).when(c.isin(*sorted(ENGLISH)), 1.0).otherwise(score)
 
 
+_doubled = re.compile(r"(.)\1")
+_long = re.compile("aa|ee|oo|ii|uu")
+_silent_e = re.compile("[bcdfgklmnprstvz]e$")
+
+
+@lru_cache(100_000)
+def englishness_of(word: str) -> float:
+    """englishness of one word."""
+    if len(word) < 2 or word in HOMOGRAPHS:
+        return 0.0
+    if word in ENGLISH:
+        return 1.0
+    score = 0.45 * any(word.endswith(s) and len(word) >= (6 if s in ("ize", "ise") else len(s) + 2) for s in ENGLISH_SUFFIXES)
+    score += 0.5 * ("wh" in word) + 0.35 * ("th" in word) + 0.08 * sum(k in word for k in ENGLISH_CLUSTERS)
+    score += 0.2 * bool(_doubled.search(word) and not _long.search(word)) + 0.15 * bool(len(word) > 3 and _silent_e.search(word))
+    return min(round(score, 2), 0.99)
+
+
 UNIT_PATTERN = "|".join([*latin_units(), "(?s:.)"])
 
 
@@ -122,6 +141,21 @@ def confusable_key(c: Column) -> Column:
     return F.translate(c, "اآوی", "")
 
 
+def without_link(word: Column, typed: Column) -> Column:
+    """A typing without the linking vowel that its sentence put behind it: e after a consonant, ye after a vowel."""
+    e = ~word.rlike("[اآویه]$") & typed.rlike("[^aeoiu]e$") & (F.length(typed) > 1)
+    ye = word.rlike("[اوی]$") & typed.rlike("[aeoiu]ye$") & (F.length(typed) > 2)
+    return F.when(e, F.left(typed, F.length(typed) - 1)).when(ye, F.left(typed, F.length(typed) - 2)).otherwise(typed)
+
+
+def said_vowels(typed: Column) -> Column:
+    """The vowels of a typing, one letter each: a e o, A i u for the long ones, a y between consonants as i."""
+    for spelled, vowel in (("aa", "A"), ("ee", "i"), ("ii", "i"), ("oo", "u"), ("ou", "u"), ("uu", "u")):
+        typed = F.replace(typed, F.lit(spelled), F.lit(vowel))
+    typed = F.regexp_replace(typed, "([^aeoAiuy])y([^aeoAiuy])", "$1i$2")
+    return F.regexp_replace(typed, "[^aeoAiu]", "")
+
+
 def persian_skeleton(c: Column) -> Column:
     """Consonants only, homophones as one, doubles once, no final he; null for a word with anything but letters."""
     s = F.translate(c, "صثذضظطغحعءئؤأآاویۀ" + ZWNJ, "سسزززتقه")

@@ -2,30 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harfgah.functions.tables import MIN_STEM, PLURAL, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, PREFIXES, SUFFIXES
 
 
-def loan_endings() -> list[tuple[str, str, str, bool, int]]:
-    """(ending, tail, Persian, after a vowel, parts) of every ending a loanword can take: plural, possessive, marker o or e."""
-    out = set()
+#: What a word ends in, as far as endings care: a long vowel, ye, he, or any other letter.
+LAST = {"ا": "long", "و": "long", "ی": "ye", "ه": "he"}
+
+
+@cache
+def loan_endings(last: str) -> dict[str, tuple[int, tuple[str, ...]]]:
+    """Typed ending to (parts, Persian endings) for a loanword that ends like this; of several readings the one of fewest parts.
+
+    Parts are plural, possessive, and a final o (marker), i (the ending ye) or e (unwritten, or he).
+    """
+    out: dict[str, tuple[int, tuple[str, ...]]] = {}
     for plural, of_plural in [("", ""), *PLURAL.items()]:
-        for vowel in (True, False):
-            # every plural ends in alef, so what follows it follows a vowel
-            table = POSSESSIVE_AFTER_VOWEL if vowel or plural else POSSESSIVE_AFTER_CONSONANT
-            for own, of_own in [("", ""), *table.items()]:
-                for tail, of_tail in (("", ""), ("o", "و"), ("e", "")):
-                    out.add((plural + own, tail, of_plural + of_own + of_tail, vowel, bool(plural) + bool(own) + bool(tail)))
-    return sorted(out)
+        # every plural ends in alef, so what follows it follows a vowel
+        owners = POSSESSIVE_AFTER_VOWEL if plural or last != "other" else POSSESSIVE_AFTER_CONSONANT
+        for owner, of_owner in [("", ""), *owners.items()]:
+            so_far = of_plural + of_owner
+            end = LAST.get(so_far[-1], "other") if so_far else last
+            i = {"long": "یی", "ye": "", "he": "ای", "other": "ی"}[end]
+            for tail, forms in (("", ("",)), ("o", ("و",)), ("i", (i,)), ("e", ("", "ه"))):
+                typed, parts = plural + owner + tail, bool(plural) + bool(owner) + bool(tail)
+                if parts and parts < out.get(typed, (9,))[0]:
+                    out[typed] = (parts, tuple(so_far + f for f in forms))
+    return out
+
+
+def loan_forms(word: str, table: Mapping[str, Sequence[str]]) -> list[str] | None:
+    """The spellings of a typed word that the table has, bare or with endings on the longest stem; None if it has none.
+
+    A stem may have dropped its silent final e. Only a bare word keeps more than its first spelling.
+    """
+    if word in table:
+        return list(table[word])
+    for cut in range(len(word) - 1, 1, -1):
+        typed, rest = word[:cut], word[cut:]
+        stem = table.get(typed) or (None if typed[-1] == "e" else table.get(typed + "e"))
+        found = stem and loan_endings(LAST.get(stem[0][-1:], "other")).get(rest)
+        if found:
+            return [stem[0] + ending for ending in found[1]]
+    return None
 
 
 def with_endings(stems: DataFrame) -> DataFrame:
-    """typed, output, parts, stem (length) of loanwords en, fa with every ending; a fixed number for each."""
-    endings = F.array(*(F.struct(F.lit(e + t).alias("ending"), F.lit(p).alias("persian"), F.lit(v).alias("vowel"), F.lit(n).alias("parts")) for e, t, p, v, n in loan_endings()))
-    rows = stems.select("en", "fa", F.inline(endings)).where(F.col("vowel") == F.col("fa").rlike("[اویه]$"))
-    return rows.select(F.concat("en", "ending").alias("typed"), F.concat("fa", "persian").alias("output"), "parts", F.length("en").alias("stem"))
+    """typed, forms, cut (letters of the stem as typed) of loanwords en, fa with every ending; a fixed number for each."""
+    rows = [(last, typed, list(forms)) for last in ("long", "ye", "he", "other") for typed, (_, forms) in loan_endings(last).items()]
+    # a fixed table of endings
+    endings = F.broadcast(stems.sparkSession.createDataFrame(rows, "last string, ending string, endings array<string>"))
+    last = F.right("fa", F.lit(1))
+    of = F.when(last.isin("ا", "و"), "long").when(last == "ی", "ye").when(last == "ه", "he").otherwise("other")
+    # a bare stem keeps any other that would need its silent e from being tried
+    short = stems.where("en like '%e'").select(F.expr("left(en, length(en) - 1)").alias("stem"), "fa", F.lit(True).alias("silent")).where(F.col("stem").rlike("[^e]$") & (F.length("stem") > 1))
+    short = short.join(stems.select(F.col("en").alias("stem")), "stem", "left_anti")
+    whole = stems.select(F.col("en").alias("stem"), "fa", F.lit(False).alias("silent")).where(F.length("stem") > 1)
+    rows = whole.unionByName(short.groupBy("stem", "silent").agg(F.min("fa").alias("fa")))
+    rows = rows.withColumn("last", of).join(endings, "last")
+    return rows.select(F.concat("stem", "ending").alias("typed"), F.transform("endings", lambda e: F.concat(F.col("fa"), e)).alias("forms"), F.length("stem").alias("cut"))
 
 
 def decomposed(words: DataFrame, word: str) -> DataFrame:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harfgah.functions.tables import CORRESPONDENCES, latin_units, reverse_index
+from harfgah.functions.tables import ANY_VOWEL, CORRESPONDENCES, TYPED_VOWELS, latin_units, reverse_index
 from harfgah.session import spread
 
 UNIT_COST, UNKNOWN_COST = 1.2, 6.0
@@ -31,9 +33,20 @@ def reverse_table(rules: DataFrame) -> DataFrame:
     return summed.withColumn("rank", F.row_number().over(Window.partitionBy("unit", "position").orderBy(F.desc("w"), "fa")) - 1)
 
 
+@cache
+def _unit_lengths() -> tuple[frozenset[str], tuple[int, ...]]:
+    units = latin_units()
+    return frozenset(units), tuple(sorted({len(u) for u in units}, reverse=True))
+
+
+def units_at(word: str, at: int) -> list[str]:
+    """The units that stand at a place, longest first."""
+    units, lengths = _unit_lengths()
+    return [u for k in lengths if at + k <= len(word) and (u := word[at : at + k]) in units]
+
+
 def segment_all(word: str, limit: int) -> list[list[str]]:
     """Up to limit ways to cut a word into units, longest unit first at each place (depth first)."""
-    units = latin_units()
     out: list[list[str]] = []
     stack: list[tuple[int, tuple[str, ...]]] = [(0, ())]
     while stack and len(out) < limit:
@@ -41,7 +54,7 @@ def segment_all(word: str, limit: int) -> list[list[str]]:
         if at == len(word):
             out.append(list(done))
             continue
-        stack.extend((at + len(u), (*done, u)) for u in reversed(units) if word.startswith(u, at))
+        stack.extend((at + len(u), (*done, u)) for u in reversed(units_at(word, at)))
     return out
 
 
@@ -56,30 +69,55 @@ def segmentations(words: DataFrame, word: str, limit: int = 8) -> DataFrame:
     return words.select(F.col(word).alias("word")).mapInArrow(work, "word string, rank int, units array<string>")
 
 
-def walk(units: list[str], width: int, index: dict[tuple[str, str], list[tuple[str, float, bool]]]) -> list[tuple[str, float]]:
-    """The best spellings of one segmentation: a beam of this width over the units, one entry for each output."""
-    beam = {"": 0.0}
-    for i, unit in enumerate(units):
-        position = "initial" if i == 0 else "final" if i == len(units) - 1 else "medial"
-        choices = index.get((unit, position), [])
+Steps = dict[tuple[str, str], list[tuple[str, float]]]
+
+
+@cache
+def unit_steps() -> Steps:
+    """What each unit can become at each place, with its gain."""
+    out = {}
+    for key, choices in reverse_index().items():
         total = sum(w for _, w, _ in choices)
-        steps = [(fa, math.log(w / total) - UNIT_COST) for fa, w, _ in choices] or [(unit, -UNKNOWN_COST - UNIT_COST)]
-        grown: dict[str, float] = {}
-        for output, score in beam.items():
-            for fa, gain in steps:
-                if score + gain > grown.get(output + fa, -math.inf):
-                    grown[output + fa] = score + gain
-        beam = dict(sorted(grown.items(), key=lambda x: -x[1])[:width])
-    return list(beam.items())
+        out[key] = [(fa, math.log(w / total) - UNIT_COST) for fa, w, _ in choices]
+    return out
+
+
+def stepped(beam: dict[str, float], steps: list[tuple[str, float]], width: int) -> dict[str, float]:
+    """The best outputs after one more unit, best first."""
+    grown: dict[str, float] = {}
+    get = grown.get
+    for output, score in beam.items():
+        for fa, gain in steps:
+            o, x = output + fa, score + gain
+            if x > get(o, -math.inf):
+                grown[o] = x
+    return dict(sorted(grown.items(), key=_score, reverse=True)[:width])
+
+
+_score = itemgetter(1)
 
 
 def walked(word: str, width: int = 48, limit: int = 8) -> dict[str, float]:
-    """Every output of the beams of a word's segmentations with its best score."""
-    index, out = reverse_index(), {}
+    """Every output of the beams of a word's segmentations with its best score.
+
+    A beam of this width goes over the units of each segmentation; segmentations that begin alike share their beginning.
+    """
+    steps, out = unit_steps(), {}
+    shared: dict[tuple[str, ...], dict[str, float]] = {(): {"": 0.0}}
     for units in segment_all(word, limit):
-        for output, score in walk(units, width, index):
-            if score > out.get(output, -math.inf):
-                out[output] = score
+        last = len(units) - 1
+        for i, unit in enumerate(units):
+            position = "initial" if i == 0 else "final" if i == last else "medial"
+            key = tuple(units[: i + 1])
+            if i < last and key in shared:
+                continue
+            beam = stepped(shared[key[:-1]], steps.get((unit, position)) or [(unit, -UNKNOWN_COST - UNIT_COST)], width)
+            if i < last:
+                shared[key] = beam
+            else:
+                for output, score in beam.items():
+                    if score > out.get(output, -math.inf):
+                        out[output] = score
     return out
 
 
@@ -143,6 +181,25 @@ def tilted(candidates: DataFrame, keys: list[str], favoured: Column, log_gain: f
     return out.withColumn("ord", rank).drop("_w", "_mixed")
 
 
+def vowel_slots(typed: Column) -> Column:
+    """What each run of typed vowels can stand for, as an array of vowel letters; a y counts between consonants."""
+    runs = F.regexp_extract_all(typed, F.lit("(?:[aeiou]|(?<=[^aeiou])y(?![aeiou]))+"), 0)
+    known = F.create_map(*(F.lit(x) for kv in TYPED_VOWELS.items() for x in kv))
+    return F.transform(runs, lambda r: F.coalesce(F.try_element_at(known, r), F.lit(ANY_VOWEL)))
+
+
+def vowel_misses(slots: Column, vowels: Column) -> Column:
+    """Edit distance of typed vowels to a word's; a vowel of the word that wasn't typed costs nothing."""
+    n = F.length(vowels)
+
+    def step(row: Column, can: Column) -> Column:
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        cost = lambda j: F.least(F.get(row, j - 1) + F.contains(can, vowels.substr(j, F.lit(1))).cast("int") * -1 + 1, F.get(row, j) + 1)
+        return F.aggregate(places, F.array(F.get(row, F.lit(0)) + 1), lambda new, j: F.concat(new, F.array(F.least(cost(j), F.element_at(new, -1)))))
+
+    return F.element_at(F.aggregate(slots, F.array_repeat(F.lit(0), n + 1), step), -1)
+
+
 def penalised(candidates: DataFrame, keys: list[str], group: str, misses: str, weight: float, digits: int = 4) -> DataFrame:
     """Within a group of confusable outputs, e**(-weight) for each miss more than the group's least; renormalised if any."""
     g, w = Window.partitionBy(*keys, group), Window.partitionBy(*keys)

@@ -42,6 +42,18 @@ class Channel:
     def __init__(self, emissions: Emissions | None = None) -> None:
         # of each (Persian, position): spelling, its length, log probability, doubled spelling if it can be
         self.ways = {k: [(s, len(s), p, s * 2 if len(s) == 1 and s not in "aeiou" else "") for s, p in of.items()] for k, of in (emissions or from_rules()).items()}
+        # of each (Persian, position): spelling or doubled spelling to log probability
+        self.spelled: dict[tuple[str, str], dict[str, float]] = {}
+        for k, ways in self.ways.items():
+            of = self.spelled[k] = {}
+            for s, _, p, double in ways:
+                of[s] = max(p, of.get(s, -math.inf))
+                if double:
+                    of[double] = max(p + GEMINATION, of.get(double, -math.inf))
+        self.longest = max((len(s) for of in self.spelled.values() for s in of), default=0)
+
+    def scorer(self, latin: str) -> Scorer:
+        return Scorer(self, latin)
 
     def best(self, latin: str, fa: str) -> tuple[float, list[tuple[str, str, str]]]:
         """Log probability of the best way to type fa as latin, and its steps (Persian, position, typed); minus infinity and none if there is no way.
@@ -81,12 +93,65 @@ class Channel:
 
     @staticmethod
     def insert(states: dict[int, tuple], latin: str, i: int) -> None:
-        vowel = math.log(INSERTION / len(SHORT_VOWELS))
+        vowel = VOWEL_COST
         for j, (score, *_) in list(states.items()):
             if latin[j : j + 1] in SHORT_VOWELS and (j + 1 not in states or score + vowel > states[j + 1][0]):
                 states[j + 1] = (score + vowel, i, j, ("", "medial", latin[j]))
 
 
+VOWEL_COST = math.log(INSERTION / len(SHORT_VOWELS))
+
+
+class Scorer:
+    """Scores of many Persian words for one typing; words that begin alike share the work on their beginnings."""
+
+    def __init__(self, channel: Channel, latin: str) -> None:
+        self.spelled, self.latin, self.size = channel.spelled, latin, len(latin)
+        # what is typed from each place: spelling and the place after it
+        self.typed = [[(latin[j : j + k], j + k) for k in range(min(channel.longest, self.size - j) + 1)] for j in range(self.size + 1)]
+        self.vowel = [c in SHORT_VOWELS for c in latin]
+        self.steps: dict[tuple[str, str], list[list[tuple[int, float]]]] = {}
+        # of each beginning: place in latin to the best score
+        self.states: dict[str, dict[int, float]] = {"": {0: 0.0}}
+
+    def moves(self, key: tuple[str, str]) -> list[list[tuple[int, float]]] | None:
+        """From each place in latin, where a letter can lead and at what log probability; None if it has no spelling here."""
+        of = self.spelled.get(key)
+        found = of and [[(after, of[s]) for s, after in typed if s in of] for typed in self.typed]
+        self.steps[key] = found = found if found and any(found) else None
+        return found
+
+    def grown(self, fa: str, last: str) -> dict[int, float]:
+        """Scores after all of fa, its last letter or pair being medial or final."""
+        n, out, steps, states = len(fa), {}, self.steps, self.states
+        for k in (1, 2) if n > 1 else (1,):
+            key = (fa[n - k :], "initial" if n == k else last)
+            moves = steps[key] if key in steps else self.moves(key)
+            if moves:
+                start = fa[: n - k]
+                before = states[start] if start in states else self.reached(start)
+                for j, score in before.items():
+                    for after, p in moves[j]:
+                        x = score + p
+                        if after not in out or x > out[after]:
+                            out[after] = x
+        vowel, size = self.vowel, self.size
+        for j, score in list(out.items()):
+            if j < size and vowel[j] and (j + 1 not in out or score + VOWEL_COST > out[j + 1]):
+                out[j + 1] = score + VOWEL_COST
+        return out
+
+    def reached(self, fa: str) -> dict[int, float]:
+        if fa not in self.states:
+            self.states[fa] = self.grown(fa, "medial")
+        return self.states[fa]
+
+    def score(self, fa: str) -> float:
+        """What Channel.best gives, without the steps."""
+        fa = fa.replace(ZWNJ, "")
+        return (self.grown(fa, "final") if fa else self.states[""]).get(self.size, -math.inf)
+
+
 @lru_cache(4)
 def _shared() -> Channel:
     return Channel()

@@ -12,10 +12,13 @@ from dataclasses import dataclass, field
 
 from harfgah.functions.fold import ZWNJ, normalize
 from harfgah.functions.tables import ANY_VOWEL, EZAFE_HEADS, LINK, MIN_STEM, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, PREFIXES, SUFFIX_AFTER_HE, SUFFIXES, TANVIN_ADVERBS, TYPED_VOWELS, WORD_EXCEPTIONS
+from harfgah.operators.affixes import loan_forms
 from harfgah.operators.candidates import walked
 from harfgah.operators.channel import Channel, Emissions
 
 Candidate = tuple[str, float, str]  # output, probability, reason
+#: Words of which a converter keeps the candidates; beyond it, it starts anew, with the same results.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -171,7 +174,8 @@ class Converter:
 
     def pool(self, word: str) -> list[tuple[str, float, str]]:
         s, t = self.s, self.t
-        beam = sorted(walked(word, s.width, s.segmentations).items(), key=lambda x: -x[1])
+        # gains add up and are independent, so an output's beginning ranks no lower than the output: carry is wide enough for the carried ones
+        beam = sorted(walked(word, min(s.width, s.carry) if t.frequency else s.width, s.segmentations).items(), key=lambda x: -x[1])
         if not t.frequency:
             scored = [(o, x + (s.lexicon if o in t.lexicon else 0.0), "rules") for o, x in beam]
             return sorted(scored, key=lambda x: -x[1])
@@ -183,10 +187,11 @@ class Converter:
         offered += ((o, of.get(o), "dictionary") for o in t.buckets.get(key, ())[: s.bucket] if key is not None)
         offered += ((o, of.get(o, low), "model") for o in (self.extra(word) if self.extra else ()))
         out: dict[str, tuple[str, float, str]] = {}
+        fit_of = self.channel.scorer(word).score
         for o, x, source in offered:
             if o in out:
                 continue
-            fit, freq = self.channel.best(word, o)[0], t.frequency.get(o, 0.0)
+            fit, freq = fit_of(o), t.frequency.get(o, 0.0)
             if fit == -math.inf:
                 out[o] = (o, -1e6 + (x if x is not None else -1e6), f"{source}, unaligned")
             elif freq:
@@ -198,7 +203,7 @@ class Converter:
                 cost = s.affix * (len(suffixes) + bool(prefix))
                 for fa in t.buckets.get(latin_key(stem), ())[: s.stem_bucket]:
                     o = put_together(prefix, fa, suffixes)
-                    fit = self.channel.best(word, o)[0]
+                    fit = fit_of(o)
                     if fit > -math.inf and not (o in out and o in t.frequency):
                         x = fit + s.frequency * t.frequency[fa] + cost
                         if o not in out or x > out[o][1]:
@@ -220,13 +225,16 @@ class Converter:
         return word if f.get(word) else solid if f.get(solid := word.replace(ZWNJ, "")) else None
 
     def base(self, word: str) -> list[Candidate]:
-        """Candidates of a word without stretches; made once."""
+        """Candidates of a word without stretches; made once while it is remembered."""
         if word not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
             found = self.loanword(word, self.vowel_agreement(word, self.generated(word, 8 if self.t.bigrams else 3)))
             if self.t.frequency and found and found[0][2] != "loanword":
                 for step in (self.hiatus, self.short_vav, self.glued_link, self.after_he, self.tanvin, self.marker, self.plural_marker, self.copula):
                     found = step(word, found)
             self.known[word] = found
+            return found
         return self.known[word]
 
     def convert(self, typed: str) -> list[Candidate]:
@@ -254,9 +262,12 @@ class Converter:
         ranked = [(o, rounded(w / total), r) for (o, _, r), w in zip(found, weight, strict=True)]
         return sorted(ranked, key=lambda c: -c[1])
 
+    def loan_forms(self, word: str) -> list[str] | None:
+        return loan_forms(word, self.t.loanwords) if self.t.loanwords else None
+
     def loanword(self, word: str, found: list[Candidate]) -> list[Candidate]:
         fixed = WORD_EXCEPTIONS.get(word)
-        forms = [fixed] if fixed else self.t.loanwords.get(word)
+        forms = [fixed] if fixed else self.loan_forms(word)
         if not forms:
             return found
         shares = [0.9] if len(forms) == 1 else [0.54, 0.36]

@@ -1,65 +1,162 @@
-"""The lossless scanner, and the flags that depend on a token's neighbours."""
+"""The lossless scanner, and the flags that depend on a token's neighbours.
+
+A text is scanned whole in its own row, in Arrow batches: kinds, offsets and the flags that depend on neighbours come out
+of one pass, so that no token is shuffled or sorted to find the one before it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harfgah.functions.tables import HOMOGRAPHS
 from harfgah.functions.words import englishness, unstretched
 
+# Fixed values of the scanner's format.
 TLD = "com|org|net|io|dev|ir|co|app|ai|me|sh|xyz|edu|gov"
-EMOJI = "[☀-➿⭐-⭕\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001faff]"
-#: Tried in this order at each place; all of it works the same in Java and RE2.
+BLANKS = "\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+ADDRESS = rf"[^{BLANKS}<>()\[\]{{}}\"']"
+#: Tried in this order at each place. Those up to identifier can be overruled by a word that the caller wants converted.
 KINDS: list[tuple[str, str]] = [
     ("code", "`[^`]*`"),
-    ("url", r"(?:[A-Za-z][A-Za-z0-9+.-]*://|www\.)[^ \t\n\f\r<>()\[\]{}\"']+|[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.(?:" + TLD + r")(?:/[^ \t\n\f\r<>()\[\]{}\"']*)?"),
+    ("url", rf"(?:[A-Za-z][A-Za-z0-9+.-]*://|[Ww]{{3}}\.){ADDRESS}+|[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.(?i:{TLD})(?:/{ADDRESS}*)?"),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("mention", "@[A-Za-z0-9_.]{1,40}"),
     ("hashtag", r"#[\p{L}\p{N}_]{1,60}"),
     ("number", r"[+-]?[0-9][0-9,._:/-]*[0-9]%?|[+-]?[0-9]%?"),
-    ("identifier", "[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Za-z]+[0-9]+[A-Za-z0-9]*"),
-    ("emoji", f"{EMOJI}[️‍\U0001f3fb-\U0001f3ff]*"),
-    ("other-script", r"[\p{Arabic}\p{Cyrillic}\p{Greek}\p{Han}]+"),
+    ("identifier", "[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Z]{2,}[0-9]*(?![a-z])|[A-Za-z]+[0-9]+[A-Za-z0-9]*"),
+    ("emoji", r"(?:\p{Extended_Pictographic}|\p{Emoji_Presentation})(?:\ufe0f|\u200d\p{Extended_Pictographic}|\p{Emoji_Modifier})*"),
+    ("other-script", r"[^\p{Latin}\p{P}\p{Z}\p{N}\p{C}]+"),
     ("word", "[A-Za-z]+(?:['’][A-Za-z]+)*"),
-    ("space", "[ \t\n\f\r]+"),
+    ("space", f"[{BLANKS}]+"),
     ("punct", r"[\p{P}\p{S}]+"),
 ]
-JAVA = {r"\p{Arabic}": r"\p{IsArabic}", r"\p{Cyrillic}": r"\p{IsCyrillic}", r"\p{Greek}": r"\p{IsGreek}", r"\p{Han}": r"\p{IsHan}"}
-PATTERN = "|".join(p for _, p in KINDS) + "|(?s:.)"
-
+HARD = 7
+_names = {k.replace("-", "_"): k for k, _ in KINDS}
+_all = regex.compile("|".join(f"(?P<{k.replace('-', '_')}>{p})" for k, p in KINDS) + "|(?s:.)")
+_each = [(k, regex.compile(p)) for k, p in KINDS]
+_ends = regex.compile(r"[.!?؟۔]$")
 
-def java(pattern: str) -> str:
-    for a, b in JAVA.items():
-        pattern = pattern.replace(a, b)
-    return pattern
 
+def scan(text: str, force: frozenset[str] = frozenset()) -> Iterator[tuple[str, str]]:
+    """(kind, token) of a text, nothing lost; a character that nothing takes is a mark (punct) of its own.
 
-def kind_of(tok: Column) -> Column:
-    out = F.when(F.lit(False), "")
-    for kind, p in KINDS:
-        out = out.when(tok.rlike(f"^(?:{java(p)})$"), kind)
-    return out.otherwise("punct")
+    force: words in lower case that no pattern before the word's may take.
+    """
+    if not force:
+        for m in _all.finditer(text):
+            yield _names.get(m.lastgroup, "punct"), m[0]
+        return
+    at = 0
+    while at < len(text):
+        for i, (kind, p) in enumerate(_each):
+            m = p.match(text, at)
+            if m and m[0] and not (i < HARD and m[0].lower() in force):
+                break
+        else:
+            kind, m = "punct", regex.compile("(?s:.)").match(text, at)
+        yield kind, m[0]
+        at = m.end()
+
+
+@dataclass
+class Scanned:
+    """The tokens of one text. starts: begins a sentence; ends: the clause ends behind it; both hold for tokens but blanks."""
+
+    kind: list[str]
+    tok: list[str]
+    starts: list[bool]
+    ends: list[bool]
+
+
+def scanned(text: str | None, force: frozenset[str] = frozenset()) -> Scanned:
+    kind: list[str] = []
+    tok: list[str] = []
+    for k, t in scan(text, force) if text else ():
+        kind.append(k)
+        tok.append(t)
+    n = len(tok)
+    starts, ends = [False] * n, [False] * n
+    begins = True
+    for i, k in enumerate(kind):
+        if k != "space":
+            starts[i] = begins
+            begins = k == "punct" and _ends.search(tok[i]) is not None
+    final = True
+    for i in range(n - 1, -1, -1):
+        if kind[i] != "space":
+            ends[i] = final
+            final = kind[i] == "punct"
+    return Scanned(kind, tok, starts, ends)
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, tok, kind, start: every text cut without loss; start in code points.
+    """key, pos, tok, kind, start, sentence_start, clause_final: every text cut without loss; start in code points.
 
-    The scan is one regular expression; offsets are a running sum over a document's tokens. A null or empty text has no
-    tokens.
+    A sentence starts at the first token and after final punctuation, a clause ends at the last and before punctuation;
+    blanks are passed over and have neither. A null or empty text has no tokens. No shuffle.
     """
-    scan = F.regexp_extract_all(text, F.lit(java(PATTERN)), 0)
-    rows = df.select(key, F.posexplode(scan).alias("pos", "tok"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(key, F.col("pos").cast("long").alias("pos"), "tok", kind_of(F.col("tok")).alias("kind"), F.coalesce(F.sum(F.length("tok")).over(w), F.lit(0)).alias("start"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            a = 0
+            while a < len(texts):
+                of: list[int] = []
+                pos: list[int] = []
+                start: list[int] = []
+                parts: tuple[list, list, list, list] = [], [], [], []
+                # whole texts each, up to a bound of tokens where possible
+                while a < len(texts) and len(of) < TOKENS_AT_ONCE:
+                    s = scanned(texts[a])
+                    of += [a] * len(s.tok)
+                    pos += range(len(s.tok))
+                    at = 0
+                    for t in s.tok:
+                        start.append(at)
+                        at += len(t)
+                    for part, own in zip(parts, (s.tok, s.kind, s.starts, s.ends), strict=True):
+                        part += own
+                    a += 1
+                tok, kind, starts, ends = parts
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(of, pa.int64())), pa.array(pos, pa.int64()), pa.array(tok, pa.string()), pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(starts, pa.bool_()), pa.array(ends, pa.bool_())],
+                    names=["key", "pos", "tok", "kind", "start", "sentence_start", "clause_final"],
+                )
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, f"key {kind}, pos long, tok string, kind string, start long, sentence_start boolean, clause_final boolean")
+    return out.withColumnRenamed("key", key)
+
+
+#: Tokens of a batch; a longer text has a batch of its own.
+TOKENS_AT_ONCE = 200_000
 
 
 def sentence_flags(t: DataFrame, key: str) -> DataFrame:
-    """Non-blank tokens with sentence_start (first, or after final punctuation) and clause_final (last, or before punctuation)."""
-    w = Window.partitionBy(key).orderBy("pos")
-    before, after = F.lag("kind").over(w), F.lead("kind").over(w)
-    starts = F.when(before.isNull(), True).otherwise((before == "punct") & F.lag("tok").over(w).rlike("[.!?؟۔]$"))
-    return t.where("kind <> 'space'").withColumns({"sentence_start": starts, "clause_final": F.when(after.isNull(), True).otherwise(after == "punct")})
+    """The tokens that the flags hold for: all but blanks."""
+    return t.where("kind <> 'space'")
+
+
+def guard(soft: list[bool], english: list[bool]) -> list[bool]:
+    """Of neighbouring tokens, those of a run of loanwords (soft) that has an English one at either end.
+
+    Repeating "a loanword beside an English word becomes English" until nothing changes reaches exactly the whole run.
+    """
+    out, i, n = [False] * len(soft), 0, len(soft)
+    while i < n:
+        j = i
+        while j < n and soft[j]:
+            j += 1
+        if j > i and ((i and english[i - 1]) or (j < n and english[j])):
+            out[i:j] = [True] * (j - i)
+        i = max(j, i + 1)
+    return out
 
 
 def classified(t: DataFrame, loanwords: DataFrame, threshold: float = 0.5) -> DataFrame:

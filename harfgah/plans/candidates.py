@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harfgah.functions import words as W
-from harfgah.functions.tables import CORRESPONDENCES, EZAFE_HEADS, PREFIXES, SUFFIXES, latin_units
+from harfgah.functions.tables import ANY_VOWEL, CORRESPONDENCES, EZAFE_HEADS, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, PREFIXES, SUFFIXES, TYPED_VOWELS, latin_units
 from harfgah.operators import affixes as X
 from harfgah.operators import candidates as D
 from harfgah.plans import corpus as P
@@ -108,24 +106,21 @@ def attested_keys(spark: SparkSession, d: str) -> DataFrame:
 
 # Candidate lists: the readings that a typed form got, by how often.
 
-LISTS_SQL = f"""(select typed, ord, output, n, round(exp(s - max(s) over (partition by typed)) / sum(exp(s)) over (partition by typed) * exp(max(s) over (partition by typed)), 4) as probability from
- (select typed, word as output, n, round(ln(1 + n), 6) as s, row_number() over (partition by typed order by n desc, word) - 1 as ord from {P.TYPED_SQL}) where ord < 4)"""
-
-
-#: As many as the reference reranks (CONTEXT_CANDIDATES).
+#: Readings that are ranked anew in context.
 READINGS = 8
-WHOLE_LISTS_SQL = LISTS_SQL.replace("where ord < 4)", f"where ord < {READINGS})")
-ALL_LISTS_SQL = LISTS_SQL.replace(" where ord < 4)", ")")
+LISTS_SQL = f"""(select typed, ord, output, n, round(exp(s - max(s) over (partition by typed)) / sum(exp(s)) over (partition by typed) * exp(max(s) over (partition by typed)), 4) as probability from
+ (select typed, word as output, n, round(ln(1 + n), 6) as s, row_number() over (partition by typed order by n desc, word) - 1 as ord from {P.TYPED_SQL}) where ord < {READINGS})"""
+ALL_LISTS_SQL = LISTS_SQL.replace(f" where ord < {READINGS})", ")")
 
 
-def lists(spark: SparkSession, d: str, k: int | None = 4) -> DataFrame:
+def lists(spark: SparkSession, d: str, k: int | None = READINGS) -> DataFrame:
     rows = P.typed(spark, d).withColumnRenamed("word", "output")
     top = D.best_by_key(rows, ["typed"], [F.desc("n"), F.asc("output")], k).withColumn("s", F.round(F.log(1 + F.col("n")), 6))
     return D.softmax(top, ["typed"], "s").select("typed", F.col("ord").cast("long").alias("ord"), "output", "n", "probability")
 
 
 @query(f"select * from {LISTS_SQL}")
-def candidate_softmax(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
+def candidate_softmax(spark: SparkSession, d: str, k: int = READINGS) -> DataFrame:
     return lists(spark, d, k)
 
 
@@ -133,7 +128,7 @@ def candidate_softmax(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     f"""with l as {LISTS_SQL}, f as (select *, ord = max(ord) over (partition by typed) as first, coalesce(sum(probability) filter (where ord <> m) over (partition by typed), 0) as rest from (select *, max(ord) over (partition by typed) as m from l))
     select typed, output, row_number() over (partition by typed order by not first, ord) - 1 as ord, case when first then 0.8 else round(0.2 * probability / case when rest = 0 then 1 else rest end, 4) end as probability from f"""
 )
-def promote_rescale(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
+def promote_rescale(spark: SparkSession, d: str, k: int = READINGS) -> DataFrame:
     """The last candidate put first."""
     rows = lists(spark, d, k)
     rows = rows.withColumn("last", F.col("ord") == F.max("ord").over(Window.partitionBy("typed")))
@@ -145,22 +140,32 @@ def promote_rescale(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     n as (select *, case when mixed then round(weight / sum(weight) over (partition by typed), 4) else probability end as p from m)
     select typed, output, row_number() over (partition by typed order by case when mixed then -weight end, ord) - 1 as ord, p as probability from n"""
 )
-def final_class_tilt(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
+def final_class_tilt(spark: SparkSession, d: str, k: int = READINGS) -> DataFrame:
     """Readings with a final he favoured, as at the end of a clause."""
     he = F.col("output").endswith("ه") & (F.length("output") > 1)
     return D.tilted(lists(spark, d, k), ["typed"], he, 2.0).select("typed", "output", F.col("ord").cast("long").alias("ord"), "probability")
 
 
+BETWEEN_SQL = "regexp_replace({}, '([^aeiou])y([^aeiou]|$)', '\\1#\\2', 'g')"
+SLOTS_SQL = "list_transform(regexp_extract_all(" + BETWEEN_SQL.format(BETWEEN_SQL.format("typed")) + ", '[aeiou]+|#+', 0), lambda r: case r " + " ".join(f"when {quoted('#' if k == 'y' else k)} then {quoted(v)}" for k, v in TYPED_VOWELS.items()) + f" else {quoted(ANY_VOWEL)} end)"
+#: Each typed vowel costs one if the word has no such vowel for it, in order; what the word has beside them costs nothing.
+MISSES_SQL = """list_extract(list_reduce(list_concat([list_transform(range(length(vowels) + 1), lambda z: 0)], list_transform(slots, lambda can: [strpos(can, substr(vowels, j, 1)) for j in range(1, length(vowels) + 1)])),
+ lambda row, fits: list_reduce(list_concat([[row[1] + 1]], list_transform(range(1, length(vowels) + 1), lambda j: [least(row[j] + (fits[j] = 0)::integer, row[j + 1] + 1)])), lambda new, x: list_append(new, least(x[1], new[len(new)])))), -1)"""
+
+
 @query(
-    f"""with l as (select *, translate(output, 'اآوی', '') as g, abs(length(output) - length(typed)) as misses from {LISTS_SQL}),
-    e as (select *, case when count(*) over (partition by typed, g) > 1 then misses - min(misses) over (partition by typed, g) else 0 end as excess from l),
+    f"""with l as (select l.*, v.vowels, case when v.vowels is null then l.output else translate(l.output, 'اآوی', '') || '+' end as g, {SLOTS_SQL} as slots from {LISTS_SQL} l left join {P.CONFUSABLE_SQL} v on v.word = l.output),
+    m as (select *, case when vowels is null then 0 else {MISSES_SQL} end as misses from l),
+    e as (select *, case when count(*) over (partition by typed, g) > 1 then misses - min(misses) over (partition by typed, g) else 0 end as excess from m),
     p as (select *, case when excess > 0 then greatest(probability, 1e-6) * exp(-3.0 * excess) else probability end as q, max(excess) over (partition by typed) > 0 as hit from e),
     r as (select *, case when hit then round(q / sum(q) over (partition by typed), 4) else probability end as pr from p)
     select typed, output, row_number() over (partition by typed order by pr desc, ord) - 1 as ord, pr as probability from r"""
 )
-def vowel_group_penalty(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
-    """Confusable readings weighed by how far their length is from what was typed."""
-    rows = lists(spark, d, k).withColumns({"g": W.confusable_key(F.col("output")), "misses": F.abs(F.length("output") - F.length("typed"))})
+def vowel_group_penalty(spark: SparkSession, d: str, k: int = READINGS) -> DataFrame:
+    """Confusable readings weighed by how far their vowels are from the typed ones."""
+    rows = lists(spark, d, k).join(P.vowel_table(spark, d).withColumnRenamed("word", "output"), "output", "left")
+    misses = F.when(F.col("vowels").isNull(), 0).otherwise(D.vowel_misses(D.vowel_slots(F.col("typed")), F.col("vowels")))
+    rows = rows.withColumns({"g": F.when(F.col("vowels").isNull(), F.col("output")).otherwise(F.concat(W.confusable_key(F.col("output")), F.lit("+"))), "misses": misses})
     return D.penalised(rows, ["typed"], "g", "misses", 3.0).select("typed", "output", F.col("ord").cast("long").alias("ord"), "probability")
 
 
@@ -170,7 +175,7 @@ def vowel_group_penalty(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
     select typed, fa as output, 0::bigint as ord, 0.9 as probability from (select distinct typed, fa from j)
     union all select typed, output, row_number() over (partition by typed order by ord), round(0.1 * probability / case when rest = 0 then 1 else rest end, 4) from r where output <> fa"""
 )
-def loanword_merge(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
+def loanword_merge(spark: SparkSession, d: str, k: int = READINGS) -> DataFrame:
     """A loanword's spelling put first with nine tenths."""
     loans = table(spark, d, "loanwords").where("en is not null and fa is not null").groupBy(F.lower("en").alias("typed")).agg(F.min("fa").alias("fa"))
     rows = lists(spark, d, k).join(loans, "typed")
@@ -181,9 +186,9 @@ def loanword_merge(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
 
 
 @query(f"select l.typed, l.output, coalesce(u.score, 0)::integer as score, l.ord from {LISTS_SQL} l left join ({P.ORACLES['unigram_logquant']}) u on u.word = l.output")
-def frequency_scores(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def frequency_scores(spark: SparkSession, d: str) -> DataFrame:
     """The log frequency of each reading; an unknown one scores 0."""
-    return lists(spark, d, READINGS if whole else 4).join((P.unigram_logquant_whole if whole else P.unigram_logquant)(spark, d).select(F.col("word").alias("output"), "score"), "output", "left").select("typed", "output", F.coalesce("score", F.lit(0)).alias("score"), "ord")
+    return lists(spark, d).join(P.unigram_logquant(spark, d).select(F.col("word").alias("output"), "score"), "output", "left").select("typed", "output", F.coalesce("score", F.lit(0)).alias("score"), "ord")
 
 
 @query(
@@ -217,7 +222,7 @@ def hiatus_ye(spark: SparkSession, d: str) -> DataFrame:
     where length(t.typed) >= 4 and regexp_matches(t.typed, '[^e]e$') and not ends_with(t.output, 'ه') and not regexp_matches(s.output, '[هاو]$') and s.output not in ({', '.join(map(quoted, EZAFE_HEADS))})
     and not exists (select 1 from l where l.typed = t.typed and l.output = s.output || 'ه')"""
 )
-def copula_candidates(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
+def copula_candidates(spark: SparkSession, d: str, k: int = READINGS) -> DataFrame:
     """A reading with the copula for words in e whose stem is a word, put second with a fifth."""
     rows = lists(spark, d, k)
     top = rows.where("ord = 0").select("typed", F.col("output").alias("top"), "probability").where((F.length("typed") >= 4) & F.col("typed").rlike("[^e]e$") & ~F.col("top").endswith("ه"))
@@ -228,17 +233,25 @@ def copula_candidates(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
 
 
 @query(
-    f"""with s as (select lower(en) as en, min(fa) as fa from loanwords where en is not null and fa is not null group by 1), e(ending, tail, persian, vowel, parts) as (select * from {values_sql(X.loan_endings(), 'ending, tail, persian, vowel, parts').replace('True', 'true').replace('False', 'false')}),
-    f as (select s.en || e.ending || e.tail as typed, s.fa || e.persian as output, e.parts, length(s.en) as stem from s join e on e.vowel = regexp_matches(s.fa, '[اویه]$')),
+    f"""with s as (select lower(en) as en, min(fa) as fa from loanwords where regexp_full_match(en, '[A-Za-z]+') and fa <> '' group by 1),
+    b as (select en as stem, fa, false as silent from s where length(en) > 1 union all select left(en, length(en) - 1), min(fa), true from s where regexp_matches(en, '[^e]e$') and length(en) > 2 and left(en, length(en) - 1) not in (select en from s) group by 1),
+    pl(pt, pf) as (values ('', ''), ('a', 'ا'), ('ha', 'ها')), po(qt, qf, vowel) as (select '', '', null union all {' union all '.join(f"select {quoted(a)}, {quoted(b)}, {v}" for t, v in ((POSSESSIVE_AFTER_CONSONANT, 'false'), (POSSESSIVE_AFTER_VOWEL, 'true')) for a, b in t.items())}),
+    body as (select stem, pt || qt as typed, fa || pf || qf as body, (pt <> '')::integer + (qt <> '')::integer as parts, length(stem) as cut from b, pl, po where vowel is null or vowel = regexp_matches(fa || pf, '[اویه]$')),
+    f as (select stem || typed as typed, [body] as forms, cut, parts from body where parts > 0 union all select stem || typed || 'o', [body || 'و'], cut, parts + 1 from body
+      union all select stem || typed || 'i', [body || case when regexp_matches(body, '[او]$') then 'یی' when ends_with(body, 'ی') then '' when ends_with(body, 'ه') then 'ای' else 'ی' end], cut, parts + 1 from body
+      union all select stem || typed || 'e', [body, body || 'ه'], cut, parts + 1 from body),
     t as (select distinct typed from {P.TYPED_SQL})
-    select typed, output from (select f.typed, f.output, row_number() over (partition by f.typed order by f.stem desc, f.parts, f.output) as k from f join t using (typed)) where k = 1"""
+    select typed, forms[1] as output, forms[2] as second from (select f.*, row_number() over (partition by typed order by cut desc, parts) as k from f join t using (typed) where typed not in (select en from s)) where k = 1
+    union all select en, fa, null from s join t on t.typed = s.en"""
 )
 def loanword_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Typed words that are a loanword with endings: longest stem, then fewest endings."""
-    stems = table(spark, d, "loanwords").where("en is not null and fa is not null").groupBy(F.lower("en").alias("en")).agg(F.min("fa").alias("fa"))
-    forms = X.with_endings(stems)
+    """Typed words that are a loanword, bare or with endings on the longest stem, with one spelling or two."""
+    stems = table(spark, d, "loanwords").where(F.col("en").rlike(r"\A[A-Za-z]+\z") & (F.col("fa") != "")).groupBy(F.lower("en").alias("en")).agg(F.min("fa").alias("fa"))
     asked = P.typed(spark, d).select("typed").distinct()
-    return forms.join(asked, "typed").groupBy("typed").agg(F.min(F.struct(-F.col("stem"), "parts", "output")).alias("b")).select("typed", "b.output")
+    bare = asked.join(stems.withColumnRenamed("en", "typed"), "typed").select("typed", F.col("fa").alias("output"), F.lit(None).cast("string").alias("second"))
+    forms = X.with_endings(stems).join(asked, "typed").join(stems.select(F.col("en").alias("typed")), "typed", "left_anti")
+    best = forms.groupBy("typed").agg(F.max_by("forms", "cut").alias("f"))
+    return bare.unionByName(best.select("typed", F.col("f")[0].alias("output"), F.get("f", F.lit(1)).alias("second")))
 
 
 @query(
@@ -271,24 +284,14 @@ def vowel_runs(spark: SparkSession, d: str) -> DataFrame:
     return T.latin_words(spark, d).select("word", runs.alias("runs"), F.size(runs).cast("long").alias("n"))
 
 
-# The same over as many readings as the reference reranks.
-
-for _f in (candidate_softmax, promote_rescale, final_class_tilt, vowel_group_penalty, loanword_merge, copula_candidates):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, k=READINGS)
-    ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(LISTS_SQL, WHOLE_LISTS_SQL)
-
-
 # Lines of candidate lists.
 
-LINES_SQL = f"(select example_id, pos, typed from (select example_id, unnest(l) as typed, unnest(range(len(l))) as pos from (select example_id, string_split(lower(latin), ' ') as l from example where split <> 'train' and latin is not null)) where typed <> '')"
+LINES_SQL = f"(select example_id, pos, typed from (select example_id, unnest(l) as typed, unnest(range(len(l))) as pos from (select example_id, string_split(lower(latin), ' ') as l from example where latin is not null)) where typed <> '')"
 
 
-WHOLE_LINES_SQL = LINES_SQL.replace("split <> 'train' and ", "")
-
-
-def lines(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    rows = table(spark, d, "example")
-    rows = (rows if whole else rows.where("split <> 'train'")).select("example_id", F.posexplode(F.split(F.lower("latin"), " ")).alias("pos", "typed"))
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """The typed words of every line with a Latin text."""
+    rows = table(spark, d, "example").select("example_id", F.posexplode(F.split(F.lower("latin"), " ")).alias("pos", "typed"))
     return rows.where("typed <> ''").withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -296,10 +299,10 @@ def lines(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     f"""with s as (select example_id, pos, typed, coalesce(output, typed) as output, coalesce(probability, 0) as probability from {LINES_SQL} left join (select * from {LISTS_SQL} where ord = 0) using (typed))
     select example_id, string_agg(output, ' ' order by pos) as text, round(exp(avg(round(ln(greatest(probability, 1e-9)), 9))), 4) as confidence, count(*) as n_words from s group by example_id"""
 )
-def document_confidence(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Every held-out line put together from the first readings, and the geometric mean of their probabilities."""
-    top = lists(spark, d, READINGS if whole else 4).where("ord = 0").select("typed", "output", "probability")
-    rows = lines(spark, d, whole).join(top, "typed", "left").select("example_id", "pos", F.coalesce("output", "typed").alias("output"), F.coalesce("probability", F.lit(0.0)).alias("p"))
+def document_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every line put together from the first readings, and the geometric mean of their probabilities."""
+    top = lists(spark, d).where("ord = 0").select("typed", "output", "probability")
+    rows = lines(spark, d).join(top, "typed", "left").select("example_id", "pos", F.coalesce("output", "typed").alias("output"), F.coalesce("probability", F.lit(0.0)).alias("p"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "output"))), lambda x: x["output"]), " ")
     return rows.groupBy("example_id").agg(text.alias("text"), F.round(F.exp(F.avg(F.round(F.log(F.greatest("p", F.lit(1e-9))), 9))), 4).alias("confidence"), F.count("*").alias("n_words"))
 
@@ -308,10 +311,10 @@ def document_confidence(spark: SparkSession, d: str, whole: bool = False) -> Dat
     f"""with l as (select example_id, pos, typed, typed in (select typed from {LISTS_SQL}) as known from {LINES_SQL}), r as (select *, sum(case when known then 0 else 1 end) over (partition by example_id order by pos) as run from l)
     select example_id, min(pos) as first_pos, count(*) as n_words from r where known group by example_id, run having count(*) > 1"""
 )
-def context_runs(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def context_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of two or more neighbouring words with readings; a word without one breaks the run."""
-    known = lists(spark, d, READINGS if whole else 4).select("typed").distinct().withColumn("known", F.lit(True))
-    rows = lines(spark, d, whole).join(known, "typed", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    known = lists(spark, d).select("typed").distinct().withColumn("known", F.lit(True))
+    rows = lines(spark, d).join(known, "typed", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.when(F.col("known"), 0).otherwise(1)).over(Window.partitionBy("example_id").orderBy("pos")))
     return rows.where("known").groupBy("example_id", "run").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_words")).where("n_words > 1").drop("run")
 
@@ -330,11 +333,11 @@ select example_id, array_to_string(path, ' ') as chosen from (select v.*, row_nu
 
 
 @query(VITERBI_SQL)
-def viterbi_path(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """The readings of every held-out line that fit one another best."""
-    options = lists(spark, d, READINGS if whole else 4).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("options"))
-    rows = lines(spark, d, whole).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("lists"))
-    pairs = (P.whole_pairs if whole else P.top_pairs)(spark, d).select("head", "tail", (F.col("pmi") / 6).alias("score"))
+def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
+    """The readings of every line that fit one another best."""
+    options = lists(spark, d).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("options"))
+    rows = lines(spark, d).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("lists"))
+    pairs = P.top_pairs(spark, d).select("head", "tail", (F.col("pmi") / 6).alias("score"))
     return D.chosen_paths(rows, "example_id", pairs).select("example_id", F.array_join("chosen", " ").alias("chosen"))
 
 
@@ -343,11 +346,11 @@ def viterbi_path(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     a as (select typed, arg_min(output, ord) as output, arg_min(probability, ord) as probability from l where output in (select output from lex) group by typed)
     select b.typed, case when not b.known and a.output is not null and b.probability - a.probability < 0.25 then a.output else b.output end as output from b left join a using (typed)"""
 )
-def lexicon_tiebreak(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def lexicon_tiebreak(spark: SparkSession, d: str) -> DataFrame:
     """An unknown first reading gives way to a lexicon word that is nearly as probable."""
-    rows = lists(spark, d, READINGS if whole else 4)
+    rows = lists(spark, d)
     lex = table(spark, d, "loanwords").where("fa is not null").select(F.col("fa").alias("output")).distinct().withColumn("lex", F.lit(True))
-    freq = (P.unigram_logquant_whole if whole else P.unigram_logquant)(spark, d).select(F.col("word").alias("output"), F.lit(True).alias("freq"))
+    freq = P.unigram_logquant(spark, d).select(F.col("word").alias("output"), F.lit(True).alias("freq"))
     flagged = rows.join(lex, "output", "left").join(freq, "output", "left")
     best = flagged.where("ord = 0").select("typed", "output", "probability", (F.coalesce("lex", F.lit(False)) | F.coalesce("freq", F.lit(False))).alias("known"))
     other = flagged.where("lex").groupBy("typed").agg(F.min(F.struct("ord", "output", "probability")).alias("o"))
@@ -364,33 +367,13 @@ def lexicon_tiebreak(spark: SparkSession, d: str, whole: bool = False) -> DataFr
     d as (select example_id, text, min((k, ord)) as place from a where text <> (select text from base where base.example_id = a.example_id) group by 1, 2)
     select example_id, text, rank from (select example_id, text, row_number() over (partition by example_id order by place) - 1 as rank from d) where rank < 3"""
 )
-def text_alternatives(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Up to three other readings of every held-out line: one word changed, the least certain first."""
-    options = lists(spark, d, READINGS if whole else 4).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("o"))
-    rows = lines(spark, d, whole).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("lists"))
+def text_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three other readings of every line: one word changed, the least certain first."""
+    options = lists(spark, d).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("o"))
+    rows = lines(spark, d).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("lists"))
     base = F.transform("lists", lambda o: o[0]["output"])
     places = F.sort_array(F.filter(F.transform("lists", lambda o, i: F.struct(o[0]["probability"].alias("p"), i.alias("i"), F.size(o).alias("n"))), lambda x: x["n"] > 1))
     rows = rows.withColumns({"base": base, "places": F.slice(places, 1, 3)})
     texts = F.flatten(F.transform("places", lambda x: F.transform(F.slice(F.get("lists", x["i"]), 2, 8), lambda c: F.array_join(F.transform("base", lambda b, j: F.when(j == x["i"], c["output"]).otherwise(b)), " "))))
     distinct = F.array_distinct(F.filter(texts, lambda t: t != F.array_join("base", " ")))
     return rows.select("example_id", F.posexplode(F.slice(distinct, 1, 3)).alias("rank", "text")).withColumn("rank", F.col("rank").cast("long"))
-
-
-for _f in (frequency_scores, lexicon_tiebreak):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
-    ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(LISTS_SQL, WHOLE_LISTS_SQL).replace(P.ORACLES["unigram_logquant"], P.ORACLES["unigram_logquant_whole"])
-
-
-# The same over every line with a Latin text, eight readings and the whole pair table.
-
-
-def whole_sql(sql: str) -> str:
-    return sql.replace(LINES_SQL, WHOLE_LINES_SQL).replace(LISTS_SQL, WHOLE_LISTS_SQL).replace(P.PMI_SQL, P.WHOLE_PMI_SQL)
-
-
-for _f in (document_confidence, context_runs, viterbi_path, text_alternatives):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
-for _f in (document_confidence, context_runs):
-    ORACLES[f"{_f.__name__}_whole"] = whole_sql(ORACLES[_f.__name__])
-#: Too slow over all lines of larger tables; the tests run it over a few.
-WHOLE_VITERBI_SQL, WHOLE_ALTERNATIVES_SQL = whole_sql(VITERBI_SQL), whole_sql(ORACLES["text_alternatives"])

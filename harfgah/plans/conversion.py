@@ -11,7 +11,7 @@ from harfgah.operators.corpus import log_quantised
 from harfgah.plans import corpus as P
 from harfgah.plans import words as T
 from harfgah.plans.registry import Registry
-from harfgah.session import table
+from harfgah.session import cut, table
 from harfgah.sources import codecs
 
 query = Registry()
@@ -19,9 +19,11 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 
 def engine(spark: SparkSession, d: str) -> Engine:
-    """Tables from the training split and the loanwords that both judges accepted."""
-    loans = P.loans(spark, d).where("a = 'accept' and b = 'accept'").groupBy(F.lower("en").alias("typed")).agg(F.min("fa").alias("output"))
-    return Engine(tables_from(log_quantised(P.counts(spark, d), 25_000), loans, P.whole_pairs(spark, d)))
+    """Words, pairs and typed vowels of the examples; of the loanwords those that both judges accepted, with two spellings at most; their Persian side as lexicon."""
+    taken = cut(P.loans(spark, d).where("a = 'accept' and b = 'accept' and en is not null and fa is not null").select(F.lower("en").alias("typed"), "fa"))
+    loans = taken.groupBy("typed").agg(F.slice(F.array_sort(F.collect_set("fa")), 1, 2).alias("forms"))
+    counts = cut(log_quantised(P.counts(spark, d), P.TABLE_WORDS))
+    return Engine(tables_from(counts, loans, P.top_pairs(spark, d), P.TABLE_WORDS, P.vowel_table(spark, d), taken.select(F.col("fa").alias("word")).distinct()))
 
 
 @query()
@@ -64,15 +66,6 @@ def synthetic_typings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select 'frequency' as name, (row_number() over (order by word) - 1)::integer as place, word from ({P.ORACLES['unigram_logquant']}) where regexp_full_match(word, '[ء-ی]+')")
 def front_decode(spark: SparkSession, d: str) -> DataFrame:
     """The frequency table's words, encoded to bytes and decoded again."""
-    return _front_decoded(spark, P.unigram_logquant(spark, d))
-
-
-@query(ORACLES["front_decode"].replace(P.ORACLES["unigram_logquant"], P.ORACLES["unigram_logquant_whole"]))
-def front_decode_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _front_decoded(spark, P.unigram_logquant_whole(spark, d))
-
-
-def _front_decoded(spark: SparkSession, table: DataFrame) -> DataFrame:
-    words = [r["word"] for r in table.where(F.col("word").rlike(r"\A[ء-ی]+\z")).select("word").collect()]  # of twenty-five thousand at most
+    words = [r["word"] for r in P.unigram_logquant(spark, d).where(F.col("word").rlike(r"\A[ء-ی]+\z")).select("word").collect()]  # of twenty-five thousand at most
     rows = spark.createDataFrame([("frequency", bytearray(codecs.words_to_bytes(words)))], "name string, data binary")
     return codecs.decoded_words(rows, "name", "data")

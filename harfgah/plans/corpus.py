@@ -32,6 +32,8 @@ def evals(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("expected is not null").select("id", W.leak_key(F.col("expected")).alias("k")).withColumn("w", F.split("k", " "))
 
 
+#: Words of the frequency table, and pairs of the pair table.
+TABLE_WORDS, TABLE_PAIRS = 25_000, 30_000
 UNIGRAMS_SQL = f"(select word, count(*) as n from (select unnest(w) as word from {KEYED_SQL}) where word <> '' group by 1)"
 
 
@@ -39,31 +41,17 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     return C.unigrams(keyed(spark, d).select(F.explode("w").alias("word")))
 
 
-@query(f"select word, n, greatest(1, least(255, round_even(255 * ln(1 + n) / ln(1 + (select max(n) from {UNIGRAMS_SQL})), 0)))::integer as score from {UNIGRAMS_SQL} order by n desc, word limit 2000")
+@query(f"select word, n, greatest(1, least(255, round_even(255 * ln(1 + n) / ln(1 + (select max(n) from {UNIGRAMS_SQL})), 0)))::integer as score from {UNIGRAMS_SQL} order by n desc, word limit {TABLE_WORDS}")
 def unigram_logquant(spark: SparkSession, d: str) -> DataFrame:
-    return C.log_quantised(counts(spark, d), 2000)
+    return C.log_quantised(counts(spark, d), TABLE_WORDS)
 
 
-#: The reference's own table size (build_frequency.py --top), which the engine has too.
-WHOLE_WORDS = 25_000
-
-
-@query(ORACLES["unigram_logquant"].replace("limit 2000", f"limit {WHOLE_WORDS}"))
-def unigram_logquant_whole(spark: SparkSession, d: str) -> DataFrame:
-    return C.log_quantised(counts(spark, d), WHOLE_WORDS)
-
-
-@query(f"with u as {UNIGRAMS_SQL}, k as (select word from u order by n desc, word limit 200) select count(*) as n_words, sum(n)::bigint as n_tokens, round(sum(n) filter (where word in (select word from k)) / sum(n), 6) as coverage from u")
-def vocab_coverage(spark: SparkSession, d: str, top: int = 200) -> DataFrame:
+@query(f"with u as {UNIGRAMS_SQL}, k as (select word from u order by n desc, word limit {TABLE_WORDS}) select count(*) as n_words, sum(n)::bigint as n_tokens, round(sum(n) filter (where word in (select word from k)) / sum(n), 6) as coverage from u")
+def vocab_coverage(spark: SparkSession, d: str, top: int = TABLE_WORDS) -> DataFrame:
     c = counts(spark, d)
     return C.coverage(c, C.log_quantised(c, top))
 
 
-@query(ORACLES["vocab_coverage"].replace("limit 200", f"limit {WHOLE_WORDS}"))
-def vocab_coverage_whole(spark: SparkSession, d: str) -> DataFrame:
-    return vocab_coverage(spark, d, WHOLE_WORDS)
-
-
 @query(f"select split, count(*) as n, count(*) filter (where k in (select k from {EVAL_SQL})) as n_leaked from {KEYED_SQL} group by split")
 def leak_exact(spark: SparkSession, d: str) -> DataFrame:
     rows, keys = keyed(spark, d), evals(spark, d).select("k").distinct().withColumn("hit", F.lit(1))
@@ -95,10 +83,10 @@ RAW_WORDS_SQL = f"(select word, replace(word, '{ZWNJ}', '') as solid, count(*) a
 
 
 @query(
-    f"""with top as (select word from {UNIGRAMS_SQL} order by n desc, word limit 200), w as (select * from {RAW_WORDS_SQL} where solid not in (select word from top))
+    f"""with top as (select word from {UNIGRAMS_SQL} order by n desc, word limit {TABLE_WORDS}), w as (select * from {RAW_WORDS_SQL} where solid not in (select word from top))
     select solid, arg_max(word, (n, word)) as word, sum(n)::bigint as n, count(*) as n_forms from w group by solid having sum(n) >= 2"""
 )
-def supplement_words(spark: SparkSession, d: str, top_words: int = 200) -> DataFrame:
+def supplement_words(spark: SparkSession, d: str, top_words: int = TABLE_WORDS) -> DataFrame:
     """Words outside the table, one spelling for each solid form: the commonest."""
     raw = table(spark, d, "example").select(F.explode(F.split("persian", "[ \t\n\f\r؟.،!]+")).alias("word")).where(F.col("word").rlike(f"^[ء-ی{ZWNJ}]+$"))
     words = raw.groupBy("word").agg(F.count("*").alias("n")).withColumn("solid", F.replace("word", F.lit(ZWNJ), F.lit("")))
@@ -106,41 +94,21 @@ def supplement_words(spark: SparkSession, d: str, top_words: int = 200) -> DataF
     return words.join(top, "solid", "left_anti").groupBy("solid").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.sum("n").alias("n"), F.count("*").alias("n_forms")).where("n >= 2")
 
 
-@query(ORACLES["supplement_words"].replace("limit 200)", f"limit {WHOLE_WORDS})"))
-def supplement_words_whole(spark: SparkSession, d: str) -> DataFrame:
-    return supplement_words(spark, d, WHOLE_WORDS)
-
-
 PAIRS_SQL = f"(select head, tail, count(*) as n_pair from (select unnest(w) as head, unnest(list_concat(w[2:], [null])) as tail from {KEYED_SQL}) where tail is not null group by 1, 2)"
-PMI_SQL = f"""(with u as {UNIGRAMS_SQL}, v as (select * from u order by n desc, word limit 25000), p as {PAIRS_SQL}
+PMI_SQL = f"""(with u as {UNIGRAMS_SQL}, v as (select * from u order by n desc, word limit {TABLE_WORDS}), p as {PAIRS_SQL}
  select head, tail, n_pair, pmi from (select p.*, round(least(6, ln((n_pair / (select sum(n_pair) from p)) / ((a.n / (select sum(n) from u)) * (b.n / (select sum(n) from u))))), 6) as pmi
- from p join v a on a.word = head join v b on b.word = tail where n_pair >= 3) where pmi > 0 order by n_pair desc, head, tail limit 3000)"""
+ from p join v a on a.word = head join v b on b.word = tail where n_pair >= 3) where pmi > 0 order by n_pair desc, head, tail limit {TABLE_PAIRS})"""
 
 
-def top_pairs(spark: SparkSession, d: str, top: int = 3000) -> DataFrame:
+def top_pairs(spark: SparkSession, d: str, top: int = TABLE_PAIRS) -> DataFrame:
     return C.pmi(C.adjacent(keyed(spark, d), "example_id", "w"), counts(spark, d), 3, top)
 
 
-#: The reference's own table size (build_bigram.py --max-pairs).
-WHOLE_PAIRS = 30_000
-WHOLE_PMI_SQL = PMI_SQL.replace("limit 3000)", f"limit {WHOLE_PAIRS})")
-
-
-def whole_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return top_pairs(spark, d, WHOLE_PAIRS)
-
-
 @query(f"select * from {PMI_SQL}")
 def bigram_pmi_top(spark: SparkSession, d: str) -> DataFrame:
     return top_pairs(spark, d)
 
 
-@query(f"select * from {WHOLE_PMI_SQL}")
-def bigram_pmi_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The pair table in the reference's size."""
-    return whole_pairs(spark, d)
-
-
 @query(f"select head as word from {PMI_SQL} union select tail from {PMI_SQL}")
 def bigram_live_vocab(spark: SparkSession, d: str) -> DataFrame:
     return _live(top_pairs(spark, d))
@@ -150,11 +118,6 @@ def _live(p: DataFrame) -> DataFrame:
     return p.select(F.col("head").alias("word")).union(p.select("tail")).distinct()
 
 
-@query(f"select head as word from {WHOLE_PMI_SQL} union select tail from {WHOLE_PMI_SQL}")
-def bigram_live_vocab_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _live(whole_pairs(spark, d))
-
-
 @query(
     f"""with p as {PMI_SQL}, v as (select word, row_number() over (order by word) - 1 as id from (select head as word from p union select tail from p)),
     i as (select a.id as head_id, b.id as tail_id, pmi from p join v a on a.word = head join v b on b.word = tail)
@@ -165,11 +128,6 @@ def bigram_delta_ids(spark: SparkSession, d: str) -> DataFrame:
     return _delta_ids(top_pairs(spark, d))
 
 
-@query(ORACLES["bigram_delta_ids"].replace(PMI_SQL, WHOLE_PMI_SQL))
-def bigram_delta_ids_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _delta_ids(whole_pairs(spark, d))
-
-
 def _delta_ids(pairs: DataFrame) -> DataFrame:
     from harfgah.session import cut
 
@@ -187,11 +145,6 @@ def bigram_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _lookup(spark, d, top_pairs(spark, d))
 
 
-@query(ORACLES["bigram_lookup"].replace(PMI_SQL, WHOLE_PMI_SQL))
-def bigram_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _lookup(spark, d, whole_pairs(spark, d))
-
-
 def _lookup(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     asked = keyed(spark, d).where(F.size("w") > 1).select(F.col("w")[0].alias("head"), F.col("w")[1].alias("tail")).distinct()
     return asked.join(pairs, ["head", "tail"], "left").select("head", "tail", (F.coalesce("pmi", F.lit(0.0)) / 6).alias("score"))
@@ -206,14 +159,6 @@ def front_code(spark: SparkSession, d: str) -> DataFrame:
     return C.front_coded(persian_words(spark, d), "word")
 
 
-@query(f"select translate(word, 'اوی', '') as key, count(*) as n_members, sum(n)::bigint as n, count(distinct length(word)) as n_lengths, string_agg(word, ' ' order by word) as members from {PERSIAN_WORDS_SQL} group by 1 having count(*) >= 2 and count(distinct length(word)) >= 2")
-def confusable_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Words that differ in long vowels only: groups of two or more with different lengths."""
-    g = persian_words(spark, d).groupBy(F.translate("word", "اوی", "").alias("key"))
-    members = F.array_join(F.array_sort(F.collect_list("word")), " ")
-    return g.agg(F.count("*").alias("n_members"), F.sum("n").alias("n"), F.countDistinct(F.length("word")).alias("n_lengths"), members.alias("members")).where("n_members >= 2 and n_lengths >= 2")
-
-
 TYPED_SQL = "(select word, typed, count(*) as n from (select unnest(p) as word, unnest(l) as typed from (select string_split(persian, ' ') as p, string_split(lower(latin), ' ') as l from example where persian is not null and latin is not null) where len(p) = len(l)) group by 1, 2)"
 
 
@@ -228,6 +173,40 @@ def word_typing_pairs(spark: SparkSession, d: str) -> DataFrame:
     return typed(spark, d).groupBy("word").agg(F.max_by("typed", F.struct("n", "typed")).alias("typed"), F.max("n").alias("n_typed"), F.sum("n").alias("n"))
 
 
+#: The vowels of a typing: long ones by their doubled spelling, a y between consonants as i.
+SAID_SQL = "regexp_replace(translate(regexp_replace(replace(replace(replace(replace(replace(replace(typed, 'aa', 'A'), 'ee', 'i'), 'ii', 'i'), 'oo', 'u'), 'ou', 'u'), 'uu', 'u'), '([^aeoAiuy])y([^aeoAiuy])', '\\1i\\2', 'g'), 'y', ''), '[^aeoAiu]', '', 'g')"
+VOWELS_SQL = rf"""(with t as (select word, arg_max(typed, (n, typed)) as typed from {TYPED_SQL} where regexp_full_match(typed, '[a-z'']+') and regexp_full_match(word, '[ء-غف-يپچژکگی]+') group by word),
+ e as (select word, case when not regexp_matches(word, '[اآویه]$') and regexp_matches(typed, '[^aeoiu]e$') and length(typed) > 1 then left(typed, length(typed) - 1)
+   when regexp_matches(word, '[اوی]$') and length(typed) > 2 and regexp_matches(typed, '[aeoiu]ye$') then left(typed, length(typed) - 2) else typed end as typed from t)
+ select word, {SAID_SQL} as vowels from e)"""
+
+
+@query(f"select word, vowels from {VOWELS_SQL}")
+def typed_vowel_table(spark: SparkSession, d: str) -> DataFrame:
+    """The vowels of every word as its commonest typing says them, a linking vowel at the end left out."""
+    said = typed(spark, d).where(F.col("typed").rlike(r"\A[a-z']+\z") & F.col("word").rlike(r"\A[ء-غف-يپچژکگی]+\z"))
+    rows = said.groupBy("word").agg(F.max_by("typed", F.struct("n", "typed")).alias("typed"))
+    return rows.select("word", W.said_vowels(W.without_link(F.col("word"), F.col("typed"))).alias("vowels"))
+
+
+CONFUSABLE_SQL = f"""(with v as (select *, translate(word, 'اآوی', '') as key from {VOWELS_SQL}) select word, vowels, key from v where key in (select key from v group by key having count(*) >= 2 and count(distinct vowels) >= 2))"""
+
+
+@query(f"select key, count(*) as n_members, count(distinct vowels) as n_vowels, string_agg(word || ':' || vowels, ' ' order by word) as members from {CONFUSABLE_SQL} group by key")
+def confusable_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Words that differ in long vowels only: groups of two or more that are known, with two or more different vowels."""
+    members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "vowels"))), lambda x: F.concat(x["word"], F.lit(":"), x["vowels"])), " ")
+    g = typed_vowel_table(spark, d).groupBy(W.confusable_key(F.col("word")).alias("key"))
+    return g.agg(F.count("*").alias("n_members"), F.count_distinct("vowels").alias("n_vowels"), members.alias("members")).where("n_members >= 2 and n_vowels >= 2")
+
+
+def vowel_table(spark: SparkSession, d: str) -> DataFrame:
+    """word, vowels of the words of confusable groups: only they can be told apart by their vowels."""
+    rows = typed_vowel_table(spark, d).withColumn("key", W.confusable_key(F.col("word")))
+    told = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("vowels").alias("k")).where("n >= 2 and k >= 2").select("key")
+    return rows.join(told, "key", "left_semi").select("word", "vowels")
+
+
 @query(f"select word, count(*) as n_forms, sum(n)::bigint as n, string_agg(typed || ':' || n, ' ' order by n desc, typed) as histogram from {TYPED_SQL} group by word having sum(n) >= 3")
 def typing_histogram(spark: SparkSession, d: str) -> DataFrame:
     text = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "typed"))), lambda x: F.concat(x["typed"], F.lit(":"), (-x["m"]).cast("string")))
@@ -309,18 +288,9 @@ def mix_natural(spark: SparkSession, d: str) -> DataFrame:
     return ranked.crossJoin(F.broadcast(keep)).where("i < keep").select("example_id")
 
 
-@query(r"select label, n, rank from (select label, n, row_number() over (order by label <> '', n desc, label) - 1 as rank from (select label, count(*) as n from (select unnest(labels) as label from example) group by label having count(*) >= 5)) where rank < 100")
-def label_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """Output labels by count, the empty one first; the hundred commonest seen five times or more."""
-    n = table(spark, d, "example").select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).where("n >= 5")
-    top = n.orderBy(F.col("label") != "", F.desc("n"), "label").limit(100)
-    # a hundred rows
-    return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.col("label") != "", F.desc("n"), "label")) - 1).cast("long"))
-
-
 @query("select label, n, row_number() over (order by label <> '', n desc, label) - 1 as rank from (select label, count(*) as n from (select unnest(labels) as label from example) group by label having count(*) >= 2)")
-def label_vocab_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every output label seen twice or more, as in the reference (train.py), by count, the empty one first."""
+def label_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """Every output label seen twice or more, by count, the empty one first."""
     n = table(spark, d, "example").select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).where("n >= 2")
     rows = n.select("label", "n", (F.col("label") != "").alias("spelled"), (-F.col("n")).alias("m"))
     return indexed(rows, ["spelled", "m", "label"], "rank").select("label", "n", "rank")

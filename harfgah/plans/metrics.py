@@ -94,29 +94,11 @@ def punctuation_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit("[?;,]"))).cast("long").alias("n_latin_marks"), F.sum(F.regexp_count("text", F.lit("[؟؛،]"))).cast("long").alias("n_persian_marks"))
 
 
-RECALL_SQL = f"(select t.word, t.typed, t.n, min(l.ord) filter (where l.output = t.word) as place from {D.P.TYPED_SQL} t join {D.LISTS_SQL} l using (typed) group by all)"
+RECALL_SQL = f"(select t.word, t.typed, t.n, min(l.ord) filter (where l.output = t.word) as place from {D.P.TYPED_SQL} t join {D.ALL_LISTS_SQL} l using (typed) group by all)"
 
 
-@query(f"select count(*) as n_pairs, sum(n)::bigint as n_words, sum(n) filter (where place = 0)::bigint as top_1, sum(n) filter (where place < 3)::bigint as top_3, sum(n) filter (where place is not null)::bigint as oracle from {RECALL_SQL}")
+@query(f"select count(*) as n_pairs, sum(n)::bigint as n_words, {', '.join(f'sum(n) filter (where place < {k})::bigint as top_{k}' for k in (1, 3, D.READINGS))}, sum(n) filter (where place is not null)::bigint as oracle from {RECALL_SQL}")
 def oracle_recall(spark: SparkSession, d: str) -> DataFrame:
-    """How often the word is the first reading, among three, among all."""
-    typed = D.P.typed(spark, d)
-    hit = typed.join(D.lists(spark, d).select("typed", F.col("output").alias("word"), "ord"), ["typed", "word"], "left")
-    n = lambda c: F.sum(F.when(c, F.col("n")))
-    return hit.agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_words"), n(F.col("ord") == 0).alias("top_1"), n(F.col("ord") < 3).alias("top_3"), n(F.col("ord").isNotNull()).alias("oracle"))
-
-
-@query(f"select place, count(*) as n_pairs, sum(n)::bigint as n_words from {RECALL_SQL} group by place")
-def candidate_hits(spark: SparkSession, d: str, k: int | None = 4) -> DataFrame:
-    hit = D.P.typed(spark, d).join(D.lists(spark, d, k).select("typed", F.col("output").alias("word"), F.col("ord").alias("place")), ["typed", "word"], "left")
-    return hit.groupBy("place").agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_words"))
-
-
-WHOLE_RECALL_SQL = RECALL_SQL.replace(D.LISTS_SQL, D.ALL_LISTS_SQL)
-
-
-@query(f"select count(*) as n_pairs, sum(n)::bigint as n_words, {', '.join(f'sum(n) filter (where place < {k})::bigint as top_{k}' for k in (1, 3, D.READINGS))}, sum(n) filter (where place is not null)::bigint as oracle from {WHOLE_RECALL_SQL}")
-def oracle_recall_whole(spark: SparkSession, d: str) -> DataFrame:
     """How often the word is the first reading, among three, among as many as are reranked, among all of the form."""
     hit = D.P.typed(spark, d).join(D.lists(spark, d, None).select("typed", F.col("output").alias("word"), "ord"), ["typed", "word"], "left")
     n = lambda c: F.sum(F.when(c, F.col("n")))
@@ -124,10 +106,11 @@ def oracle_recall_whole(spark: SparkSession, d: str) -> DataFrame:
     return hit.agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_words"), *tops, n(F.col("ord").isNotNull()).alias("oracle"))
 
 
-@query(f"select place, count(*) as n_pairs, sum(n)::bigint as n_words from {WHOLE_RECALL_SQL} group by place")
-def candidate_hits_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(f"select place, count(*) as n_pairs, sum(n)::bigint as n_words from {RECALL_SQL} group by place")
+def candidate_hits(spark: SparkSession, d: str) -> DataFrame:
     """Every reading's place among all of its form."""
-    return candidate_hits(spark, d, None)
+    hit = D.P.typed(spark, d).join(D.lists(spark, d, None).select("typed", F.col("output").alias("word"), F.col("ord").alias("place")), ["typed", "word"], "left")
+    return hit.groupBy("place").agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_words"))
 
 
 MISSES_SQL = f"(select t.word as want, l.output as got, t.n from {D.P.TYPED_SQL} t join {D.LISTS_SQL} l on l.typed = t.typed and l.ord = 0 where l.output <> t.word)"

@@ -11,6 +11,7 @@ from harfgah.functions import words as W
 from harfgah.functions.fold import ARABIC_DIGITS, DEAD_INVISIBLES, HAMZA_ALEF, LATIN_DIGITS, LETTERS, MARKS, PERSIAN_DIGITS, PUNCTUATION, TEH_MARBUTA, ZWNJ, translate_sql, translated
 from harfgah.functions.tables import ENGLISH, ENGLISH_CLUSTERS, ENGLISH_SUFFIXES, HOMOGRAPHS, JOINING_PREFIXES, JOINING_SUFFIXES
 from harfgah.operators import tokens as K
+from harfgah.plans.scanner_sql import tokens_sql
 from harfgah.plans.sqltools import leak_key_sql, match_key_sql, metric_words_sql, naive_word_sql, quoted, split_sql, unstretch_sql
 from harfgah.session import parallel, table
 
@@ -221,15 +222,7 @@ def homophone_classes(spark: SparkSession, d: str) -> DataFrame:
 
 # Tokens.
 
-TOKEN_SQL = K.PATTERN.replace("'", "''")
-
-
-def _kinds_sql(t: str) -> str:
-    return "case " + " ".join(f"when regexp_full_match({t}, {quoted(p)}) then {quoted(k)}" for k, p in K.KINDS) + " else 'punct' end"
-
-
-TOKENS_SQL = f"""(select doc_id, pos, tok, {_kinds_sql('tok')} as kind, coalesce(sum(length(tok)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start
- from (select doc_id, unnest(l) as tok, unnest(range(len(l)))::bigint as pos from (select doc_id, regexp_extract_all(text, '{TOKEN_SQL}', 0) as l from documents)))"""
+TOKENS_SQL = tokens_sql("documents", "doc_id", "text")
 
 
 @query(f"select kind, count(*) as n, sum(length(tok))::bigint as n_chars from {TOKENS_SQL} group by kind")

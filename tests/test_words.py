@@ -34,6 +34,49 @@ def test_a_run_of_loanwords_beside_english_stays_english(spark):
     assert [(r["id"], r["tok"]) for r in t.collect() if r["guarded"]] == [(1, "file"), (1, "folder"), (2, "file")]
 
 
+SCANS = [
+    ("USA ABCd AB12c ABc x", "USA AB Cd AB1 2 c ABc x", "identifier identifier word identifier number word word word"),
+    ("सलाम 한국어 Привет a+b", "सलाम 한국어 Привет a + b", "other-script other-script other-script word other-script word"),
+    ("👩‍👩‍👧 👍🏽 ⌚ ©", "👩‍👩‍👧 👍🏽 ⌚ ©", "emoji emoji emoji emoji"),
+    ("می‌روم۱۲", "می \u200c روم ۱ ۲", "other-script punct other-script punct punct"),
+    ("aABc www.X.ir/AbC snake_Case isn't", "aABc www.X.ir/AbC snake_Case isn't", "identifier url identifier word"),
+]
+
+
+@pytest.mark.parametrize(("text", "toks", "kinds"), SCANS)
+def test_scanner(text, toks, kinds):
+    import duckdb
+
+    from harfgah.plans.scanner_sql import tokens_sql
+
+    got = [(k, t) for k, t in K.scan(text) if k != "space"]
+    assert got == list(zip(kinds.split(), toks.split(" "), strict=True))
+    con = duckdb.connect()
+    con.execute("create table d as select 1 as id, ? as text", [text])
+    rows = con.sql(f"select kind, tok, start from {tokens_sql('d', 'id', 'text')} where kind <> 'space' order by pos").fetchall()
+    assert [r[:2] for r in rows] == got and all(text[at : at + len(t)] == t for _, t, at in rows)
+
+
+def test_forced_words_overrule_patterns():
+    assert list(K.scan("USA2 USA", frozenset({"usa"}))) == [("identifier", "USA2"), ("space", " "), ("word", "USA")]
+    s = K.scanned("salam. man, ok")
+    assert [(s.starts[i], s.ends[i]) for i, k in enumerate(s.kind) if k == "word"] == [(True, True), (True, True), (False, True)]
+
+
+def test_loan_endings(spark):
+    from harfgah.operators.affixes import loan_forms, with_endings
+
+    table = {"file": ["فایل"], "page": ["پیج"], "ok": ["اوکی"], "video": ["ویدیو"]}
+    want = {"file": ["فایل"], "filam": ["فایلم"], "filea": ["فایلا"], "pageo": ["پیجو"], "pagi": ["پیجی"], "oki": ["اوکی"], "videoi": ["ویدیویی"], "filae": ["فایلا", "فایلاه"], "fil": None, "x": None, "": None}
+    assert {w: loan_forms(w, table) for w in want} == want
+    rows = with_endings(spark.createDataFrame([(k, v[0]) for k, v in table.items()], "en string, fa string")).collect()
+    best = {}
+    for r in rows:
+        if r["typed"] not in best or r["cut"] > best[r["typed"]][0]:
+            best[r["typed"]] = (r["cut"], r["forms"])
+    assert all(loan_forms(t, table) == (table[t] if t in table else f) for t, (_, f) in best.items())
+
+
 def test_naive_conversion(spark):
     first = {k: v[0][0] for k, v in reverse_index().items()}
 

@@ -78,23 +78,47 @@ def fingerprints(records: DataFrame, key: str, fields: tuple[str, ...] = FIELDS,
     return out.withColumnRenamed("key", key)
 
 
-def collapse(records: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, payload: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Groups and copies of records that are the same but for formatting and field order.
-
-    groups: the smallest key of each group, its number of records and its folded fields. copies: the smallest key of the
-    group with each other key of it. The fingerprints, and the groups of two or more, are written once to the shared
-    folder. Grouping hashes on the
-    fingerprint and compares the fields, so records with equal fingerprints but different fields stay apart; counts are
-    made before the shuffle, and the join back to the records splits hot groups. Null and empty fields are the same.
-    A key that comes twice is one record twice.
+class Collapsed:
+    """Groups and copies of records that are the same but for formatting and field order; each is planned when it is asked for.
+
+    Grouping hashes on the fingerprint and compares the fields, so records with equal fingerprints but different fields
+    stay apart. Null and empty fields are the same. A key that comes twice is one record twice.
     """
-    spark = records.sparkSession
-    path = scratch(spark, "fingerprints")
-    fingerprints(records, key, fields, payload).write.parquet(path)
-    rows = spark.read.parquet(path)
-    on = ["h1", "h2", *fields]
-    groups = rows.groupBy(*on).agg(F.min(key).alias("first_id"), F.count("*").alias("n_copies"))
-    several = cut(groups.where("n_copies > 1"))
-    hot = hot_keys(several, on, "n_copies")
-    copies = salted_join(rows, several, on, hot).where(F.col(key) != F.col("first_id")).select("first_id", key)
-    return groups.select("first_id", "n_copies", *fields), copies
+
+    def __init__(self, records: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, payload: str | None = None) -> None:
+        self.prints, self.key, self.fields = fingerprints(records, key, fields, payload), key, fields
+
+    def groups(self) -> DataFrame:
+        """first_id (the smallest key of each group), n_copies and the folded fields: one shuffle, counts combined before it."""
+        return self.prints.groupBy("h1", "h2", *self.fields).agg(F.min(self.key).alias("first_id"), F.count("*").alias("n_copies")).select("first_id", "n_copies", *self.fields)
+
+    def copies(self) -> DataFrame:
+        """first_id with each other key of its group.
+
+        Fingerprints alone are grouped, counts combined before the shuffle. Records of a fingerprint that came twice are
+        then hashed to their group's first record, hot groups being split, and their fields held against its fields.
+        Nothing is sorted. Fields that differ under one fingerprint are grouped anew by the fields.
+        """
+        key, fields, on = self.key, list(self.fields), ["h1", "h2"]
+        path = scratch(self.prints.sparkSession, "fingerprints")
+        self.prints.write.parquet(path)
+        rows = self.prints.sparkSession.read.schema(self.prints.schema).parquet(path)
+        several = cut(rows.groupBy(*on).agg(F.min(key).alias("first_id"), F.count("*").alias("n_copies")).where("n_copies > 1"))
+        hot = hot_keys(several, on, "n_copies")
+        members = salted_join(rows, several.drop("n_copies").hint("shuffle_hash"), on, hot)
+        first = members.where(F.col(key) == F.col("first_id")).select(*on, F.struct(*fields).alias("first")).distinct()
+        same = F.struct(*fields) == F.col("first")
+        held = salted_join(members, first.hint("shuffle_hash"), on, hot).where(~same | (F.col(key) != F.col("first_id")))
+        held = cut(held.select(key, F.when(same, F.col("first_id")).alias("first_id"), *(F.when(~same, F.col(x)).alias(x) for x in [*on, *fields])))
+        found = held.where("first_id is not null").select("first_id", key)
+        other = held.where("first_id is null").drop("first_id")
+        if other.isEmpty():
+            return found
+        anew = other.groupBy(*on, *fields).agg(F.min(key).alias("first_id"))
+        return found.unionByName(other.join(anew, [*on, *fields]).where(F.col(key) != F.col("first_id")).select("first_id", key))
+
+
+def collapse(records: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, payload: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Groups and copies; see Collapsed."""
+    c = Collapsed(records, key, fields, payload)
+    return c.groups(), c.copies()

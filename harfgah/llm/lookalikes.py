@@ -66,7 +66,7 @@ def same_looking(rows: DataFrame, key: str = "key") -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of rows of forms() with the same form but different texts.
 
     Rows with the same text make no pair and are gathered first: pairs are made between the different texts of a form,
-    then each is expanded to the rows that have it, hot texts being split. A blank or null text has no pair.
+    then each is expanded to the rows that have it; forms of very many texts and hot texts are split. A blank or null text has no pair.
     rows is read more than once; give a stored table.
     """
     rows = rows.where("form <> ''").select(F.col(key).alias("id"), "form", "text")
@@ -74,8 +74,9 @@ def same_looking(rows: DataFrame, key: str = "key") -> DataFrame:
     several = variants.groupBy("form").agg(F.count("*").alias("k"), F.sum("n").alias("of_form")).where("k > 1")
     variants = cut(variants.join(several, "form"))
     hot = hot_keys(variants, ["form", "text"])
+    crowded = hot_keys(variants.groupBy("form").agg(F.first("k").alias("n")), ["form"])
     a = variants.select("form", F.col("text").alias("text_a"))
-    pairs = a.join(a.withColumnRenamed("text_a", "text_b"), "form").where("text_a <> text_b")
+    pairs = salted_join(a, a.withColumnRenamed("text_a", "text_b"), ["form"], crowded).where("text_a <> text_b")
     half = salted_join(rows, pairs.withColumnRenamed("text_a", "text"), ["form", "text"], hot).select(F.col("id").alias("id_a"), "form", F.col("text_b").alias("text"))
     out = half.join(rows, ["form", "text"]) if hot is None else salted_join(half, rows, ["form", "text"], hot)
     return out.where("id_a < id").select("id_a", F.col("id").alias("id_b"))

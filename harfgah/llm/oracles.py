@@ -9,9 +9,15 @@ from __future__ import annotations
 import unicodedata
 
 from harfgah.functions.fold import DISPLAY, HAMZA_ABOVE, MATCH, ZWNJ, translate_sql
-from harfgah.llm.text import INVISIBLE, TO_LATIN
+from harfgah.llm.text import INVISIBLE
 from harfgah.plans.sqltools import quoted
 
+# Letters of other alphabets that look like a Latin letter of the same case, as these tables have them.
+TO_LATIN = {
+    **dict(zip("АВЕІЈКМНОРСТУХЅԚԜаеіјорсухѕԁԛԝһ", "ABEIJKMHOPCTYXSQWaeijopcyxsdqwh", strict=True)),
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳϲ", "ABEZHIKMNOPTYXojc", strict=True)),
+    **dict(zip("ՏՍՕօսհ", "SUOouh", strict=True)),
+}
 #: Blocks with compatibility forms that are resolved: Latin-1, general punctuation, Arabic presentation forms, full-width forms.
 BLOCKS = [(0xA0, 0x180), (0x2000, 0x2070), (0x3000, 0x3001), (0xFB50, 0xFDFE), (0xFE70, 0xFF00), (0xFF01, 0xFF5F)]
 FORMS = {chr(c): f for a, b in BLOCKS for c in range(a, b) if (f := unicodedata.normalize("NFKC", chr(c))) != chr(c)}
@@ -77,4 +83,7 @@ c as (select doc_id, count(distinct i + j) as covered from r, range(4) t(j) grou
 select n.doc_id from n join c using (doc_id) where covered * 10 >= n * 3
 """
 
-ORACLES: dict[str, str] = {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_terms": P3_TERMS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND}
+#: Decoding gives back every text; a null one has no ids, so it comes back empty.
+P7_TEXTS = "select doc_id, coalesce(text, '') as text from documents"
+
+ORACLES: dict[str, str] = {"p7_texts": P7_TEXTS, "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_terms": P3_TERMS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p9_found": P9_FOUND}

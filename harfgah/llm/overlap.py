@@ -1,4 +1,10 @@
-"""Problem 1: the same or nearly the same record in an evaluation set and in a training split."""
+"""Problem 1: the same or nearly the same record in an evaluation set and in a training split.
+
+Both kinds of overlap come from selected minima of rolling hashes. Texts that are the same letter by letter may be cut
+into words differently, so their seeds are runs of letters: one window over the whole text, its least hash, extended to
+both ends. Texts that are nearly the same share a run of two words and need not share more, so their window keeps every
+run of two words.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +29,8 @@ LEAST_WORDS, PART, OF = 5, 3, 4
 SHARED_RUN = 2
 #: Words of a fingerprint, and the window that keeps one minimum for every shared run: run = window + words - 1.
 SEED = 2
+#: Letters of a seed for texts that are the same.
+LETTERS = 8
 WINDOW = SHARED_RUN - SEED + 1
 
 
@@ -62,20 +70,19 @@ def chained(text_at: list[int], eval_at: list[int]) -> int:
 
 
 class Side:
-    """The evaluation texts of one field: exact keys, and fingerprints of the longer ones."""
+    """The evaluation texts of one field: a seed of letters of each different text, seeds of words of the longer ones."""
 
     def __init__(self, texts: list[str | None]) -> None:
         w = Words(texts)
-        by_key: dict[str, list[int]] = {}
-        for i, k in enumerate(w.keys()):
-            if k:
-                by_key.setdefault(k, []).append(i)
-        hashes = w.key_hash()
-        order = sorted(by_key, key=lambda k: hashes[by_key[k][0]])
-        self.key_hash = np.array([hashes[by_key[k][0]] for k in order], np.uint64)
+        a, edge = w.letters
+        by_key: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(np.diff(edge)).tolist():
+            by_key.setdefault(a[edge[i] : edge[i + 1]].tobytes(), []).append(i)
+        least = w.least_gram(LETTERS)
+        order = sorted(by_key, key=lambda k: least[by_key[k][0]])
         self.key, self.key_rows = order, [np.array(by_key[k]) for k in order]
-        # equal hashes of different keys would stand side by side
-        self.unsure = len(np.unique(self.key_hash)) < len(order)
+        self.key_size = np.array([len(k) // 4 for k in order], np.int64)
+        self.letter_seed, self.letter_begin, self.letter_count = np.unique(np.array([least[by_key[k][0]] for k in order], np.uint64), return_index=True, return_counts=True)
         by_words: dict[bytes, list[int]] = {}
         for i in np.flatnonzero(w.size >= LEAST_WORDS).tolist():
             by_words.setdefault(w.hash[w.first[i] : w.first[i] + w.size[i]].tobytes(), []).append(i)
@@ -106,20 +113,18 @@ class Side:
         return len(self.words[passage]) - v.bit_count()
 
     def same(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with the same letters and digits as an evaluation text: number of the text, number of the row."""
-        hit, at = found_in(self.key_hash, w.key_hash())
-        hit, at = hit[some := w.size[hit] > 0], at[some]
-        if not len(hit):
-            return hit, at
-        keys = w.keys()
-        if self.unsure:
-            place = {k: i for i, k in enumerate(self.key)}
-            at = np.array([place.get(keys[i], -1) for i in hit.tolist()], np.int64)
-            hit, at = hit[at >= 0], at[at >= 0]
-        true = np.array([keys[i] == self.key[k] for i, k in zip(hit.tolist(), at.tolist(), strict=True)], bool)
-        hit, at = hit[true], at[true]
-        n = np.array([len(self.key_rows[k]) for k in at.tolist()], np.int64)
-        return np.repeat(hit, n), np.concatenate([self.key_rows[k] for k in at.tolist()]) if len(at) else at
+        """Texts with the same letters and digits as an evaluation text: number of the text, number of the row.
+
+        The selected seeds are joined; where both texts are of one length, the seed is extended to all of both.
+        """
+        a, edge = w.letters
+        hit, at = found_in(self.letter_seed, w.least_gram(LETTERS))
+        of, place = expand(self.letter_begin[at], self.letter_count[at])
+        text = hit[of]
+        fits = np.diff(edge)[text] == self.key_size[place]
+        got = [(t, k) for t, k in zip(text[fits].tolist(), place[fits].tolist(), strict=True) if a[edge[t] : edge[t + 1]].tobytes() == self.key[k]]
+        n = np.array([len(self.key_rows[k]) for _, k in got], np.int64)
+        return np.repeat(np.array([t for t, _ in got], np.int64), n), np.concatenate([self.key_rows[k] for _, k in got]) if got else np.zeros(0, np.int64)
 
     def near(self, w: Words, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts with a common sequence of 3/4 of the longer one: number of the text, of the row, and common words.

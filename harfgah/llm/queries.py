@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation set, split and source: pairs, records on both sides, and how much of them is covered."""
-    pairs = overlap.overlaps(_evals(spark, d), table(spark, d, "example").where("split is not null"), SIDES, "id", "example_id", ("split", "source"), exact=True)
+    pairs = overlap.overlaps(_evals(spark, d), table(spark, d, "example"), SIDES, "id", "example_id", ("split", "source"), exact=True)
     sets = _evals(spark, d).select("id", "eval_set")
     return (
         pairs.join(sets, "id")
@@ -52,12 +52,12 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return collapse.collapse(_records(spark, d), "example_id", payload="payload")[1]
+    return collapse.Collapsed(_records(spark, d), "example_id", payload="payload").copies()
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each different record, with the number of its copies."""
-    return collapse.collapse(_records(spark, d), "example_id", payload="payload")[0]
+    return collapse.Collapsed(_records(spark, d), "example_id", payload="payload").groups()
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,9 @@ def p5_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_judges(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d).judges.select("judge", "n_votes", *(F.round(x, 4).alias(x) for x in ("reliability", "accepts_right", "rejects_right")))
+    """Each judge's votes and reliability, with the rounds that it took and how much any reliability still moved in the last."""
+    c = _consensus(spark, d)
+    return c.judges.join(F.broadcast(c.rounds)).select("judge", "n_votes", "rounds", F.round("last_change", 6).alias("last_change"), *(F.round(x, 4).alias(x) for x in ("reliability", "accepts_right", "rejects_right")))
 
 
 def _leaks(spark: SparkSession, d: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -131,6 +133,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"))
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, encoded and decoded again."""
+    return bpe.decoded(bpe.encoded(table(spark, d, "documents")))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(packing.stored_sizes(bpe.encoded(table(spark, d, "documents"), ids=False)))
 
@@ -149,5 +156,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_records, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_forms, p5_found, p5_items, p5_judges, p6_found, p6_items, p7_ids, p8_packed, p8_fill, p9_found, p9_shares)
+    for f in (p1_found, p1_report, p1_records, p2_found, p2_groups, p3_found, p3_terms, p4_found, p4_forms, p5_found, p5_items, p5_judges, p6_found, p6_items, p7_ids, p7_texts, p8_packed, p8_fill, p9_found, p9_shares)
 }

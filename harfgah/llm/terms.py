@@ -72,11 +72,13 @@ def term_counts(df: DataFrame, text: str = "text", share: float = HEAVY) -> Data
     """term, n_occurrences, n_records of every distinct term; df is read twice, whole.
 
     Heavy terms are added up in one exact counter array per task (there are at most 4/3 of 1/share, a proven bound for the
-    broadcast), light terms are gathered per task before they are shuffled by term. Null, empty and wordless texts
+    broadcast); the arrays, one row a task, are summed place by place. Light terms are gathered per task, and only they
+    are shuffled by term. The two tables of counts are put together; no term is in both. Null, empty and wordless texts
     have no terms. An empty table gives no rows.
     """
     spark = df.sparkSession
     heavy = spark.sparkContext.broadcast(heavy_terms(df, text, share))
+    columns = ["term", "n", "r", "heavy_n", "heavy_r"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = heavy.value
@@ -84,8 +86,10 @@ def term_counts(df: DataFrame, text: str = "text", share: float = HEAVY) -> Data
         n_heavy, r_heavy = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         light: dict[str, list[int]] = {}
 
-        def rows(terms: list[str], n: list[int], r: list[int], is_heavy: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "n": pa.array(n, pa.int64()), "r": pa.array(r, pa.int64()), "heavy": pa.array([is_heavy] * len(terms), pa.bool_())})
+        def gathered() -> pa.RecordBatch:
+            n, r = ([c[k] for c in light.values()] for k in (0, 1))
+            nothing = pa.nulls(len(light), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(list(light), pa.string()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), nothing, nothing], names=columns)
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -102,14 +106,19 @@ def term_counts(df: DataFrame, text: str = "text", share: float = HEAVY) -> Data
                     c[0] += int(n[i])
                     c[1] += int(r[i])
                 if len(light) > GATHERED:
-                    yield rows(list(light), [c[0] for c in light.values()], [c[1] for c in light.values()], False)
+                    yield gathered()
                     light = {}
-        yield rows(list(light), [c[0] for c in light.values()], [c[1] for c in light.values()], False)
-        yield rows(names, n_heavy.tolist(), r_heavy.tolist(), True)
-
-    parts = df.select(F.col(text).alias("text")).mapInArrow(work, "term string, n long, r long, heavy boolean")
-    # one shuffle: a heavy term has one row a task in it, a light one as many as there are tasks that met it
-    return parts.groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.sum("r").alias("n_records")).where("n_occurrences > 0")
+        yield gathered()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([n_heavy.tolist()], pa.list_(pa.int64())), pa.array([r_heavy.tolist()], pa.list_(pa.int64()))], names=columns)
+
+    # read by both sides below, and little: a row for each light term of a task, and one row of counters
+    parts = cut(df.select(F.col(text).alias("text")).mapInArrow(work, "term string, n long, r long, heavy_n array<long>, heavy_r array<long>"))
+    total = [F.sum("n").alias("n_occurrences"), F.sum("r").alias("n_records")]
+    light = parts.where("heavy_n is null").groupBy("term").agg(*total)
+    place = parts.where("heavy_n is not null").select(F.posexplode(F.arrays_zip(F.col("heavy_n").alias("n"), F.col("heavy_r").alias("r"))).alias("place", "c"))
+    names = F.broadcast(spark.createDataFrame(list(enumerate(heavy.value)), "place int, term string"))
+    counters = place.groupBy("place").agg(F.sum("c.n").alias("n_occurrences"), F.sum("c.r").alias("n_records")).join(names, "place")
+    return light.unionByName(counters.drop("place")).where("n_occurrences > 0")
 
 
 def marked(counts: DataFrame, records: DataFrame, rare_below: int = 3, common_part: int = 20) -> DataFrame:

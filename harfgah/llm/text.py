@@ -17,23 +17,19 @@ import numpy as np
 import regex
 
 from harfgah.functions.fold import HAMZA_ABOVE, MATCH, ZWNJ
+from harfgah.llm.confusables import SCRIPTS, digits, lookalikes
 
 SEP = "\x1e"
 
-# Letters of other alphabets that look like a Latin letter of the same case.
-LOOKALIKES = {
-    "cyrillic": dict(zip("АВЕЗІЈКМНОРСТУХЅԚԜаеіјорсухѕԁԛԝһ", "ABE3IJKMHOPCTYXSQWaeijopcyxsdqwh", strict=True)),
-    "greek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳϲ", "ABEZHIKMNOPTYXojc", strict=True)),
-    "armenian": dict(zip("ՏՍՕօսոհց", "SUOouuhg", strict=True)),
-}
-del LOOKALIKES["cyrillic"]["З"], LOOKALIKES["armenian"]["ո"], LOOKALIKES["armenian"]["ց"]  # not close enough
-TO_LATIN = {k: v for letters in LOOKALIKES.values() for k, v in letters.items()}
-#: From Latin into a script, for a word that only that script can spell.
-FROM_LATIN = {script: {v: k for k, v in letters.items()} for script, letters in LOOKALIKES.items()}
-
-_script = {"latin": regex.compile(r"\p{Latin}"), "cyrillic": regex.compile(r"\p{Cyrillic}"), "greek": regex.compile(r"\p{Greek}"), "armenian": regex.compile(r"\p{Armenian}")}
-_token = regex.compile(r"(?:[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}]\p{Mn}*)+")
-_foreign = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}]")
+LOOKALIKES = {script: letters for script, letters in lookalikes().items() if script != "latin"}
+TO_LATIN = {k: v for letters in lookalikes().values() for k, v in letters.items()}
+#: From Latin into a script, for a word that only that script can spell; of several letters the first.
+FROM_LATIN = {script: {v: k for k, v in reversed(letters.items())} for script, letters in LOOKALIKES.items()}
+
+_class = "".join(rf"\p{{{s.title()}}}" for s in SCRIPTS)
+_script = {s: regex.compile(rf"\p{{{s.title()}}}") for s in ("latin", *SCRIPTS)}
+_token = regex.compile(rf"(?:[\p{{Latin}}{_class}]\p{{Mn}}*)+")
+_foreign = regex.compile(rf"[{_class}{''.join(lookalikes()['latin'])}]")
 #: Format characters that are drawn: they span the digits or words after them.
 _DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 _ALL = [chr(c) for c in (*range(0x20000), *range(0xE0000, 0xE0200))]
@@ -125,7 +121,9 @@ class Codes:
         return self.mapped(pairs).joined("NFKC")
 
     def resolved(self) -> Codes:
-        """Look-alike letters brought to one script, token by token; this is in NFKC."""
+        """Look-alike letters brought to one script, token by token, look-alike digits to ASCII; this is in NFKC."""
+        if max(self.chars, default="") > "\u06ff" and (alien := {c: digits()[c] for c in self.chars if c in digits()}):
+            return self.mapped(alien).resolved()
         foreign = [c for c in self.chars if _foreign.match(c)]
         if not foreign:
             return self
@@ -212,11 +210,30 @@ class Words:
         a = self.codes.a[self.inside | (self.codes.a == ord(SEP))]
         return a.tobytes().decode("utf-32-le", "surrogatepass").split(SEP) if self.n else []
 
+    @property
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """All letters and digits in order, and where each text's begin (and the last one's end)."""
+        if not hasattr(self, "_letters"):
+            self._letters = self.codes.a[self.inside], np.concatenate([[0], np.cumsum(np.bincount(np.searchsorted(self.breaks, np.flatnonzero(self.inside)), minlength=self.n))])
+        return self._letters
+
     def key_hash(self, seed: int = 1) -> np.ndarray:
         """A hash of each text's letters and digits in order; 0 if there are none."""
-        a = self.codes.a[self.inside]
-        sizes = np.concatenate([[0], np.cumsum(np.bincount(np.searchsorted(self.breaks, np.flatnonzero(self.inside)), minlength=self.n))])
-        return spans_hash(_mixed(1 << 21, seed)[a], sizes[:-1], sizes[1:])
+        a, edge = self.letters
+        return spans_hash(_mixed(1 << 21, seed)[a], edge[:-1], edge[1:])
+
+    def least_gram(self, k: int) -> np.ndarray:
+        """Of each text the least rolling hash of k letters or digits in a row, of all of them if it has fewer; 0 if it has none."""
+        a, edge = self.letters
+        size = np.diff(edge)
+        grams = np.maximum(size - k + 1, np.minimum(size, 1))
+        first = np.cumsum(grams) - grams
+        start = np.arange(int(grams.sum())) - np.repeat(first - edge[:-1], grams)
+        h = spans_hash(_mixed(1 << 21)[a], start, np.minimum(start + k, np.repeat(edge[1:], grams)))
+        out, some = np.zeros(self.n, np.uint64), np.flatnonzero(grams)
+        if len(some):
+            out[some] = np.minimum.reduceat(h, first[some])
+        return out
 
 
 def words_of(text: str | None) -> list[str]:

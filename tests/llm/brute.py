@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 from harfgah.functions.fold import fold, normalize
-from harfgah.llm.text import INVISIBLE, TO_LATIN
+from harfgah.llm.oracles import TO_LATIN
+from harfgah.llm.text import INVISIBLE
 
 
 def plain(text):

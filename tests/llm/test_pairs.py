@@ -52,6 +52,17 @@ def test_overlaps_are_all_that_the_definition_names(spark, block_rows):
             assert r["common_words"] == brute.common(e_, t_)
 
 
+def test_same_letters_are_found_however_they_are_cut_into_words(spark):
+    r = random.Random(9)
+    evals = [(f"e{i}", "".join(r.choice("ab") for _ in range(r.choice([1, 3, 7, 8, 9, 15, 40]))), None) for i in range(60)]
+    cut = lambda t: "".join(c + r.choice(["", "", " ", "-"]) for c in t)
+    corpus = [(i, cut(r.choice(evals)[1]) + r.choice(["", "", "b"]), "") for i in range(300)] + [(999, None, None)]
+    e = spark.createDataFrame(evals, "id string, q string, a string")
+    c = spark.createDataFrame(corpus, "k long, l string, p string")
+    got = {(x["id"], x["k"]) for x in overlap.overlaps(e, c, {"q": "l", "a": "p"}, "id", "k").collect()}
+    assert got == brute.overlaps(evals, corpus) and len(got) > 200
+
+
 def test_chain_never_exceeds_the_alignment():
     r = random.Random(4)
     for _ in range(300):
@@ -112,6 +123,15 @@ def test_hot_groups_are_split(spark, monkeypatch):
     assert {tuple(r) for r in copies.collect()} == {(0, i) for i in range(1, 1000)}
 
 
+def test_different_fields_under_one_fingerprint_stay_apart(spark, monkeypatch):
+    rows = [(1, "aa", None), (2, "AA", ""), (3, "bb", None), (4, "b b", None), (5, "cc", "x"), (6, "aa", None)]
+    df = spark.createDataFrame(rows, "id long, latin string, persian string")
+    c = collapse.Collapsed(df, "id")
+    c.prints = c.prints.withColumns({"h1": F.lit(7).cast("long"), "h2": F.lit(7).cast("long")})
+    assert {tuple(r) for r in c.copies().collect()} == {(1, 2), (1, 6), (3, 4)}
+    assert {r["first_id"]: r["n_copies"] for r in c.groups().collect()} == {1: 3, 3: 2, 5: 1}
+
+
 def test_collapse_of_nothing(spark):
     groups, copies = collapse.collapse(spark.createDataFrame([], "id long, latin string, persian string"), "id")
     assert groups.count() == copies.count() == 0

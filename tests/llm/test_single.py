@@ -143,6 +143,47 @@ def test_consensus_finds_the_truth_and_the_judges(spark):
         assert abs(r["accepts_right"] - a) < 0.06 and abs(r["rejects_right"] - b) < 0.06
 
 
+def test_both_ways_to_consensus_agree(spark, monkeypatch):
+    truth, votes, _ = simulated(300, 8)
+    edges = spark.createDataFrame(votes, "item string, judge string, up int").withColumn("n", F.lit("x"))
+    items = spark.createDataFrame([(i, "a" if k % 3 else None) for k, i in enumerate(truth)], "item string, kind string")
+    found = []
+    for most in (100_000, 1):
+        monkeypatch.setattr(consensus, "BROADCAST_JUDGES", most)
+        c = consensus.consensus(edges.select("item", "judge", "up"), items)
+        rows = {r["item_id"]: (r["verdict"], r["n_votes"], pytest.approx(r["confidence"], abs=1e-6)) for r in c.items.collect()}
+        found.append((rows, {r["judge"]: pytest.approx(r["reliability"], abs=1e-6) for r in c.judges.collect()}, c.rounds.first()))
+    assert {k: v[:2] for k, v in found[0][0].items()} == {k: v[:2] for k, v in found[1][0].items()} and found[0][2]["rounds"] == found[1][2]["rounds"] > 1
+    assert all(found[0][1][j].expected == found[1][1][j] for j in found[0][1]) and found[0][2]["last_change"] < consensus.TOLERANCE
+    monkeypatch.setattr(consensus, "MOST", 1)
+    with pytest.raises(RuntimeError, match="no consensus"):
+        consensus.consensus(edges.select("item", "judge", "up"), items)
+
+
+def test_long_pieces_are_encoded_by_the_same_query_as_short_ones(spark):
+    from tokenizers import Tokenizer
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(3000)), "ن" * 5000, "".join(r.choice("سلامخوب") for _ in range(2000)), "ab" * 4000]
+    b = bpe.Bpe()
+    t = Tokenizer.from_file(f"{bpe.FOLDER}/{bpe.TOKENIZER}.json")
+    values, n = b.encode(texts)
+    assert values.tolist() == [i for e in t.encode_batch(texts, add_special_tokens=False) for i in e.ids] and len(n) == 4
+    b.encode_sql, b.known = bpe.ENCODE.replace("ROUNDS", "7").replace("CHOSEN", bpe.LEFTMOST), {}
+    short = [x[:200] for x in texts]
+    assert b.encode(short)[0].tolist() == [i for e in t.encode_batch(short, add_special_tokens=False) for i in e.ids]
+    assert b.decode([*(e.ids for e in t.encode_batch(short, add_special_tokens=False)), [], None]) == [*short, "", None]
+
+
+def test_decoding(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").withColumn("letters", F.lit(1))
+    back = {r["doc_id"]: r["text"] for r in bpe.decoded(bpe.encoded(df)).collect()}
+    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [int(bpe.Bpe().byte[0xFF])])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe.decoded(odd).collect()} == {1: None, 2: "", 3: "\ufffd"}
+    assert bpe.decoded(odd.limit(0)).count() == 0
+
+
 def test_votes(spark):
     from datetime import datetime as D
 

@@ -45,7 +45,19 @@ def test_one_spelling_for_a_token():
     assert spell("Σо") == "Σο"  # only Greek can
     assert spell("café") == "café"
     assert resolve("kitаb کتاب") == "kitab کتاب"
-    assert all(unicodedata.category(a)[1] == unicodedata.category(b)[1] for a, b in TO_LATIN.items())
+    assert all(unicodedata.category(a) in ("Lo", "Lm") or unicodedata.category(a)[1] == unicodedata.category(b)[1] for a, b in TO_LATIN.items())
+    assert len(TO_LATIN) > 150 and all(b.isascii() and b.isalpha() for b in TO_LATIN.values())
+    assert [resolve(x) for x in "ɡ ı ӏ ᴏ ꓐ Ꭺ ߀ υ ν ѵ ҽ ⲟ ꮯ Ӏ Ι".split()] == list("giioBA0uvvepc".replace("p", "o")) + ["I", "I"]
+    assert resolve("мир λόγος خوب ۱۲ ٣") == "мир λόγος خوب ۱۲ ٣"
+
+
+def test_tables_of_confusables_in_both_formats(tmp_path):
+    from harfgah.llm import confusables
+
+    t = tmp_path / "confusables.txt"
+    t.write_text("# x\n0430 ;\t0061 ;\tMA\t# comment\n0132 ; 006C 004A ; MA\n", encoding="utf-8")
+    got = confusables.skeletons(str(t))
+    assert got == {"а": "a", "Ĳ": "lJ"} and all(confusables.skeletons()[k] == v for k, v in got.items())
 
 
 def test_equal_looking_texts_are_equal():

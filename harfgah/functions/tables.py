@@ -136,6 +136,14 @@ NUMBER_WORDS = frozenset(
     """یک دو سه چهار پنج شش هفت هشت نه ده یازده دوازده سیزده چهارده پانزده شانزده هفده هجده هیجده نوزده
     بیست سی چهل پنجاه شصت هفتاد هشتاد نود صد یکصد دویست سیصد چهارصد پانصد ششصد هفتصد هشتصد نهصد هزار میلیون میلیارد""".split()
 )
+# Words of chat, and of written register.
+CHAT_WORDS = tuple(
+    """سلام خوبی خوبین خوبید خوبم مرسی ممنون ممنونم مچکرم باشه آره نه‌خیر خداحافظ خدافظ بای فعلا شب‌بخیر صبح‌بخیر عزیزم قربونت قربونتم فدات فداتشم دمت مخلصیم چاکرم ایول آفرین حله اوکی اوکیه باحال باحاله
+    چطوری چطورین چطوره کجایی کجاین کجاس چیکار چیکارا چکار چته چیه چیشد کیه
+    میخوام نمیخوام میخوای میخوایم میدونم نمیدونم میدونی نمیدونی میام نمیام میای میاین میرم نمیرم میری بریم بیا بیاین ببین ببینم میبینمت میگم میگی بگو بگم نمیشه میشه
+    خونم حوصلم خستم خیالت اینجوری اونجوری اونجا یکم یه اون اینو اونو بهت بهم باهات باهم واسه واسم واست""".split()
+)
+WRITTEN_WORDS = tuple("است هستند می‌باشد می‌باشند می‌شود می‌شوند می‌کند می‌کنند می‌دهد می‌دهند می‌رود می‌روند می‌آید می‌آیند می‌خواهم می‌خواهد می‌خواهی نمی‌دانم نمی‌خواهم را دارد ندارد شده‌اند آیا".split())
 #: What a typed vowel run can stand for; any other run can be any vowel.
 TYPED_VOWELS = {"a": "Aa", "aa": "A", "e": "e", "o": "o", "i": "i", "ee": "i", "ii": "i", "y": "i", "u": "u", "oo": "u", "ou": "u", "uu": "u"}
 ANY_VOWEL = "aeoAiu"

@@ -8,7 +8,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harfgah.functions.fold import ARABIC_DIGITS, HAMZA_ABOVE, MATCH, PERSIAN_DIGITS, ZWNJ, translated
+from harfgah.functions.fold import ARABIC_DIGITS, HAMZA_ABOVE, MATCH, PERSIAN_DIGITS, ZWNJ, normalize_column, translated
 from harfgah.functions.tables import ENGLISH, ENGLISH_CLUSTERS, ENGLISH_SUFFIXES, HOMOGRAPHS, JOINING_PREFIXES, JOINING_SUFFIXES, SPLIT_MARKS, first_choice, latin_units
 
 #: Blanks that regular expressions of Java and RE2 agree on.
@@ -35,9 +35,9 @@ def leak_key(c: Column) -> Column:
 
 
 def metric_words(c: Column) -> Column:
-    """Words for accuracy: joiners and marks are blanks."""
+    """Words for accuracy: stretches folded, joiners and marks are blanks."""
     marks = SPLIT_MARKS + ZWNJ
-    return split_blank(F.translate(c, marks, " " * len(marks)))
+    return split_blank(F.translate(stretch_folded(c), marks, " " * len(marks)))
 
 
 def stretch_folded(c: Column) -> Column:
@@ -141,6 +141,24 @@ def confusable_key(c: Column) -> Column:
     return F.translate(c, "اآوی", "")
 
 
+_NO_WORD = r"[^\w\u200c\u0600-\u06ff]|[\u060c\u061b\u061f\u066a-\u066c\u06d4]"
+
+
+def sentence_words(c: Column) -> Column:
+    """The words of a sentence in normal form, marks being word breaks; null if there are none or one isn't all of Persian letters."""
+    normal = lambda x: normalize_column(x)
+    spaced = F.regexp_replace(normal(c), r"(?U)" + _NO_WORD, " ")
+    words = F.filter(F.transform(F.split(spaced, r"[ \t\n\f\r]+"), normal), lambda w: w != "")
+    return F.when((F.size(words) > 0) & F.forall(words, lambda w: w.rlike(r"\A[ء-غف-يپچژکگی\u200c\u0654]+\z")), words)
+
+
+def has_span(whole: Column, part: Column) -> Column:
+    """Do the words of part stand in a row in whole."""
+    n = F.size(whole) - F.size(part)
+    places = F.when(n >= 0, F.sequence(F.lit(1), n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(places, lambda i: F.slice(whole, i, F.size(part)) == part)
+
+
 def without_link(word: Column, typed: Column) -> Column:
     """A typing without the linking vowel that its sentence put behind it: e after a consonant, ye after a vowel."""
     e = ~word.rlike("[اآویه]$") & typed.rlike("[^aeoiu]e$") & (F.length(typed) > 1)

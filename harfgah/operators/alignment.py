@@ -8,14 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One symbol for each different word of a pair; more different words than this need word_runs().
-SYMBOLS = "".join(chr(0x4E00 + i) for i in range(6000))
+#: One symbol for each different word of a pair. A pair of more different words stops the query; aligned() takes any.
+SYMBOLS = "".join(map(chr, (*range(0x4E00, 0xA000), *range(0x3400, 0x4DC0))))
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:
     """Edit distance in words, at most the reference's length: words are recoded as symbols of their pair, so that the
     built-in distance of strings serves. An empty reference has no errors; a null side gives null."""
-    known = F.array_distinct(F.concat(ref, hyp))
+    words = F.array_distinct(F.concat(ref, hyp))
+    known = F.when(F.size(words) <= len(SYMBOLS), words).otherwise(F.raise_error(F.lit(f"more than {len(SYMBOLS)} different words: use aligned()")).cast("array<string>"))
     coded = lambda w: F.array_join(F.transform(w, lambda x: F.lit(SYMBOLS).substr(F.array_position(known, x).cast("int"), F.lit(1))), "")
     return F.least(F.levenshtein(coded(ref), coded(hyp)), F.size(ref))
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harfgah.session import spread
 
@@ -27,16 +29,21 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once: as the one element of an array, it isn't read anew for each of use's elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rms_norm(c: Column, eps: float = 1e-5) -> Column:
     """x / sqrt(mean of squares + eps); the empty array stays."""
     scale = F.sqrt(total(F.transform(c, lambda x: x * x)) / F.greatest(F.size(c), F.lit(1)) + eps)
-    return F.transform(c, lambda x: x / scale)
+    return bound(scale, lambda s: F.transform(c, lambda x: x / s))
 
 
 def softmax(c: Column) -> Column:
-    top = F.array_max(c)
-    e = F.transform(c, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    """The empty array stays."""
+    shifted = bound(F.array_max(c), lambda top: F.transform(c, lambda x: F.exp(x - top)))
+    return bound(shifted, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def row_scale(c: Column, qmax: int) -> Column:
@@ -46,14 +53,52 @@ def row_scale(c: Column, qmax: int) -> Column:
 
 
 def row_codes(c: Column, qmax: int) -> Column:
-    s = row_scale(c, qmax)
-    return F.transform(c, lambda x: F.greatest(F.lit(-qmax), F.least(F.lit(qmax), F.bround(x / s).cast("int"))))
+    return bound(row_scale(c, qmax), lambda s: F.transform(c, lambda x: F.greatest(F.lit(-qmax), F.least(F.lit(qmax), F.bround(x / s).cast("int")))))
+
+
+def coded_error(c: Column, qmax: int) -> Column:
+    """The greatest difference that a row's codes leave."""
+    return bound(row_scale(c, qmax), lambda s: F.array_max(F.transform(c, lambda x: F.abs(x - s * F.greatest(F.lit(-qmax), F.least(F.lit(qmax), F.bround(x / s)))))))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _scanned(gate: pd.Series, value: pd.Series, back: pd.Series) -> pd.Series:
+    """Rows of one length go through the places together, so the Python work grows with the length, not with the rows."""
+    out: list = [None] * len(gate)
+    ways: dict[tuple[int, bool], list[int]] = {}
+    for i, (g, v, b) in enumerate(zip(gate, value, back, strict=True)):
+        if g is not None and v is not None:
+            ways.setdefault((min(len(g), len(v)), bool(b)), []).append(i)
+    for (n, b), rows in ways.items():
+        a, x = (np.array([np.asarray(s.iloc[i][:n], np.float64) for i in rows]).reshape(len(rows), n) for s in (gate, value))
+        h, made = np.zeros(len(rows)), np.empty((len(rows), n))
+        for k in range(n - 1, -1, -1) if b else range(n):
+            h = a[:, k] * h + (1 - a[:, k]) * x[:, k]
+            made[:, k] = h
+        for i, row in zip(rows, made, strict=True):
+            out[i] = row
+    return pd.Series(out, index=gate.index)
+
+
+def convex_scan(gate: Column, value: Column, back: bool = False) -> Column:
+    """h = gate * h + (1 - gate) * value along two arrays, from 0; back: from the end. A null side gives null, the shorter one's length counts."""
+    return _scanned(gate, value, F.lit(back))
+
+
+# The letters of six-bit codes, the code in the middle being 0.
+SIX_BIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+"
+
+
+def letters_of(codes: Column) -> Column:
+    """Codes of -31 to 31 as one letter each."""
+    return F.array_join(F.transform(codes, lambda c: F.lit(SIX_BIT).substr(c + 32, F.lit(1))), "")
 
 
-def convex_scan(c: Column, keep: float) -> Column:
-    """h = keep * h + (1 - keep) * x over an array, from 0."""
-    steps = F.aggregate(c, F.struct(F.lit(0.0).alias("h"), F.array().cast("array<double>").alias("out")), lambda a, x: F.struct((a["h"] * keep + x * (1 - keep)).alias("h"), F.concat(a["out"], F.array(a["h"] * keep + x * (1 - keep))).alias("out")))
-    return steps["out"]
+def codes_of(letters: Column) -> Column:
+    """The codes of letters; a letter that is none of a code's stops the query."""
+    place = lambda c: F.instr(F.lit(SIX_BIT), c)
+    found = F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: place(c) - 32)
+    return F.when(letters.isNull() | letters.rlike(r"\A[A-Za-z0-9+]*\z"), found).otherwise(F.raise_error(F.lit("a letter of no code")).cast("array<int>"))
 
 
 # The model: a few thousand weights, the same in every task.
@@ -80,24 +125,28 @@ class Weights:
         parts = [{"gate": make(wide, 4 * hidden), "bias": make(4 * hidden), "out": make(2 * hidden, d), "out_bias": make(d), "norm": np.ones(d, np.float32)} for _ in range(blocks)]
         return cls(letters, labels, context, make(len(letters) + 1, d), parts, make(d, len(labels)), make(len(labels)))
 
-    def quantised(self, qmax: int = 127) -> dict[str, tuple[str, list[float], list[int]]]:
-        """Each matrix as base64 codes with a scale for each row, and its shape."""
+    def quantised(self, qmax: int = 127, bits: int = 8) -> dict[str, tuple[str, list[float], list[int]]]:
+        """Each matrix as base64 codes, or of six bits (qmax 31) as one letter each, with a scale for each row, and its shape."""
         out = {}
         for name, m in self.matrices().items():
             rows = m.reshape(len(m), -1).astype(np.float64)
             top = np.abs(rows).max(axis=1)
             scale = np.where(top > 0, top / qmax, 1.0)
             codes = np.clip(np.rint(rows / scale[:, None]), -qmax, qmax).astype(np.int8)
-            out[name] = (base64.b64encode(codes.tobytes()).decode(), scale.tolist(), list(m.shape))
+            text = "".join(SIX_BIT[c + 31] for c in codes.ravel().tolist()) if bits == 6 else base64.b64encode(codes.tobytes()).decode()
+            out[name] = (text, scale.tolist(), list(m.shape))
         return out
 
     def matrices(self) -> dict[str, np.ndarray]:
         return {"embed": self.embed, "head": self.head, "head_bias": self.head_bias, **{f"{i}.{k}": v for i, b in enumerate(self.blocks) for k, v in b.items()}}
 
 
-def dequantised(text: str, scales: list[float], shape: list[int]) -> np.ndarray:
-    """Raises if the codes or scales don't fit the shape."""
-    codes = np.frombuffer(base64.b64decode(text), np.int8)
+def dequantised(text: str, scales: list[float], shape: list[int], bits: int = 8) -> np.ndarray:
+    """Raises if the codes or scales don't fit the shape, or, of six bits, if a letter is no code."""
+    if bits == 6:
+        codes = np.array([SIX_BIT.index(c) - 31 for c in text], np.int8)
+    else:
+        codes = np.frombuffer(base64.b64decode(text), np.int8)
     if len(codes) != math.prod(shape) or len(scales) != shape[0]:
         raise ValueError(f"{len(codes)} codes and {len(scales)} scales for shape {shape}")
     return (codes.reshape(shape[0], -1) * np.array(scales)[:, None]).reshape(shape).astype(np.float32)

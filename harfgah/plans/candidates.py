@@ -205,28 +205,36 @@ def short_vowel_vav(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with w as {T.PERSIAN_WORDS_SQL}, c as (select word, i, substr(word, 1, i) || 'ی' || substr(word, i + 1) as output from (select word, unnest(generate_series(2, length(word) - 1)) as i from w) where substr(word, i, 1) = 'ی' and substr(word, i - 1, 1) in ('ا', 'و'))
+    f"""with w as {T.PERSIAN_WORDS_SQL}, r as (select distinct regexp_replace(word, '([او])یی(.)', '\\1ی\\2') as word from w where regexp_matches(word, '[او]یی.')),
+    c as (select word, i, substr(word, 1, i) || 'ی' || substr(word, i + 1) as output from (select word, unnest(generate_series(2, length(word) - 1)) as i from (select word from w union select word from r)) where substr(word, i, 1) = 'ی' and substr(word, i - 1, 1) in ('ا', 'و'))
     select word, output, n from (select c.word, c.output, w.n, row_number() over (partition by c.word order by c.i) as k from c join w on w.word = c.output) where k = 1"""
 )
 def hiatus_ye(spark: SparkSession, d: str) -> DataFrame:
-    """Words that stay words when the ye after a long vowel is doubled."""
+    """Spellings that are a word when the ye after a long vowel is doubled: of words, and of what letter by letter is written for words with two."""
     words = T.persian_words(spark, d)
-    variants = words.where(F.length("word") > 2).select("word", F.explode(F.filter(F.sequence(F.lit(2), F.length("word") - 1), lambda i: (F.col("word").substr(i, F.lit(1)) == "ی") & F.col("word").substr(i - 1, F.lit(1)).isin("ا", "و"))).alias("i"))
+    once = words.where(F.col("word").rlike("[او]یی.")).select(F.expr("regexp_replace(word, '^(.*?[او])یی(.)', '$1ی$2')").alias("word"))
+    spelled = words.select("word").unionByName(once).distinct()
+    variants = spelled.where(F.length("word") > 2).select("word", F.explode(F.filter(F.sequence(F.lit(2), F.length("word") - 1), lambda i: (F.col("word").substr(i, F.lit(1)) == "ی") & F.col("word").substr(i - 1, F.lit(1)).isin("ا", "و"))).alias("i"))
     variants = variants.withColumn("output", F.concat(F.col("word").substr(F.lit(1), F.col("i")), F.lit("ی"), F.expr("substr(word, i + 1)")))
     return variants.join(words.select(F.col("word").alias("output"), "n"), "output").groupBy("word").agg(F.min(F.struct("i", "output", "n")).alias("b")).select("word", "b.output", "b.n")
 
 
 @query(
-    f"""with l as {LISTS_SQL}, t as (select typed, output, probability from l where ord = 0), w as {T.PERSIAN_WORDS_SQL}
-    select t.typed, s.output || 'ه' as output, round(t.probability * 0.8, 4) as top_probability, 0.2 as probability from t join t s on t.typed = s.typed || 'e' join w on w.word = s.output
+    f"""with l as {LISTS_SQL}, s as (select typed, output, probability from l where ord = 0 and typed <> ''), t as (select * from s union all select typed || 'e', output, probability from s where typed || 'e' not in (select typed from s)), w as {T.PERSIAN_WORDS_SQL}
+    select t.typed, s.output || 'ه' as output, round(t.probability * 0.8, 4) as top_probability, 0.2::double as probability from t join s on t.typed = s.typed || 'e' join w on w.word = s.output
     where length(t.typed) >= 4 and regexp_matches(t.typed, '[^e]e$') and not ends_with(t.output, 'ه') and not regexp_matches(s.output, '[هاو]$') and s.output not in ({', '.join(map(quoted, EZAFE_HEADS))})
     and not exists (select 1 from l where l.typed = t.typed and l.output = s.output || 'ه')"""
 )
 def copula_candidates(spark: SparkSession, d: str, k: int = READINGS) -> DataFrame:
-    """A reading with the copula for words in e whose stem is a word, put second with a fifth."""
+    """A reading with the copula for typings in e whose stem is a word, put second with a fifth.
+
+    A typing that is only seen without its e is read as its stem, the e being an unwritten linking vowel.
+    """
     rows = lists(spark, d, k)
-    top = rows.where("ord = 0").select("typed", F.col("output").alias("top"), "probability").where((F.length("typed") >= 4) & F.col("typed").rlike("[^e]e$") & ~F.col("top").endswith("ه"))
-    stems = rows.where("ord = 0").select(F.concat("typed", F.lit("e")).alias("typed"), F.col("output").alias("stem")).where(~F.col("stem").rlike("[هاو]$") & ~F.col("stem").isin(*EZAFE_HEADS))
+    first = rows.where("ord = 0 and typed <> ''").select("typed", "output", "probability")
+    linked = first.withColumn("typed", F.concat("typed", F.lit("e"))).join(first.select("typed"), "typed", "left_anti")
+    top = first.unionByName(linked).select("typed", F.col("output").alias("top"), "probability").where((F.length("typed") >= 4) & F.col("typed").rlike("[^e]e$") & ~F.col("top").endswith("ه"))
+    stems = first.select(F.concat("typed", F.lit("e")).alias("typed"), F.col("output").alias("stem")).where(~F.col("stem").rlike("[هاو]$") & ~F.col("stem").isin(*EZAFE_HEADS))
     stems = stems.join(T.persian_words(spark, d).select(F.col("word").alias("stem")), "stem")
     made = top.join(stems, "typed").withColumn("output", F.concat("stem", F.lit("ه"))).join(rows.select("typed", "output"), ["typed", "output"], "left_anti")
     return made.select("typed", "output", F.round(F.col("probability") * 0.8, 4).alias("top_probability"), F.lit(0.2).alias("probability"))

@@ -68,4 +68,4 @@ def front_decode(spark: SparkSession, d: str) -> DataFrame:
     """The frequency table's words, encoded to bytes and decoded again."""
     words = [r["word"] for r in P.unigram_logquant(spark, d).where(F.col("word").rlike(r"\A[ء-ی]+\z")).select("word").collect()]  # of twenty-five thousand at most
     rows = spark.createDataFrame([("frequency", bytearray(codecs.words_to_bytes(words)))], "name string, data binary")
-    return codecs.decoded_words(rows, "name", "data")
+    return codecs.decoded(rows, "name", "data", "words")

@@ -385,18 +385,44 @@ def pending_anti(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "loanwords").select("loan_id").distinct().join(seen, "loan_id", "left_anti")
 
 
+#: A reading as common as this is an everyday word, and as many typings of it are evidence of how it is typed.
+COMMON, EVIDENCE = 0.25, 10
+
+
+def _read_sql() -> str:
+    from harfgah.plans.words import ORACLES as WORDS
+
+    skeleton = f"({WORDS['persian_skeletons'].replace('select word,', 'select word, n,', 1)})"
+    return f"""(select l.en, arg_max(p.word, (p.n, p.word)) as reading from (select distinct lower(en) as en from loanwords where regexp_full_match(en, '[A-Za-z]+')) l
+     join (select word as en, skeleton from ({WORDS['latin_skeletons'].split(' from ')[0]} from (select distinct lower(en) as word from loanwords where regexp_full_match(en, '[A-Za-z]+')))) k using (en) join {skeleton} p using (skeleton) group by 1)"""
+
+
 @query(
-    f"""with v as (select *, row_number() over (partition by lower(en) order by loan_id) as nth from {VOTES_SQL}), e as (select * from v where a = 'accept' and b = 'accept'),
-    t as (select typed, sum(n) as n from {TYPED_SQL} group by typed)
-    select loan_id, case when nth > 1 then 'taken' when category = 'english' then 'translation' when lower(en) in ({', '.join(map(quoted, sorted(HOMOGRAPHS)))}) then 'homograph' when coalesce(t.n, 0) >= 10 then 'collision' else 'kept' end as outcome
-    from e left join t on t.typed = lower(en)"""
+    f"""with v as (select *, row_number() over (partition by lower(en) order by loan_id) as nth from {VOTES_SQL} where a = 'accept' and b = 'accept'), u as (select word, score / 255 as score from ({ORACLES['unigram_logquant']})),
+    r as {_read_sql()}, t as (select word, typed, n from {TYPED_SQL}), w as (select word, sum(n) as n from t group by word)
+    select loan_id, case when nth > 1 then 'taken' when category = 'english' then 'translation' when lower(v.en) in ({', '.join(map(quoted, sorted(HOMOGRAPHS)))}) then 'homograph'
+      when r.reading <> fa and coalesce(u.score, 0) >= {COMMON} and (coalesce(w.n, 0) < {EVIDENCE} or coalesce(t.n, 0) > 0) then 'everyday' when r.reading <> fa and coalesce(u.score, 0) >= {COMMON} then 'cleared' else 'kept' end as outcome
+    from v left join r on r.en = lower(v.en) left join u on u.word = r.reading left join w on w.word = r.reading left join t on t.word = r.reading and t.typed = lower(v.en)"""
 )
 def loanword_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Why an accepted loanword is left out: taken before, a translation, a Persian homograph, or typed too often for another word."""
-    v = loans(spark, d).withColumn("nth", F.row_number().over(Window.partitionBy(F.lower("en")).orderBy("loan_id"))).where("a = 'accept' and b = 'accept'").withColumn("key", F.lower("en"))
-    t = typed(spark, d).groupBy(F.col("typed").alias("key")).agg(F.sum("n").alias("n"))
-    outcome = F.when(F.col("nth") > 1, "taken").when(F.col("category") == "english", "translation").when(F.col("key").isin(*sorted(HOMOGRAPHS)), "homograph").when(F.coalesce("n", F.lit(0)) >= 10, "collision").otherwise("kept")
-    return v.join(t, "key", "left").select("loan_id", outcome.alias("outcome"))
+    """Why a loanword that both judges accepted is left out: taken before, a translation, a Persian homograph, or read as an everyday word.
+
+    A reading is everyday if it is common and either seldom typed at all or also typed this way; a common one that is
+    typed often, and never this way, is cleared.
+    """
+    v = loans(spark, d).where("a = 'accept' and b = 'accept'").withColumns({"nth": F.row_number().over(Window.partitionBy(F.lower("en")).orderBy("loan_id")), "key": F.lower("en")})
+    words = persian_words(spark, d).select("word", "n", W.persian_skeleton(F.col("word")).alias("skeleton")).where("skeleton is not null")
+    top = words.groupBy("skeleton").agg(F.max_by("word", F.struct("n", "word")).alias("reading"))
+    asked = v.where(F.col("en").rlike(r"\A[A-Za-z]+\z")).select("key").distinct().withColumn("skeleton", W.latin_skeleton(F.col("key")))
+    said = typed(spark, d)
+    read = asked.join(top, "skeleton").select("key", "reading")
+    read = read.join(unigram_logquant(spark, d).select(F.col("word").alias("reading"), (F.col("score") / 255).alias("score")), "reading", "left")
+    read = read.join(said.groupBy(F.col("word").alias("reading")).agg(F.sum("n").alias("typed_n")), "reading", "left")
+    read = read.join(said.select(F.col("word").alias("reading"), F.col("typed").alias("key"), F.col("n").alias("as_entry")), ["reading", "key"], "left")
+    common = (F.col("reading") != F.col("fa")) & (F.coalesce("score", F.lit(0.0)) >= COMMON)
+    everyday = common & ((F.coalesce("typed_n", F.lit(0)) < EVIDENCE) | (F.coalesce("as_entry", F.lit(0)) > 0))
+    outcome = F.when(F.col("nth") > 1, "taken").when(F.col("category") == "english", "translation").when(F.col("key").isin(*sorted(HOMOGRAPHS)), "homograph").when(everyday, "everyday").when(common, "cleared").otherwise("kept")
+    return v.join(read, "key", "left").select("loan_id", outcome.alias("outcome"))
 
 
 @query(
@@ -429,26 +455,6 @@ def typed_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("worker").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_kept"), F.count_distinct(F.when(F.col("ok"), F.col("persona"))).alias("n_personas"))
 
 
-@query(
-    """with recursive s(word, add, next) as (values ('', 'ها', 'x'), ('', 'ی', ''), ('', 'تر', 'y')), c(flag, add, next) as (values ('x', 'ی', 'z'), ('y', 'ین', ''), ('z', 'م', ''))
-    , e(stem, form, next, depth) as (select w.word, w.word || s.add, s.next, 1 from (select word from WORDS where n >= 3) w, s union all select e.stem, e.form || c.add, c.next, depth + 1 from e join c on c.flag = e.next where depth < 3)
-    select form, count(*) as n_stems, min(depth) as depth from e group by form""".replace("WORDS", PERSIAN_WORDS_SQL)
-)
-def affix_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Every form of a stem under its endings and theirs, three deep at most."""
-    stems = persian_words(spark, d).where("n >= 3")
-    first = F.array(*(F.struct(F.lit(a).alias("add"), F.lit(n).alias("next")) for a, n in (("ها", "x"), ("ی", ""), ("تر", "y"))))
-    more = {"x": ("ی", "z"), "y": ("ین", ""), "z": ("م", "")}
-    level = stems.select("word", F.inline(first)).select(F.concat("word", "add").alias("form"), "next", F.lit(1).alias("depth"))
-    out = level
-    for depth in (2, 3):
-        flag = F.col("next")
-        add = F.when(flag == "x", more["x"][0]).when(flag == "y", more["y"][0]).when(flag == "z", more["z"][0])
-        level = level.where("next <> ''").select(F.concat("form", add).alias("form"), F.when(flag == "x", "z").otherwise("").alias("next"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out.groupBy("form").agg(F.count("*").alias("n_stems"), F.min("depth").alias("depth"))
-
-
 @query("select word, count(*) as n from (select trim(fa, ' ') as word from loanwords where fa is not null union all select trim(persian, ' ') from example where persian is not null) where word <> '' and not regexp_matches(word, '[ \t\n\f\r]') group by word")
 def lexicon_build(spark: SparkSession, d: str) -> DataFrame:
     """Single-word entries of the loanwords and the corpus."""

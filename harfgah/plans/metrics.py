@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harfgah.functions import words as W
-from harfgah.functions.fold import ZWNJ
+from harfgah.functions.fold import ARABIC_DIGITS, LATIN_DIGITS, PERSIAN_DIGITS, ZWNJ
+from harfgah.functions.tables import JOINING_PREFIXES, JOINING_SUFFIXES
 from harfgah.operators import alignment as A
 from harfgah.plans import candidates as D
 from harfgah.plans.registry import Registry
-from harfgah.plans.sqltools import match_key_sql, naive_word_sql, split_sql
+from harfgah.plans.sqltools import match_key_sql, metric_words_sql, naive_word_sql, split_sql
 from harfgah.session import table
 
 query = Registry()
@@ -33,6 +34,11 @@ def coded_sql(a: str, b: str) -> str:
     return f"case when len({a}) = 0 then 0 else least(case when len({b}) = 0 then len({a}) else levenshtein({code(a)}, {code(b)}) end, len({a})) end"
 
 
+def coded_text_sql(x: str, a: str, b: str) -> str:
+    """A text with its characters as one byte each: DuckDB's edit distance counts bytes."""
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr(list_position(list_distinct(string_split({a} || {b}, '')), c)::integer)), '')"
+
+
 SCORED_SQL = f"(select *, {split_sql('ref')} as rw, {split_sql('got')} as gw, {coded_sql(split_sql('ref'), split_sql('got'))} as errors from {CASES_SQL})"
 
 
@@ -58,11 +64,36 @@ def accepted_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return refs.groupBy("id").agg(F.first("total").cast("long").alias("total"), F.min(errors).alias("e")).select("id", "total", F.greatest(F.lit(0), F.col("total") - F.col("e")).cast("long").alias("correct"))
 
 
-@query()
+def lenient_sql(column: str) -> str:
+    """id and the words of a column of the cases, prefixes and endings joined to their stems."""
+    return f"""(with w as (select id, unnest({metric_words_sql(column)}) as raw, unnest(range(len({metric_words_sql(column)}))) as pos from {CASES_SQL}),
+    f as (select id, pos, translate(raw, 'آأإ{PERSIAN_DIGITS}{ARABIC_DIGITS}', 'ااا{LATIN_DIGITS}{LATIN_DIGITS}') as w from w),
+    k as (select *, w in {JOINING_PREFIXES} as pre, w in {JOINING_SUFFIXES} as suf from f), l as (select *, coalesce(lag(pre) over (partition by id order by pos), false) as after_pre from k),
+    s as (select *, sum(case when after_pre or (suf and pos > 0) then 0 else 1 end) over (partition by id order by pos) as g from l), j as (select id, g, string_agg(w, '' order by pos) as word from s group by all)
+    select c.id, coalesce(list(word order by g) filter (where word is not null), []) as words from {CASES_SQL} c left join j using (id) group by c.id)"""
+
+
+def one_sql(solid: str, words: str, k: int) -> str:
+    """Could so many words from a place of a list be the one solid word."""
+    return f"({solid} = array_to_string({words}, '') or (({words})[1] in ('به', 'چه') and {solid} = left(({words})[1], 1) || substr(array_to_string({words}, ''), 3)))::integer"
+
+
+#: All cells of the alignment, one after another: the list of those before holds what each needs.
+LENIENT_SQL = f"""(with p as (select r.id, r.words as r, g.words as g from {lenient_sql('ref')} r join {lenient_sql('got')} g using (id)),
+ c as (select *, len(g) + 1 as w, list_transform(range(((len(r) + 1) * (len(g) + 1))::bigint), lambda z: [z // (len(g) + 1), z % (len(g) + 1)]) as cells from p),
+ x as (select id, r, g, w, list_transform(cells, lambda z: case when z[1] = 0 or z[2] = 0 then [z[1], z[2], 0, 0, 0, 0, 0] else [z[1], z[2], (r[z[1]] <> g[z[2]])::integer,
+   case when z[2] >= 2 then {one_sql('r[z[1]]', 'g[z[2] - 1 : z[2]]', 2)} else 0 end, case when z[2] >= 3 then {one_sql('r[z[1]]', 'g[z[2] - 2 : z[2]]', 3)} else 0 end,
+   case when z[1] >= 2 then {one_sql('g[z[2]]', 'r[z[1] - 1 : z[1]]', 2)} else 0 end, case when z[1] >= 3 then {one_sql('g[z[2]]', 'r[z[1] - 2 : z[1]]', 3)} else 0 end] end) as cells from c)
+ select id, len(r) as total, least(len(r), (list_reduce(list_concat([[]::bigint[]], cells), lambda d, z: list_append(d, case when z[1] = 0 or z[2] = 0 then z[1] + z[2] else least(d[(z[1] - 1) * w + z[2] + 1] + 1, d[z[1] * w + z[2]] + 1, d[(z[1] - 1) * w + z[2]] + z[3],
+   case when z[4] = 1 then d[(z[1] - 1) * w + z[2] - 1] else 1000000 end, case when z[5] = 1 then d[(z[1] - 1) * w + z[2] - 2] else 1000000 end,
+   case when z[6] = 1 then d[(z[1] - 2) * w + z[2]] else 1000000 end, case when z[7] = 1 then d[(z[1] - 3) * w + z[2]] else 1000000 end) end)))[-1]) as errors from x)"""
+
+
+@query(f"select id, total::integer as total, (total - errors)::integer as correct from {LENIENT_SQL}")
 def lenient_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy where affixes may be joined and one word may be written as two or three; with the runs that don't match."""
+    """Accuracy where affixes may be joined and one word may be written as two or three."""
     rows = cases(spark, d).select("id", W.lenient_words(W.metric_words(F.col("ref"))).alias("r"), W.lenient_words(W.metric_words(F.col("got"))).alias("g"))
-    return A.aligned(rows, "id", "r", "g").select("id", F.col("n_ref").alias("total"), (F.col("n_ref") - F.col("joined_errors")).alias("correct"), F.size("runs").alias("n_runs"), F.aggregate("runs", F.lit(0), lambda a, r: a + r["cost"]).alias("cost"))
+    return A.aligned(rows, "id", "r", "g").select("id", F.col("n_ref").alias("total"), (F.col("n_ref") - F.col("joined_errors")).alias("correct"))
 
 
 @query()
@@ -200,11 +231,14 @@ def tiers(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(accepted_accuracy(spark, d).select("id", F.col("correct").alias("accepted")), "id")
 
 
-@query(f"select coalesce(category, 'all') as category, count(*) as n, sum(total)::bigint as n_words, sum(strict)::bigint as strict, sum(accepted)::bigint as accepted, sum(exact)::bigint as exact, round(sum(strict) / nullif(sum(total), 0), 6) as accuracy from {TIER_SQL} group by rollup (category)")
+@query(f"select coalesce(category, 'all') as category, count(*) as n, sum(t.total)::bigint as n_words, sum(strict)::bigint as strict, sum(accepted)::bigint as accepted, sum(exact)::bigint as exact, sum(l.total)::bigint as n_joined_words, sum(l.total - l.errors)::bigint as orthographic, round(sum(strict) / nullif(sum(t.total), 0), 6) as accuracy, round(sum(l.total - l.errors) / nullif(sum(l.total), 0), 6) as orthographic_accuracy from {TIER_SQL} t join {LENIENT_SQL} l using (id) group by rollup (category)")
 def category_report(spark: SparkSession, d: str) -> DataFrame:
-    """Tiers by category, and over all."""
-    r = tiers(spark, d).rollup("category")
-    return r.agg(F.count("*").alias("n"), F.sum("total").alias("n_words"), F.sum("strict").alias("strict"), F.sum("accepted").alias("accepted"), F.sum("exact").alias("exact"), F.round(F.try_divide(F.sum("strict"), F.sum("total")), 6).alias("accuracy")).select(F.coalesce("category", F.lit("all")).alias("category"), "n", "n_words", "strict", "accepted", "exact", "accuracy")
+    """Tiers by category, and over all: strict, accepted, exact, and orthographic, which has its own number of words."""
+    joined = lenient_accuracy(spark, d).select("id", F.col("total").alias("joined"), F.col("correct").alias("orthographic"))
+    r = tiers(spark, d).join(joined, "id").rollup("category")
+    total = [F.count("*").alias("n"), *(F.sum(a).alias(b) for a, b in (("total", "n_words"), ("strict", "strict"), ("accepted", "accepted"), ("exact", "exact"), ("joined", "n_joined_words"), ("orthographic", "orthographic")))]
+    made = r.agg(*total).withColumns({"accuracy": F.round(F.try_divide("strict", "n_words"), 6), "orthographic_accuracy": F.round(F.try_divide("orthographic", "n_joined_words"), 6)})
+    return made.withColumn("category", F.coalesce("category", F.lit("all")))
 
 
 SUBJECTS_SQL = f"(select eval_set, 'naive' as subject, errors as e, len(rw) as total from {SCORED_SQL} union all select eval_set, 'nothing', len(rw), len(rw) from {SCORED_SQL})"
@@ -226,17 +260,20 @@ def gain_matrix(spark: SparkSession, d: str) -> DataFrame:
     return p.select("eval_set", F.round(1 - F.try_divide("naive_e", "naive_t"), 6).alias("naive"), F.round(1 - F.try_divide("nothing_e", "nothing_t"), 6).alias("nothing"), F.round(F.try_divide(F.col("nothing_e") - F.col("naive_e"), "naive_t"), 6).alias("gain"))
 
 
-@query(f"select example_id, case when cer > 0.9 then 'cer' when split = 'test' and source = 'synthetic' then 'audit' else 'kept' end as part from (select example_id, split, source, case when length(a) = 0 then (length(b) > 0)::integer else (case when length(b) = 0 then length(a) else levenshtein(a, b) end) / length(a) end as cer from (select example_id, split, source, {ASCII_SQL.format('latin')} as a, {ASCII_SQL.format('line_id')} as b from example where latin is not null and line_id is not null))")
-def quarantine(spark: SparkSession, d: str) -> DataFrame:
-    """Rows set aside for a high error rate, else for an audit."""
-    fold = lambda c: F.regexp_replace(F.lower(c), "[^a-z ]", "")
-    rows = table(spark, d, "example").where("latin is not null and line_id is not null").select("example_id", "split", "source", fold("latin").alias("a"), fold("line_id").alias("b"))
-    return rows.select("example_id", F.when(A.char_error_rate(F.col("a"), F.col("b")) > 0.9, "cer").when((F.col("split") == "test") & (F.col("source") == "synthetic"), "audit").otherwise("kept").alias("part"))
-
-
+JUDGED_SQL = "(select id, ref_span, hyp_span, bool_and(v = 'accept') as accepted from (select id, ref_span, hyp_span, lower(trim(verdict)) as v from judge_calibration where judge in ('claude', 'luna')) where v in ('accept', 'reject') group by all)"
 
 
-JUDGED_SQL = "(select id, ref_span, hyp_span, bool_and(v = 'accept') as accepted from (select id, ref_span, hyp_span, lower(trim(verdict)) as v from judge_calibration where judge in ('claude', 'luna')) where v in ('accept', 'reject') group by all)"
+@query(
+    f"""with a as (select id, bool_and(accepted) as accepted from {JUDGED_SQL} group by id), c as (select eval_set, id, case when length(ref) = 0 then (length(got) > 0)::integer else (case when length(got) = 0 then length(ref) else levenshtein({coded_text_sql('ref', 'ref', 'got')}, {coded_text_sql('got', 'ref', 'got')}) end) / length(ref) end as cer from {CASES_SQL})
+    select eval_set, c.id, round(cer, 6) as cer, case when a.accepted then 'kept by audit' when a.accepted = false then 'set aside by audit' when cer > 0.9 then 'set aside' else 'kept' end as part from c left join a using (id)"""
+)
+def quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation rows whose reference is too far from what was typed are set aside; where judges audited a row, they decide."""
+    v = table(spark, d, "judge_calibration").where("judge in ('claude', 'luna')").select("id", F.lower(F.trim("verdict")).alias("v")).where("v in ('accept', 'reject')")
+    audit = v.groupBy("id").agg(F.bool_and(F.col("v") == "accept").alias("accepted"))
+    rows = cases(spark, d).select("eval_set", "id", A.char_error_rate(F.col("ref"), F.col("got")).alias("cer")).join(audit, "id", "left")
+    part = F.when(F.col("accepted"), "kept by audit").when(~F.col("accepted"), "set aside by audit").when(F.col("cer") > 0.9, "set aside").otherwise("kept")
+    return rows.select("eval_set", "id", F.round("cer", 6).alias("cer"), part.alias("part"))
 
 
 @query(f"select s.category, count(*) as n, sum(len(rw))::bigint as n_words, sum(errors)::bigint as errors, sum(least(errors, coalesce(j.n, 0)))::bigint as refunded from {SCORED_SQL} s left join (select id, count(*) filter (where accepted) as n from {JUDGED_SQL} group by id) j using (id) group by s.category")

@@ -31,9 +31,7 @@ def quantize_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select label, count(*) as n, round(max(e), 9) as max_error from (select label, list_max(list_transform(v, lambda x: abs(x - s * greatest(-31, least(31, round_even(x / s, 0)))))) as e from (select *, list_max(list_transform(v, lambda x: abs(x))) / 31 as s from {VECS_SQL})) group by label")
 def dequantize_error(spark: SparkSession, d: str) -> DataFrame:
     """The greatest error that six-bit codes leave."""
-    s = M.row_scale(F.col("v"), 31)
-    error = F.array_max(F.zip_with("v", M.row_codes(F.col("v"), 31), lambda x, c: F.abs(x - c * s)))
-    return vecs(spark, d).withColumn("e", error).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("e"), 9).alias("max_error"))
+    return vecs(spark, d).withColumn("e", M.coded_error(F.col("v"), 31)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("e"), 9).alias("max_error"))
 
 
 @query(f"select vec_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y)) / len(v) + 1e-5), 6)) as normed from {VECS_SQL}")
@@ -68,10 +66,20 @@ def relu_sums(spark: SparkSession, d: str) -> DataFrame:
     return vecs(spark, d).groupBy("label").agg(F.round(F.avg(M.total(F.transform("v", lambda x: F.greatest(x, F.lit(0.0))))), 6).alias("relu_sum"), F.count("*").alias("n"))
 
 
-@query(f"select vec_id, list_transform(range(len(v)), lambda i: round(list_sum(list_transform(range(i + 1), lambda j: 0.25 * pow(0.75, i - j) * v[j + 1])), 6)) as h from {VECS_SQL}")
+def scan_sql(gate: str, value: str) -> str:
+    return f"list_reduce(list_concat([[0.0::double]], list_transform(list_zip({gate}, {value}), lambda z: [z[1], z[2]])), lambda h, x: list_append(h, h[len(h)] * x[1] + (1 - x[1]) * x[2]))[2:]"
+
+
+GATES_SQL = f"(select vec_id, list_transform(v, lambda x: 1 / (1 + exp(-4 * x))) as g, list_transform(v, lambda x: greatest(x, 0)) as u from {VECS_SQL})"
+
+
+@query(f"select vec_id, list_transform({scan_sql('g', 'u')}, lambda x: round(x, 6)) as forward, list_reverse(list_transform({scan_sql('list_reverse(g)', 'list_reverse(u)')}, lambda x: round(x, 6))) as backward from {GATES_SQL}")
 def convex_scan(spark: SparkSession, d: str) -> DataFrame:
-    """h = 0.75 h + 0.25 x along each vector."""
-    return vecs(spark, d).select("vec_id", F.transform(M.convex_scan(F.col("v"), 0.75), lambda x: F.round(x, 6)).alias("h"))
+    """h = gate h + (1 - gate) value along each vector and back, gate and value both from the vector."""
+    gate, value = F.transform("v", lambda x: 1 / (1 + F.exp(-4 * x))), F.transform("v", lambda x: F.greatest(x, F.lit(0.0)))
+    rows = vecs(spark, d).select("vec_id", gate.alias("g"), value.alias("u"))
+    made = rows.select("vec_id", M.convex_scan(F.col("g"), F.col("u")).alias("forward"), M.convex_scan(F.col("g"), F.col("u"), back=True).alias("backward"))
+    return made.select("vec_id", *(F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("forward", "backward")))
 
 
 @query("select event_id, round(coalesce(lag(value, 2) over w, 0), 4) as before_2, round(coalesce(lag(value) over w, 0), 4) as before_1, round(coalesce(lead(value) over w, 0), 4) as after_1, round(coalesce(lead(value, 2) over w, 0), 4) as after_2, round(avg(value) over (partition by user_id order by ts, event_id rows between 2 preceding and 2 following), 6) as near from events window w as (partition by user_id order by ts, event_id)")
@@ -143,20 +151,45 @@ def length_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.floor(F.col("row_index") / 64).alias("bucket")).agg(F.count("*").alias("n"), F.min("size").alias("shortest"), F.max("size").alias("longest"))
 
 
-@query("select source, round(avg((l = p)::integer), 6) as char_accuracy, count(*) as n_chars, count(distinct example_id) as n_rows from (select example_id, source, unnest(labels) as l, unnest(list_concat(labels[2:], [''])) as p from example where labels is not null) group by source")
+LABELLED_SQL = "(select example_id, split, source, unnest(labels) as label, unnest(string_split(lower(latin), '')) as letter, unnest(list_concat([''], string_split(lower(latin), '')[:-2])) as before from example where len(labels) = length(latin) and latin <> '')"
+
+
+@query(
+    f"""with l as materialized (select * from {LABELLED_SQL}), best as (select before, letter, arg_max(label, (n, label)) as guess from (select before, letter, label, count(*) as n from l where split = 'train' group by all) group by all)
+    select source, round(avg(ok::integer), 6) as char_accuracy, round(avg(whole::integer), 6) as row_accuracy, sum(n)::bigint as n_chars, count(*) as n_rows from
+    (select example_id, source, bool_and(guess is not distinct from label) as whole, avg((guess is not distinct from label)::integer) as ok, count(*) as n from l left join best using (before, letter) where split is distinct from 'train' group by all) group by source""".replace("round(avg(ok::integer), 6)", "round(sum(ok * n) / sum(n), 6)")
+)
 def batch_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Share of positions whose label is predicted by the label after it: accuracy by position, whatever predicts."""
-    pairs = table(spark, d, "example").where("labels is not null").select("example_id", "source", F.inline(F.zip_with("labels", F.concat(F.expr("slice(labels, 2, greatest(size(labels) - 1, 0))"), F.array(F.lit(""))), lambda a, b: F.struct(a.alias("l"), b.alias("p")))))
-    return pairs.groupBy("source").agg(F.round(F.avg((F.col("l") == F.col("p")).cast("int")), 6).alias("char_accuracy"), F.count("*").alias("n_chars"), F.count_distinct("example_id").alias("n_rows"))
+    """Labels of held-out rows by what a letter after its neighbour mostly stood for in training: accuracy by letter and by row."""
+    rows = table(spark, d, "example").where((F.size("labels") == F.length("latin")) & (F.col("latin") != ""))
+    letters = F.regexp_extract_all(F.lower("latin"), F.lit("(?s:.)"), 0)
+    l = rows.select("example_id", "split", "source", F.inline(F.arrays_zip(F.col("labels").alias("label"), letters.alias("letter"), F.slice(F.concat(F.array(F.lit("")), letters), 1, F.size(letters)).alias("before"))))  # noqa: E741
+    # letters and their neighbours: as few as an alphabet squared
+    counts = l.where("split = 'train'").groupBy("before", "letter", "label").agg(F.count("*").alias("n"))
+    best = counts.groupBy("before", "letter").agg(F.max_by("label", F.struct("n", "label")).alias("guess"))
+    held = l.where(~F.col("split").eqNullSafe("train")).join(best, ["before", "letter"], "left")
+    by_row = held.groupBy("example_id", "source").agg(F.count_if(F.col("guess") == F.col("label")).alias("right"), F.count("*").alias("n"))
+    return by_row.groupBy("source").agg(F.round(F.sum("right") / F.sum("n"), 6).alias("char_accuracy"), F.round(F.avg((F.col("right") == F.col("n")).cast("int")), 6).alias("row_accuracy"), F.sum("n").alias("n_chars"), F.count("*").alias("n_rows"))
 
 
-@query(f"select a.label, count(*) as n, round(max(abs(x - y)), 6) as worst, count(*) filter (where abs(x - y) > 0.002) as n_over from (select vec_id, label, unnest(v) as x, unnest(range(len(v))) as i from {VECS_SQL}) a join (select vec_id, unnest(list_transform(v, lambda x: round(x, 2))) as y, unnest(range(len(v))) as i from {VECS_SQL}) b using (vec_id, i) group by a.label")
+CODED_SQL = "list_transform(v, lambda x: greatest(-127, least(127, round_even(x / s, 0))) * s)"
+DOT_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+@query(
+    f"""with w as (select label, c, list_max(list_transform(c, lambda x: abs(x))) / 127 as s from {CENTRES_SQL}), q as (select label, c, list_transform(c, lambda x: greatest(-127, least(127, round_even(x / s, 0))) * s) as k from w)
+    select q.label, count(*) as n, round(max(abs({DOT_SQL.format(a='v', b='c')} - {DOT_SQL.format(a='v', b='k')})), 6) as worst, count(*) filter (where abs({DOT_SQL.format(a='v', b='c')} - {DOT_SQL.format(a='v', b='k')}) > 0.002) as n_over from {VECS_SQL} e, q group by q.label"""
+)
 def parity(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of the same numbers held against each other, position by position."""
-    a = vecs(spark, d).select("vec_id", "label", F.posexplode("v").alias("i", "x"))
-    b = vecs(spark, d).select("vec_id", F.posexplode(F.transform("v", lambda x: F.round(x, 2))).alias("i", "y"))
-    gap = F.abs(F.col("x") - F.col("y"))
-    return a.join(b, ["vec_id", "i"]).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max(gap), 6).alias("worst"), F.count_if(gap > 0.002).alias("n_over"))
+    """Scores by weights and by their eight-bit codes: the worst difference of each output, and how many are over the tolerance."""
+    rows = vecs(spark, d)
+    means = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 9).alias("m"))
+    weights = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))
+    weights = weights.select("label", "c", M.bound(M.row_scale(F.col("c"), 127), lambda s: F.transform("c", lambda x: s * F.greatest(F.lit(-127), F.least(F.lit(127), F.bround(x / s))))).alias("k"))
+    # one row of a model's weights
+    model = weights.agg(F.collect_list(F.struct("label", "c", "k")).alias("w"))
+    gaps = rows.select("v").crossJoin(F.broadcast(model)).select(F.inline(F.transform("w", lambda w: F.struct(w["label"].alias("label"), F.abs(M.dot(F.col("v"), w["c"]) - M.dot(F.col("v"), w["k"])).alias("gap")))))
+    return gaps.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("gap"), 6).alias("worst"), F.count_if(F.col("gap") > 0.002).alias("n_over"))
 
 
 SWAPS = [("ص", "س"), ("ث", "س"), ("ط", "ت"), ("ذ", "ز"), ("ض", "ز"), ("ظ", "ز"), ("ق", "غ"), ("ح", "ه")]
@@ -176,10 +209,18 @@ def homophone_snap(spark: SparkSession, d: str) -> DataFrame:
     return made.join(words.withColumnRenamed("word", "output"), "output", "left_semi").groupBy("word").agg(F.min(F.struct("i", "b", "output")).alias("x")).select("word", "x.output")
 
 
-@query(f"select a.label, count(*) as n_rows, count(*) filter (where a.v <> b.v) as n_changed from {VECS_SQL} a join (select vec_id, case when vec_id = (select min(vec_id) from embeddings) then list_transform(v, lambda x: x + 1) else v end as v from {VECS_SQL}) b using (vec_id) group by a.label")
+@query(
+    f"""with t as (select (select min(vec_id) from embeddings) as own, (select list(m order by i) from (select i, round(avg(x), 9) as m from (select unnest(v) as x, unnest(range(len(v))) as i from {VECS_SQL}) group by i)) as mean),
+    b as (select vec_id, case when vec_id = own then list_transform(list_zip(v, mean), lambda z: z[1] + 0.5 * (z[2] - z[1])) else v end as v from {VECS_SQL}, t)
+    select a.vec_id = own as trained, count(*) as n_rows, count(*) filter (where a.v <> b.v) as n_changed, round(max(list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))), 6) as most from {VECS_SQL} a join b using (vec_id), t group by 1"""
+)
 def surgery_check(spark: SparkSession, d: str) -> DataFrame:
-    """A copy of the rows in which one was changed: exactly that one differs."""
+    """One row of weights trained, a step toward the mean of all, and the others frozen: which rows moved, and how far."""
     rows = vecs(spark, d)
-    first = rows.agg(F.min("vec_id").alias("first"))
-    changed = rows.crossJoin(F.broadcast(first)).select("vec_id", F.when(F.col("vec_id") == F.col("first"), F.transform("v", lambda x: x + 1)).otherwise(F.col("v")).alias("w"))
-    return rows.join(changed, "vec_id").groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("v") != F.col("w")).alias("n_changed"))
+    mean = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.round(F.avg("x"), 9).alias("m"))
+    task = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean")).crossJoin(rows.agg(F.min("vec_id").alias("own")))
+    step = F.zip_with("v", "mean", lambda x, m: x + 0.5 * (m - x))
+    after = rows.crossJoin(F.broadcast(task)).select("vec_id", "own", F.when(F.col("vec_id") == F.col("own"), step).otherwise(F.col("v")).alias("w"))
+    both = rows.join(after, "vec_id")
+    moved = F.array_max(F.zip_with("v", "w", lambda a, b: F.abs(a - b)))
+    return both.groupBy((F.col("vec_id") == F.col("own")).alias("trained")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("v") != F.col("w")).alias("n_changed"), F.round(F.max(moved), 6).alias("most"))

@@ -1,8 +1,12 @@
-"""Pieces of DuckDB SQL that several oracles share; each is written on its own, not made from the Spark side."""
+"""Pieces of DuckDB SQL that several oracles share.
+
+Character maps and the correspondences are data that both sides read from the same tables, as values of the format; the
+steps that use them are written in SQL on their own.
+"""
 
 from __future__ import annotations
 
-from harfgah.functions.fold import HAMZA_ABOVE, MATCH, ZWNJ, translate_sql
+from harfgah.functions.fold import DEAD_INVISIBLES, DISPLAY, HAMZA_ABOVE, MATCH, ZWNJ, translate_sql
 from harfgah.functions.tables import SPLIT_MARKS, first_choice, latin_units
 
 
@@ -25,7 +29,21 @@ def leak_key_sql(x: str) -> str:
 
 def metric_words_sql(x: str) -> str:
     marks = SPLIT_MARKS + ZWNJ
-    return split_sql(f"translate({x}, {quoted(marks)}, {quoted(' ' * len(marks))})")
+    return split_sql(f"translate({fold_stretches_sql(x)}, {quoted(marks)}, {quoted(' ' * len(marks))})")
+
+
+def fold_stretches_sql(x: str) -> str:
+    for c in "ءآأؤإئابةتثجحخدذرزژسشصضطظعغفقکكگلمنهویيىپچ":
+        x = f"regexp_replace({x}, '{c}{{3,}}', '{c}', 'g')"
+    return x
+
+
+def normal_sql(x: str) -> str:
+    """The normal form without compatibility forms: dead characters gone, letters mapped, joiners only between letters."""
+    x = translate_sql(translate_sql(x, dict.fromkeys(DEAD_INVISIBLES, "")), DISPLAY.pairs())
+    for a, b in ((f"{ZWNJ}+", ZWNJ), (rf"{ZWNJ}([\s\p{{P}}])", r"\1"), (rf"([\s\p{{P}}]){ZWNJ}", r"\1"), (f"^{ZWNJ}|{ZWNJ}$", "")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return x
 
 
 def units_sql(x: str) -> str:

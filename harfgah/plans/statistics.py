@@ -13,7 +13,7 @@ from harfgah.session import cut, table
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
-B, SEED = 200, "42"
+B, SEED = 2_000, "42"
 DRAWN_SQL = f"""(with rows as (select *, row_number() over (order by id) - 1 as place from {H.TIER_SQL}), n as (select count(*) as n from rows),
  draws as (select b, ('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8))::uinteger::bigint % (select n from n) as place from range({B}) x(b), (select unnest(range(n)) as i from n))
  select b, sum(strict) / sum(total) as a, sum(accepted) / sum(total) as c from draws join rows using (place) group by b)"""

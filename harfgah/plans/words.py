@@ -12,7 +12,7 @@ from harfgah.functions.fold import ARABIC_DIGITS, DEAD_INVISIBLES, HAMZA_ALEF, L
 from harfgah.functions.tables import ENGLISH, ENGLISH_CLUSTERS, ENGLISH_SUFFIXES, HOMOGRAPHS, JOINING_PREFIXES, JOINING_SUFFIXES
 from harfgah.operators import tokens as K
 from harfgah.plans.scanner_sql import tokens_sql
-from harfgah.plans.sqltools import leak_key_sql, match_key_sql, metric_words_sql, naive_word_sql, quoted, split_sql, unstretch_sql
+from harfgah.plans.sqltools import leak_key_sql, match_key_sql, metric_words_sql, naive_word_sql, normal_sql, quoted, split_sql, unstretch_sql
 from harfgah.session import parallel, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,11 +104,12 @@ def match_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", W.match_key(F.col("expected")).alias("match_key"), W.leak_key(F.col("expected")).alias("leak_key"))
 
 
-@query(f"select split, count(*) as n, count(distinct {leak_key_sql('persian')}) as n_keys, count(*) filter (where {match_key_sql('persian')} = persian) as n_normal from example group by split")
+@query(f"select split, count(*) as n, count(distinct {leak_key_sql('persian')}) as n_keys, count(*) filter (where {normal_sql('persian')} = persian) as n_normal, count(*) filter (where {match_key_sql('persian')} = persian) as n_lookup from example group by split")
 def normal_share(spark: SparkSession, d: str) -> DataFrame:
-    """How many rows are already in the lookup form, and how many different keys there are."""
-    rows = table(spark, d, "example").select("split", "persian", W.match_key(F.col("persian")).alias("k"), W.leak_key(F.col("persian")).alias("leak"))
-    return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("leak").alias("n_keys"), F.count_if(F.col("k") == F.col("persian")).alias("n_normal"))
+    """How many rows are already in normal form, how many in lookup form, and how many different keys there are."""
+    p = F.col("persian")
+    rows = table(spark, d, "example").select("split", p, W.normalize_column(p).alias("form"), W.match_key(p).alias("k"), W.leak_key(p).alias("leak"))
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("leak").alias("n_keys"), F.count_if(F.col("form") == p).alias("n_normal"), F.count_if(F.col("k") == p).alias("n_lookup"))
 
 
 @query(f"select word, n, {unstretch_sql('word')} as base, regexp_extract(word, '({'|'.join(c + '{3,}' for c in 'abcdefghijklmnopqrstuvwxyz')})$', 1) as final_run from {LATIN_WORDS_SQL}")
@@ -120,12 +121,13 @@ def unstretch_words(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """with w as (select distinct word from (select unnest(regexp_extract_all(persian, '[ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیآ]+', 0)) as word from example))
     select word, case when right(word, 1) in ('ا', 'آ', 'ی', 'ه', 'و') then word || repeat(case when right(word, 1) = 'آ' then 'ا' else right(word, 1) end, greatest(0, 5 - length(case right(word, 1)
-      when 'ا' then regexp_extract(word, 'ا+$') when 'آ' then regexp_extract(word, '[آا]+$') when 'ی' then regexp_extract(word, 'ی+$') when 'ه' then regexp_extract(word, 'ه+$') else regexp_extract(word, 'و+$') end))) else word end as stretched from w"""
+      when 'ا' then regexp_extract(word, 'ا+$') when 'آ' then regexp_extract(word, '[آا]+$') when 'ی' then regexp_extract(word, 'ی+$') when 'ه' then regexp_extract(word, 'ه+$') else regexp_extract(word, 'و+$') end))) else word end as stretched,
+    case when right(word, 1) in ('ا', 'آ', 'ی', 'ه', 'و') then word else word || repeat(right(word, 1), greatest(0, 6 - (length(word) - length(rtrim(word, right(word, 1)))))) end as hummed from w"""
 )
 def restretch_words(spark: SparkSession, d: str) -> DataFrame:
-    """Every Persian word after a typed final vowel that was stretched to five letters."""
+    """Every Persian word after a typed final vowel that was stretched to five letters, and after a consonant stretched to nine."""
     words = table(spark, d, "example").select(F.explode(F.regexp_extract_all("persian", F.lit("[ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیآ]+"), 0)).alias("word")).distinct()
-    return words.select("word", K.restretched(F.col("word"), F.lit("a"), F.lit(5)).alias("stretched"))
+    return words.select("word", K.restretched(F.col("word"), F.lit("a"), F.lit(5)).alias("stretched"), K.restretched(F.col("word"), F.lit("m"), F.lit(9)).alias("hummed"))
 
 
 @query(f"select doc_id, len({metric_words_sql('text')})::bigint as n_words, len(list_distinct({metric_words_sql('text')}))::bigint as n_distinct, length(text) as n_chars from documents")
@@ -289,14 +291,6 @@ def needle_survival(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("n").cast("long").alias("n_protected"), F.size(F.filter("n", lambda x: F.contains(F.col("output"), x))).cast("long").alias("n_kept"))
 
 
-@query(f"select example_id, len(w)::bigint as n_words, len(list_filter(w, lambda x: x in ('سلام', 'خوبی', 'باشه', 'آره', 'مرسی'))) > 0 and len(list_filter(w, lambda x: x in ('است', 'می', 'نمی'))) = 0 as chat, ends_with(persian, 'ه') as he from (select example_id, persian, {split_sql('persian')} as w from example)")
-def register_flags(spark: SparkSession, d: str) -> DataFrame:
-    """A chat marker and no written-register marker; a final he."""
-    w = W.split_blank(F.col("persian"))
-    has = lambda words: F.arrays_overlap(w, F.array(*map(F.lit, words)))
-    return table(spark, d, "example").select("example_id", F.when(w.isNotNull(), F.size(w).cast("long")).alias("n_words"), (has(("سلام", "خوبی", "باشه", "آره", "مرسی")) & ~has(("است", "می", "نمی"))).alias("chat"), F.col("persian").endswith("ه").alias("he"))
-
-
 @query(
     f"""select a.id, count(*) as n_inside from (select id, {split_sql('expected')} as part from chat_test where expected is not null) a,
     (select {split_sql('expected')} as whole from chat_test where expected is not null) b

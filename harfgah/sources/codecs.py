@@ -1,4 +1,4 @@
-"""Compact byte forms of word lists, frequencies, pairs and vowels; every reader refuses cut-off bytes.
+"""Compact byte forms of word lists, frequencies, pairs, vowels and pronunciations; every reader refuses cut-off bytes.
 
 Word list: number of letters, two bytes for each letter, four bytes of count, then for each word in order one byte for
 what it shares with the word before it, a byte for each further letter, and 255. All numbers are little-endian.
@@ -7,11 +7,13 @@ what it shares with the word before it, a byte for each further letter, and 255.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 END = 0xFF
 
@@ -140,12 +142,46 @@ def vowels_from_bytes(data: bytes) -> dict[str, str]:
     return dict(zip(words, (x.decode("ascii") for x in lines), strict=False))
 
 
-def decoded_words(artifacts: DataFrame, name: str, data: str) -> DataFrame:
-    """name, place, word of every word list in a column of bytes."""
+def pronunciations_to_bytes(said: dict[str, str]) -> bytes:
+    """A line for each word: word, tab, phonemes."""
+    return "".join(f"{w}\t{said[w]}\n" for w in sorted(said)).encode()
+
+
+def pronunciations_from_bytes(data: bytes) -> dict[str, str]:
+    """Lines without a word or phonemes are passed over."""
+    out = {}
+    for line in data.decode("utf-8").splitlines():
+        word, _, said = line.partition("\t")
+        if word and said:
+            out[word] = said
+    return out
+
+
+def short_vowels(said: str) -> list[str]:
+    """The vowels that Persian script leaves out, in order."""
+    return [c for c in said if c in "aeo"]
+
+
+#: Kind of bytes to what they hold: rows, and the columns of a row.
+DECODERS: dict[str, tuple[Callable[[bytes], Iterable[tuple]], str]] = {
+    "words": (lambda b: enumerate(words_from_bytes(b)[0]), "place int, word string"),
+    "frequencies": (lambda b: frequencies_from_bytes(b).items(), "word string, score double"),
+    "pairs": (lambda b: ((*k, s) for k, s in pairs_from_bytes(b).items()), "head string, tail string, score double"),
+    "vowels": (lambda b: vowels_from_bytes(b).items(), "word string, vowels string"),
+    "pronunciations": (lambda b: ((w, s, short_vowels(s)) for w, s in pronunciations_from_bytes(b).items()), "word string, said string, short_vowels array<string>"),
+}
+
+
+def decoded(artifacts: DataFrame, name: str, data: str, kind: str) -> DataFrame:
+    """name and the rows of every artifact of a kind in a column of bytes; null bytes have none, cut-off bytes stop the query."""
+    rows_of, columns = DECODERS[kind]
+    shape = T.StructType([T.StructField("name", T.StringType()), *T.StructType.fromDDL(columns).fields])
+    arrow = to_arrow_schema(shape)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, i, w) for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if b is not None for i, w in enumerate(words_from_bytes(b)[0])]
-            yield pa.RecordBatch.from_pydict({"name": pa.array([r[0] for r in rows], pa.string()), "place": pa.array([r[1] for r in rows], pa.int32()), "word": pa.array([r[2] for r in rows], pa.string())})
+            for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(n, *r) for r in rows_of(b)] if b is not None else []
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return artifacts.select(F.col(name).cast("string").alias("name"), F.col(data).alias("data")).mapInArrow(work, "name string, place int, word string")
+    return artifacts.select(F.col(name).cast("string").alias("name"), F.col(data).alias("data")).mapInArrow(work, shape)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.request import urlopen
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harfgah.functions.fold import fold_column
 from harfgah.operators.corpus import first_by
+from harfgah.session import scratch
 from harfgah.sources import schemas
 
 
@@ -41,18 +45,52 @@ def sentences(spark: SparkSession, path: str, column: str = "text") -> DataFrame
 
 
 def pairs(spark: SparkSession, path: str, first: int, second: int, header: bool = False) -> DataFrame:
-    """typed, persian of two columns of a table with tabs: short lines are left out, and of lines with the same typing in lower case the first one is kept."""
-    lines = spark.read.text(path).withColumns({"_at": F.monotonically_increasing_id(), "c": F.split("value", "\t")})
-    if header:
-        lines = lines.where("_at > 0")
-    rows = lines.where(F.size("c") > max(first, second)).select("_at", F.trim(F.trim(F.trim(F.get("c", F.lit(first))), F.lit("."))).alias("typed"), F.trim(F.get("c", F.lit(second))).alias("persian"))
+    """typed, persian of two columns of tables with tabs: short lines are left out, and of lines with the same typing in lower case the first one is kept.
+
+    header: each file's first line is one. Quotes are ordinary characters.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(max(first, second) + 1))
+    lines = spark.read.schema(schema).csv(path, sep="\t", header=header, quote="", escape="", mode="PERMISSIVE").withColumn("_at", F.monotonically_increasing_id())
+    rows = lines.select("_at", F.trim(F.trim(F.trim(f"c{first}"), F.lit("."))).alias("typed"), F.trim(f"c{second}").alias("persian"))
     rows = rows.where("typed <> '' and persian <> ''").withColumn("typed", F.lower("typed"))
     return first_by(rows, ["typed"], [F.asc("_at")]).drop("_at")
 
 
+def pair_list(spark: SparkSession, path: str) -> DataFrame:
+    """typed, persian of lines with a blank between the two; of lines with the same typing the last one counts, lines without a blank don't."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.instr("value", " ").alias("at"), "value").where("at > 1")
+    rows = lines.select("_at", F.expr("left(value, at - 1)").alias("typed"), F.expr("substr(value, at + 1)").alias("persian"))
+    return rows.groupBy("typed").agg(F.max_by("persian", "_at").alias("persian"))
+
+
+def fetched(spark: SparkSession, url: str, timeout: float = 60.0) -> str:
+    """The lines of an address, written as one text file to the shared folder; its path, for the readers above.
+
+    For tables that fit the driver; an answer that isn't a success stops.
+    """
+    with urlopen(url, timeout=timeout) as answer:  # noqa: S310
+        lines = answer.read().decode("utf-8").splitlines()
+    path = scratch(spark, "fetched")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def markers(spark: SparkSession, path: str) -> DataFrame:
+    """word (folded) and written of a list of one word a line: ! marks a word of written register, # a comment."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and line not like '#%'")
+    return lines.select(fold_column(F.regexp_replace("line", "^!+", "")).alias("word"), F.startswith("line", F.lit("!")).alias("written")).distinct()
+
+
+def clean_cell(c: Column) -> Column:
+    """A cell of a table with tabs: tabs and line ends are one blank each run, none at the ends; a missing cell is empty."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\t\n]+", " "), r"^\s+|\s+$", "")
+
+
 def hunspell_words(spark: SparkSession, path: str) -> DataFrame:
-    """stem, flags (two letters each) of a word list; its first line is a count."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where("_at > 0 and trim(value) <> ''")
+    """stem, flags (two letters each) of word lists; each file's first line is a count."""
+    # word lists are small files: each is taken whole, as only then its first line is known
+    files = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines"))
+    lines = files.select(F.explode(F.slice("lines", 2, 1 << 30)).alias("value")).where("trim(value) <> ''")
     parts = F.split(F.trim("value"), "/")
     flags = F.coalesce(F.regexp_extract_all(F.get(parts, F.lit(1)), F.lit(".."), 0), F.array().cast("array<string>"))
     return lines.select(F.trim(F.get(parts, F.lit(0))).alias("stem"), flags.alias("flags")).where("stem <> ''")

@@ -29,3 +29,9 @@ def write_with_manifest(df: DataFrame, path: str) -> None:
     """Parquet, and its manifest beside it."""
     df.write.mode("errorifexists").parquet(path)
     manifest(df.sparkSession.read.parquet(path)).write.mode("errorifexists").json(f"{path.rstrip('/')}.manifest")
+
+
+def write_json_with_manifest(df: DataFrame, path: str) -> None:
+    """Lines of JSON, and their manifest beside them."""
+    df.write.mode("errorifexists").json(path)
+    manifest(df).write.mode("errorifexists").json(f"{path.rstrip('/')}.manifest")

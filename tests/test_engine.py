@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from harfgah.engine import Engine, Options
 from harfgah.operators.channel import Channel, channel_score, from_rules, labels_of
@@ -45,6 +46,43 @@ def test_word_passes():
     assert vowel_misses(["e"], "ae") == 0 and vowel_misses(["o"], "a") == 1 and vowel_misses([], "aei") == 0
 
 
+def test_shared_beginnings_change_no_score():
+    import random
+
+    r = random.Random(3)
+    c = Channel()
+    for _ in range(200):
+        latin = "".join(r.choice(["a", "b", "kh", "sh", "oo", "m", "e", "i", "y", "ss"]) for _ in range(r.randint(0, 6)))
+        s = c.scorer(latin)
+        for _ in range(12):
+            fa = "".join(r.choice("ابخوشیمسعه\u200c") for _ in range(r.randint(0, 6)))
+            assert s.score(fa) == pytest.approx(c.best(latin, fa)[0]) if c.best(latin, fa)[0] > -math.inf else s.score(fa) == -math.inf
+
+
+def test_converters_forget_and_find_the_same(monkeypatch):
+    from harfgah.operators import convert
+
+    words = ["salam", "khub", "ketab", "madrese", "sabr", "salam"]
+    want = [Converter(Tables(frequency=FREQUENCY)).convert(w) for w in words]
+    monkeypatch.setattr(convert, "REMEMBERED", 2)
+    c = Converter(Tables(frequency=FREQUENCY))
+    assert [c.convert(w) for w in words] == want and len(c.known) <= 2
+
+
+def test_words_beyond_the_common_ones(spark, monkeypatch):
+    from harfgah import engine as G
+
+    df = spark.createDataFrame([(1, "salam khubi ketab ma dar USA"), (2, "file filam man pizza the pizza"), (2, "salam")], "id long, text string").withColumn("key", F.lit(1))
+    e = Engine(Tables(frequency=FREQUENCY, loanwords={"file": ["فایل"], "pizza": ["پیتزا"]}))
+    want = sorted(e.transliterate(df, "id", "text").select("id", "result.text").collect())
+    for name in ("COMMON_WORDS", "SPANS_AT_ONCE"):
+        monkeypatch.setattr(G, name, 1)
+    monkeypatch.setattr(Engine.common_words, "__defaults__", (8, 1))
+    assert sorted(e.transliterate(df, "id", "text").select("id", "result.text").collect()) == want and len(want) == 3
+    assert want[0]["text"].endswith(" USA") and "فایل فایلم" in want[2]["text"] and want[2]["text"].endswith("pizza the pizza")
+    assert not e.uses_clause_marker and Engine(weights=Weights.random("ab$", ["", "x"])).uses_clause_marker
+
+
 def test_affixes():
     from harfgah.operators.convert import Scoring, put_together, taken_apart
     from harfgah.functions.tables import LINK

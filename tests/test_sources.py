@@ -93,3 +93,76 @@ def test_streams(spark, tmp_path):
     q = streams.latest(stream(), "id", ["at"], ["t"]).writeStream.format("memory").queryName("last").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["id"]: r["t"] for r in spark.sql("select * from last").collect()} == {1: "khubi", 2: None}
+
+
+def test_headers_and_counts_of_every_file(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"p{i}.tsv", ["typed\tfa", f"w{i}\tو{i}", "same\tیک"])
+        write(tmp_path / f"w{i}.dic", ["2", f"stem{i}/aa", "x"])
+    rows = {tuple(r) for r in readers.pairs(spark, str(tmp_path / "*.tsv"), 0, 1, header=True).collect()}
+    assert rows == {("same", "یک"), ("w0", "و0"), ("w1", "و1"), ("w2", "و2")}
+    assert {r["stem"] for r in readers.hunspell_words(spark, str(tmp_path / "*.dic")).collect()} == {"stem0", "stem1", "stem2", "x"}
+    lines = write(tmp_path / "l.txt", ["a یک", "noblank", " دو", "a سه چهار"])
+    assert [tuple(r) for r in readers.pair_list(spark, lines).collect()] == [("a", "سه چهار")]
+    marks = write(tmp_path / "m.txt", ["# no", "", "سلام", "!می‌شود"])
+    assert {tuple(r) for r in readers.markers(spark, marks).collect()} == {("سلام", False), ("میشود", True)}
+
+
+def test_an_address_is_read(spark, tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.error import HTTPError
+
+    write(tmp_path / "t.tsv", ["typed\tfa", "Salam.\tسلام", "short"])
+    handler = partial(SimpleHTTPRequestHandler, directory=str(tmp_path))
+    with ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{server.server_address[1]}"
+        path = readers.fetched(spark, f"{base}/t.tsv")
+        assert [tuple(r) for r in readers.pairs(spark, path, 0, 1, header=True).collect()] == [("salam", "سلام")]
+        with pytest.raises(HTTPError):
+            readers.fetched(spark, f"{base}/none")
+        server.shutdown()
+
+
+def test_artifacts_of_each_kind(spark):
+    said = {"سلام": "salAm", "کتاب": "ketAb"}
+    assert codecs.pronunciations_from_bytes(codecs.pronunciations_to_bytes(said) + b"x\n\ty\n") == said and codecs.short_vowels("ketAbo") == ["e", "o"]
+    rows = spark.createDataFrame([("a", bytearray(codecs.words_to_bytes(["ب", "ا"]))), ("b", None)], "n string, d binary").withColumn("name", F.lit(1))
+    assert [tuple(r) for r in codecs.decoded(rows.drop("name"), "n", "d", "words").collect()] == [("a", 0, "ا"), ("a", 1, "ب")]
+    cut = spark.createDataFrame([("a", bytearray(codecs.words_to_bytes(["ب", "ا"])[:-1]))], "n string, d binary")
+    with pytest.raises(Exception, match="cut off"):
+        codecs.decoded(cut, "n", "d", "words").collect()
+
+
+def test_six_bits_and_scans(spark):
+    import numpy as np
+
+    from harfgah.operators import tensors as M
+
+    df = spark.createDataFrame([(1, [0.0, 3.1, -3.1, 1.0], [1.0, 0.0, 0.5, 0.5]), (2, [], []), (3, None, [1.0]), (4, [2.0], [0.25])], "id int, v array<double>, g array<double>")
+    rows = {r["id"]: r for r in df.select("id", M.letters_of(M.row_codes(F.col("v"), 31)).alias("l"), M.codes_of(M.letters_of(M.row_codes(F.col("v"), 31))).alias("c"), M.convex_scan(F.col("g"), F.col("v")).alias("f"), M.convex_scan(F.col("g"), F.col("v"), back=True).alias("b")).collect()}
+    assert rows[1]["l"] == "f+Ap" and rows[1]["c"] == [0, 31, -31, 10] and rows[2]["l"] == "" and rows[2]["c"] == [] and rows[2]["f"] == []
+    assert rows[3]["l"] is None and rows[3]["f"] is None and rows[4]["f"] == rows[4]["b"] == [1.5]
+    np.testing.assert_allclose(rows[1]["f"], [0.0, 3.1, 0.0, 0.5])
+    np.testing.assert_allclose(rows[1]["b"], [3.1, 3.1, -1.3, 0.5])
+    with pytest.raises(Exception, match="no code"):
+        spark.createDataFrame([("a!",)], "l string").select(M.codes_of(F.col("l"))).collect()
+    w = M.Weights.random("ab", ["", "x"])
+    for name, (codes, scales, shape) in w.quantised(31, 6).items():
+        m = w.matrices()[name]
+        assert len(codes) == m.size and np.abs(M.dequantised(codes, scales, shape, 6) - m).max() <= max(scales) / 2 + 1e-6
+    with pytest.raises(ValueError):
+        M.dequantised("!" + codes[1:], scales, shape, 6)
+
+
+def test_very_many_different_words(spark):
+    from harfgah.operators import alignment as A
+
+    n = len(A.SYMBOLS) // 2
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("a"), i.cast("string"))).alias("a"))
+    same = df.select(A.word_errors(F.slice("a", 1, 50), F.concat(F.slice("a", 1, 49), F.array(F.lit("z")))).alias("e")).first()["e"]
+    assert same == 1
+    with pytest.raises(Exception, match="different words"):
+        df.select(A.word_errors(F.col("a"), F.concat(F.transform("a", lambda x: F.concat(F.lit("b"), x)), F.array(F.lit("c"))))).collect()

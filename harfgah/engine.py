@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from harfgah.functions.fold import NormalForm, normalize
 from harfgah.functions.tables import DEMONSTRATIVES, HOMOGRAPHS, NUMBER_WORDS
 from harfgah.functions.words import englishness_of
-from harfgah.operators.candidates import best_path
+from harfgah.operators.candidates import best_path_of
 from harfgah.operators.channel import Emissions
 from harfgah.operators.convert import Candidate, Converter, Scoring, Tables, rounded, unstretch
 from harfgah.operators.tensors import Weights, beam, forward
@@ -150,7 +150,7 @@ class Sentence:
                 run.append(span)
             elif span is None or span.action != "space":
                 if len(run) > 1:
-                    path = best_path([[(o, p) for o, p, _ in s.found] for s in run], lambda a, b: self.t.bigrams.get((a, b), 0.0), self.s.bigram)
+                    path = best_path_of([[(o, p) for o, p, _ in s.found] for s in run], self.t.followed, self.s.bigram)
                     for s, k in zip(run, path, strict=True):
                         if k:
                             s.choose(k)

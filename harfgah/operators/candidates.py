@@ -7,10 +7,11 @@ stable.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import cache
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -226,21 +227,69 @@ def best_path(lists: list[list[tuple[str, float]]], pair, weight: float) -> list
     return path[::-1]
 
 
-def chosen_paths(lines: DataFrame, key: str, pairs: DataFrame, weight: float = 6.0) -> DataFrame:
+Followed = Mapping[str, Mapping[str, float]]
+
+
+def by_tail(pairs: Mapping[tuple[str, str], float]) -> dict[str, dict[str, float]]:
+    """Scores of pairs by the second word, then the first."""
+    out: dict[str, dict[str, float]] = {}
+    for (head, tail), score in pairs.items():
+        out.setdefault(tail, {})[head] = score
+    return out
+
+
+def best_path_of(lists: list[list[tuple[str, float]]], pairs: Followed, weight: float) -> list[int]:
+    """best_path for a table of pairs by tail: an output that follows nothing in it goes behind the best one before."""
+    score = [math.log(max(p, 1e-6)) for _, p in lists[0]]
+    back: list[list[int]] = []
+    for before, here in zip(lists, lists[1:], strict=False):
+        top = max(range(len(score)), key=lambda i, s=score: (s[i], -i))
+        step, new = [], []
+        for o, p in here:
+            i, best = top, score[top]
+            if heads := pairs.get(o):
+                for k, (h, _) in enumerate(before):
+                    x = score[k] + weight * heads.get(h, 0.0)
+                    if x > best or (x == best and k < i):
+                        i, best = k, x
+            step.append(i)
+            new.append(best + math.log(max(p, 1e-6)))
+        score = new
+        back.append(step)
+    at = max(range(len(score)), key=lambda i: (score[i], -i))
+    path = [at]
+    for step in reversed(back):
+        path.append(at := step[at])
+    return path[::-1]
+
+
+def chosen_paths(lines: DataFrame, key: str, pairs: DataFrame, weight: float = 6.0, most: int = 1_000_000) -> DataFrame:
     """key and the chosen outputs: lines has lists, an array of arrays of (output, probability); pairs: head, tail, score.
 
-    pairs is a table that was cut to a fixed number of pairs when it was built, which bounds the broadcast.
+    pairs is broadcast, so it must be a table that was cut to a number of pairs when it was built; more than most are an error.
     """
-    known = lines.sparkSession.sparkContext.broadcast({(r["head"], r["tail"]): r["score"] for r in pairs.select("head", "tail", "score").collect()})
+    rows = pairs.select("head", "tail", "score").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} pairs")
+    known = lines.sparkSession.sparkContext.broadcast(by_tail({(r["head"], r["tail"]): r["score"] for r in rows}))
     kind = lines.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = known.value
         for batch in batches:
-            out = []
-            for lists in batch.column(1).to_pylist():
-                lists = [[(c["output"], c["probability"]) for c in x] for x in lists]
-                out.append([x[i][0] for x, i in zip(lists, best_path(lists, lambda a, b: score.get((a, b), 0.0), weight), strict=True)] if lists else [])
+            # outputs and probabilities as flat lists, cut by the offsets of both levels
+            of_line = batch.column(1)
+            of_word = of_line.flatten()
+            flat = of_word.flatten()
+            output, p = flat.field("output").to_pylist(), flat.field("probability").to_pylist()
+            ends = (np.cumsum(np.diff(of_word.offsets.to_numpy()))).tolist()
+            out, word, at = [], 0, 0
+            for n in np.diff(of_line.offsets.to_numpy()).tolist():
+                lists = []
+                for _ in range(n):
+                    lists.append(list(zip(output[at : ends[word]], p[at : ends[word]], strict=True)))
+                    at, word = ends[word], word + 1
+                out.append([x[i][0] for x, i in zip(lists, best_path_of(lists, score, weight), strict=True)] if lists else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["key", "chosen"])
 
-    return lines.select(F.col(key).alias("key"), "lists").mapInArrow(work, f"key {kind}, chosen array<string>").withColumnRenamed("key", key)
+    return lines.select(F.col(key).alias("key"), F.transform("lists", lambda x: F.transform(x, lambda c: F.struct(c["output"].alias("output"), c["probability"].alias("probability")))).alias("lists")).mapInArrow(work, f"key {kind}, chosen array<string>").withColumnRenamed("key", key)

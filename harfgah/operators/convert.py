@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from harfgah.functions.fold import ZWNJ, normalize
 from harfgah.functions.tables import ANY_VOWEL, EZAFE_HEADS, LINK, MIN_STEM, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, PREFIXES, SUFFIX_AFTER_HE, SUFFIXES, TANVIN_ADVERBS, TYPED_VOWELS, WORD_EXCEPTIONS
 from harfgah.operators.affixes import loan_forms
-from harfgah.operators.candidates import walked
+from harfgah.operators.candidates import by_tail, walked
 from harfgah.operators.channel import Channel, Emissions
 
 Candidate = tuple[str, float, str]  # output, probability, reason
@@ -54,7 +54,11 @@ class Tables:
     emissions: Emissions | None = None
     buckets: dict[str, list[str]] = field(default_factory=dict)
 
+    #: The pairs by their second word.
+    followed: dict[str, dict[str, float]] = field(default_factory=dict)
+
     def __post_init__(self) -> None:
+        self.followed = by_tail(self.bigrams)
         if self.frequency:
             solid: dict[str, float] = {}
             for w, s in self.frequency.items():

@@ -13,7 +13,7 @@ from harfgah.plans import corpus as P
 from harfgah.plans import words as T
 from harfgah.plans.registry import Registry
 from harfgah.plans.sqltools import quoted, values_sql
-from harfgah.session import table
+from harfgah.session import dealt, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -344,7 +344,9 @@ select example_id, array_to_string(path, ' ') as chosen from (select v.*, row_nu
 def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
     """The readings of every line that fit one another best."""
     options = lists(spark, d).groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("ord", "output", "probability"))).alias("options"))
-    rows = lines(spark, d).join(options, "typed").groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("lists"))
+    # by line over all cores: few bytes, but much work on each, which adaptive execution would put into few tasks
+    words = dealt(lines(spark, d).join(options, "typed"), "example_id")
+    rows = words.groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("lists"))
     pairs = P.top_pairs(spark, d).select("head", "tail", (F.col("pmi") / 6).alias("score"))
     return D.chosen_paths(rows, "example_id", pairs).select("example_id", F.array_join("chosen", " ").alias("chosen"))
 

@@ -74,6 +74,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(parts, sc.defaultParallelism))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df hashed by keys over all cores, for a grouping by them that much work follows: its partitions aren't put together."""
+    sc, parts = df.sparkSession.sparkContext, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, sc.defaultParallelism), *keys)
+
+
 def parallel(df: DataFrame) -> DataFrame:
     """df as it is if its scan has a task for every core; a small file in one piece is dealt to all cores.
 

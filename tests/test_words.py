@@ -7,7 +7,7 @@ from harfgah.functions import words as W
 from harfgah.functions.tables import CORRESPONDENCES, latin_units, reverse_index
 from harfgah.operators import alignment as A
 from harfgah.operators import tokens as K
-from harfgah.operators.candidates import best_path, segment_all, walked
+from harfgah.operators.candidates import best_path, best_path_of, segment_all, walked
 
 TEXTS = [(1, "salam, chetori? http://a.ir/x me@b.com 12.5 @ali #tag a_b `x y` 😂 سلام‌ها café"), (2, ""), (3, None), (4, "   "), (5, "ABCd\n\tx"), (6, "x " * 20_000)]
 
@@ -152,5 +152,10 @@ def test_best_path_is_the_best_of_all():
     for _ in range(30):
         lists = [[(f"{i}{k}", r.random()) for k in range(3)] for i in range(4)]
         pair = {(a, b): r.random() for x, y in itertools.pairwise(lists) for a, _ in x for b, _ in y}
+        table: dict[str, dict[str, float]] = {}
+        for (a, b), x in pair.items():
+            if r.random() < 0.6:
+                table.setdefault(b, {})[a] = x
+        assert best_path_of(lists, table, 2.0) == best_path(lists, lambda a, b: table.get(b, {}).get(a, 0.0), 2.0)  # noqa: B023
         score = lambda path: sum(math.log(lists[i][k][1]) for i, k in enumerate(path)) + sum(2 * pair[lists[i][a][0], lists[i + 1][b][0]] for i, (a, b) in enumerate(itertools.pairwise(path)))  # noqa: B023, E731
         assert score(best_path(lists, lambda a, b: pair[a, b], 2.0)) == pytest.approx(max(map(score, itertools.product(range(3), repeat=4))))  # noqa: B023

@@ -106,7 +106,8 @@ class Collapsed:
         several = cut(rows.groupBy(*on).agg(F.min(key).alias("first_id"), F.count("*").alias("n_copies")).where("n_copies > 1"))
         hot = hot_keys(several, on, "n_copies")
         members = salted_join(rows, several.drop("n_copies").hint("shuffle_hash"), on, hot)
-        first = members.where(F.col(key) == F.col("first_id")).select(*on, F.struct(*fields).alias("first")).distinct()
+        # always true, but a row number keeps the condition above the join: made a key of the join, it would shuffle the records once more
+        first = members.where(F.when(F.monotonically_increasing_id() >= 0, F.col(key).eqNullSafe(F.col("first_id")))).select(*on, F.struct(*fields).alias("first")).distinct()
         same = F.struct(*fields) == F.col("first")
         held = salted_join(members, first.hint("shuffle_hash"), on, hot).where(~same | (F.col(key) != F.col("first_id")))
         held = cut(held.select(key, F.when(same, F.col("first_id")).alias("first_id"), *(F.when(~same, F.col(x)).alias(x) for x in [*on, *fields])))

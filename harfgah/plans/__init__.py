@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("words", "corpus", "candidates", "model", "metrics", "statistics", "conversion", "artifacts")
+MODULES: tuple[str, ...] = ("words", "corpus", "candidates", "model", "metrics", "statistics", "conversion", "artifacts", "passes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -286,10 +286,10 @@ def affix_compose(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("composed", F.concat("word", X.joined_suffix(F.col("word"), F.col("suffix"))))
 
 
-@query(f"select word, regexp_extract_all(word, '[aeiou]+', 0) as runs, len(regexp_extract_all(word, '[aeiou]+', 0))::bigint as n from {T.LATIN_WORDS_SQL}")
+@query(f"select typed as word, {SLOTS_SQL} as slots from (select word as typed from {T.LATIN_WORDS_SQL})")
 def vowel_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = F.regexp_extract_all("word", F.lit("[aeiou]+"), 0)
-    return T.latin_words(spark, d).select("word", runs.alias("runs"), F.size(runs).cast("long").alias("n"))
+    """What the vowels of every typed word can stand for, run by run."""
+    return T.latin_words(spark, d).select("word", D.vowel_slots(F.col("word")).alias("slots"))
 
 
 # Lines of candidate lists.

@@ -6,7 +6,7 @@ steps that use them are written in SQL on their own.
 
 from __future__ import annotations
 
-from harfgah.functions.fold import DEAD_INVISIBLES, DISPLAY, HAMZA_ABOVE, MATCH, ZWNJ, translate_sql
+from harfgah.functions.fold import DEAD_INVISIBLES, DISPLAY, HAMZA_ABOVE, MATCH, ZWNJ, NormalForm, translate_sql
 from harfgah.functions.tables import SPLIT_MARKS, first_choice, latin_units
 
 
@@ -38,9 +38,9 @@ def fold_stretches_sql(x: str) -> str:
     return x
 
 
-def normal_sql(x: str) -> str:
+def normal_sql(x: str, form: NormalForm = DISPLAY) -> str:
     """The normal form without compatibility forms: dead characters gone, letters mapped, joiners only between letters."""
-    x = translate_sql(translate_sql(x, dict.fromkeys(DEAD_INVISIBLES, "")), DISPLAY.pairs())
+    x = translate_sql(translate_sql(x, dict.fromkeys(DEAD_INVISIBLES, "")), form.pairs())
     for a, b in ((f"{ZWNJ}+", ZWNJ), (rf"{ZWNJ}([\s\p{{P}}])", r"\1"), (rf"([\s\p{{P}}]){ZWNJ}", r"\1"), (f"^{ZWNJ}|{ZWNJ}$", "")):
         x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
     return x

@@ -339,12 +339,14 @@ class Engine:
     def transliterate(self, df: DataFrame, key: str, text: str, options: Options | None = None) -> DataFrame:
         """key and result (see RESULT) of each text. A null text gives an empty result, as an empty one; repeated rows come out each.
 
-        Extra columns are left out; join them back by key. One scan of df counts its words, one converts it.
+        Extra columns are left out; join them back by key. One scan of df counts its words, one converts it. A stream is only
+        converted: its words aren't counted, and a text has no state.
         """
         o = options or Options()
         spark = df.sparkSession
-        texts = parallel(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
-        common = self.common_words(texts, "text", o.beam)
+        texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        texts = texts if df.isStreaming else parallel(texts)
+        common = {} if df.isStreaming else self.common_words(texts, "text", o.beam)
         share = spark.sparkContext.broadcast((self, common))
         force, protect = (frozenset(w.lower() for w in ws) for ws in (o.force, o.protect))
         kind, shape = df.schema[key].dataType.simpleString(), RESULT_SHAPE

@@ -84,13 +84,19 @@ def unit_steps() -> Steps:
 
 
 def stepped(beam: dict[str, float], steps: list[tuple[str, float]], width: int) -> dict[str, float]:
-    """The best outputs after one more unit, best first."""
+    """The best outputs after one more unit, best first; beam and steps come best first.
+
+    A full beam with the best step makes as many outputs as are kept, so what is worse than the last of them is passed over.
+    """
+    floor = next(reversed(beam.values())) + steps[0][1] if len(beam) >= width else -math.inf
     grown: dict[str, float] = {}
-    get = grown.get
     for output, score in beam.items():
         for fa, gain in steps:
-            o, x = output + fa, score + gain
-            if x > get(o, -math.inf):
+            x = score + gain
+            if x < floor:
+                break
+            o = output + fa
+            if o not in grown or x > grown[o]:
                 grown[o] = x
     return dict(sorted(grown.items(), key=_score, reverse=True)[:width])
 

@@ -70,6 +70,8 @@ class Tables:
                     self.buckets.setdefault(key, []).append(w)
 
 
+#: Letters that the normal form keeps whatever stands beside them.
+KEPT = "اآبپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیئءؤ"
 _fa_key = str.maketrans("صثذضظطغحئ", "سسزززتقه" + "\0", "عءؤأآاویۀ" + ZWNJ)
 _la_key = str.maketrans("bptsjhxdrzqfkcglmnv", "بپتسجهخدرزقفککگلمن" + "\0", "wyaeiou'")
 
@@ -220,7 +222,8 @@ class Converter:
             return [(word, 0.0, "copied")]
         top = max(x for _, x, _ in found)
         total = sum(math.exp(x - top) for _, x, _ in found)
-        return [(normalize(o), rounded(math.exp(x - top) / total), r) for o, x, r in found]
+        # most spellings are in normal form as they are: nothing but letters that it keeps
+        return [(normalize(o) if o.strip(KEPT) else o, rounded(math.exp(x - top) / total), r) for o, x, r in found]
 
     # word passes, each given the typed word and its candidates
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from harfgah.engine import DETACHED
 from harfgah.functions import words as W
 from harfgah.functions.fold import NormalForm, normalize_column, with_forms
-from harfgah.functions.tables import DEMONSTRATIVES, NUMBER_WORDS, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, SUFFIX_AFTER_HE, TANVIN_ADVERBS
+from harfgah.functions.tables import DEMONSTRATIVES, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, SUFFIX_AFTER_HE, TANVIN_ADVERBS
 from harfgah.plans import candidates as D
 from harfgah.plans import corpus as P
 from harfgah.plans import words as T
@@ -167,27 +167,6 @@ def detached_possessive(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("example_id", "pos", joined.alias("joined")).where("joined is not null")
 
 
-NA_SQL = "a = 'na' and regexp_matches(b, '^[aeiou]')"
-
-
-@query(f"select example_id, pos, 'نا' || after as joined from {READ_SQL.format(NA_SQL)} where 'نا' || after in (select word from {SCORES_SQL})")
-def prefix_na(spark: SparkSession, d: str) -> DataFrame:
-    """na typed apart before a vowel, where the two make a table word."""
-    rows = neighbours(spark, d, (F.col("a") == "na") & F.col("b").rlike("^[aeiou]")).select("example_id", "pos", F.concat(F.lit("نا"), "after").alias("joined"))
-    return rows.join(scores(spark, d).select(F.col("word").alias("joined")), "joined", "left_semi").select("example_id", "pos", "joined")
-
-
-@query(
-    f"""with r as {READ_SQL.format("length(a) >= 3 and ends_with(a, 'o')")}, n as (select typed || 'o' as a, arg_min(output, ord) as number from {D.LISTS_SQL} where output in {listed(NUMBER_WORDS)} group by typed)
-    select example_id, pos, number || ' و' as joined from r join n using (a) where after in {listed([*NUMBER_WORDS, 'نیم'])} or regexp_full_match(b, '[0-9۰-۹]+')"""
-)
-def number_and(spark: SparkSession, d: str) -> DataFrame:
-    """A number with o before another number: the number and a vav of its own."""
-    numbers = D.lists(spark, d).where(F.col("output").isin(*sorted(NUMBER_WORDS))).groupBy(F.concat("typed", F.lit("o")).alias("a")).agg(F.min_by("output", "ord").alias("number"))
-    rows = neighbours(spark, d, (F.length("a") >= 3) & F.col("a").endswith("o")).join(numbers, "a")
-    return rows.where(F.col("after").isin(*sorted(NUMBER_WORDS), "نیم") | F.col("b").rlike(r"\A[0-9۰-۹]+\z")).select("example_id", "pos", F.concat("number", F.lit(" و")).alias("joined"))
-
-
 TEXT = "text"
 FORMS = {"persian_digits": NormalForm(), "latin_digits": NormalForm(digits="latin"), "kept": NormalForm(digits="preserve", hamza_alef=False, teh_marbuta=False), "marks": NormalForm(punctuation=True)}
 

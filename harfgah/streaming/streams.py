@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from harfgah.engine import Engine
 from harfgah.functions.words import naive_text
 from harfgah.session import scratch
 
@@ -15,6 +16,11 @@ def converted(stream: DataFrame, text: str, output: str = "output") -> DataFrame
     return stream.withColumn(output, naive_text(F.col(text)))
 
 
+def transliterated(stream: DataFrame, engine: Engine, key: str, text: str) -> DataFrame:
+    """key and result of each text by the whole engine, text by text: no state; words are remembered by the workers."""
+    return engine.transliterate(stream, key, text)
+
+
 def windowed_counts(stream: DataFrame, at: str, kind: str, length: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Rows by window and kind; state of a window is dropped once the watermark has passed it, rows later than that are left out."""
     return stream.withWatermark(at, late).groupBy(F.window(at, length), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")

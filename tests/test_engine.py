@@ -83,6 +83,18 @@ def test_words_beyond_the_common_ones(spark, monkeypatch):
     assert not e.uses_clause_marker and Engine(weights=Weights.random("ab$", ["", "x"])).uses_clause_marker
 
 
+def test_a_stream_is_converted(spark, tmp_path):
+    from harfgah.streaming import streams
+
+    rows = spark.createDataFrame([(1, "salam khubi"), (2, None)], "id long, text string")
+    rows.write.parquet(str(tmp_path / "in"))
+    e = Engine(Tables(frequency=FREQUENCY))
+    out = streams.transliterated(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), e, "id", "text").select("id", "result.text")
+    streams.run_once(out, str(tmp_path / "out")).awaitTermination()
+    want = {r["id"]: r["text"] for r in e.transliterate(rows, "id", "text").select("id", "result.text").collect()}
+    assert {r["id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want == {1: "سلام خوبی", 2: ""}
+
+
 def test_affixes():
     from harfgah.operators.convert import Scoring, put_together, taken_apart
     from harfgah.functions.tables import LINK

@@ -52,7 +52,7 @@ class Options:
     beam: int = 8
 
 
-@dataclass
+@dataclass(slots=True)
 class Span:
     input: str
     output: str
@@ -133,10 +133,15 @@ class Sentence:
 
     def final_he(self, spans: list[Span]) -> None:
         gain = math.exp(self.s.final_he)
-        for i, span in enumerate(spans):
+        after = "punct"
+        for span in reversed(spans):
+            last = after == "punct"
+            if span.action != "space":
+                after = span.action
+            if span.action != "convert" or not last:
+                continue
             he = [len(o) > 1 and o.endswith("ه") for o, _, _ in span.found]
-            after = next((s.action for s in spans[i + 1 :] if s.action != "space"), "punct")
-            if span.action != "convert" or all(he) or not any(he) or after != "punct":
+            if all(he) or not any(he):
                 continue
             w = [max(p, 1e-6) * (gain if h else 1.0) for (_, p, _), h in zip(span.found, he, strict=True)]
             order = sorted(range(len(w)), key=lambda k: -w[k])
@@ -201,7 +206,7 @@ class Sentence:
 
 
 def utf16(s: str) -> int:
-    return len(s.encode("utf-16-le", "surrogatepass")) // 2
+    return len(s) if s.isascii() or max(s) < "\U00010000" else len(s.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def finished(spans: list[Span], options: Options) -> dict:
@@ -263,7 +268,7 @@ def spans_of(text: str | None, converter: Converter, options: Options, force: fr
             out.append(Span(tok, normalize(tok, LOCAL_MARKS) if options.persian_punctuation else tok, "punct", at))
         else:
             out.append(Span(tok, tok, "copy", at, reason.get(i) or COPIED.get(kind, kind)))
-        at += len(tok) if tok.isascii() else utf16(tok)
+        at += utf16(tok)
     return out
 
 

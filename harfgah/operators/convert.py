@@ -9,6 +9,7 @@ import math
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from harfgah.functions.fold import ZWNJ, normalize
 from harfgah.functions.tables import ANY_VOWEL, EZAFE_HEADS, LINK, MIN_STEM, POSSESSIVE_AFTER_CONSONANT, POSSESSIVE_AFTER_VOWEL, PREFIXES, SUFFIX_AFTER_HE, SUFFIXES, TANVIN_ADVERBS, TYPED_VOWELS, WORD_EXCEPTIONS
@@ -95,6 +96,7 @@ def rounded(p: float) -> float:
     return math.floor(p * 10000 + 0.5) / 10000
 
 
+@lru_cache(100_000)
 def unstretch(word: str) -> tuple[str, str]:
     """The word without stretches, and its stretched end if it has one."""
     base = re.sub(r"([a-z])\1{2,}", lambda m: m[1] * (2 if m[1] in "ao" else 1), word)

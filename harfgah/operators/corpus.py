@@ -59,6 +59,18 @@ def pmi(pairs: DataFrame, counts: DataFrame, least: int, top: int, clip: float =
     return scored.withColumn("pmi", F.round(F.least(value, F.lit(clip)), 6)).where("pmi > 0").select("head", "tail", "n_pair", "pmi").orderBy(F.desc("n_pair"), "head", "tail").limit(top)
 
 
+def stale(rows: DataFrame, refs: DataFrame, key: str) -> DataFrame:
+    """References whose row isn't there as it was: their content hash is no row's."""
+    return refs.join(rows.select(key).distinct(), key, "left_anti")
+
+
+def attached(rows: DataFrame, refs: DataFrame, key: str, refuse: bool = False) -> DataFrame:
+    """rows with the columns of the reference of the same content hash; refuse: a stale reference is an error, not a row left out."""
+    if refuse and (n := stale(rows, refs, key).count()):
+        raise ValueError(f"{n} references are of rows that have changed")
+    return rows.join(refs, key, "left")
+
+
 def word_ids(words: DataFrame, word: str) -> DataFrame:
     """Each different word with its place in alphabetical order."""
     return indexed(words.select(F.col(word).alias("word")).distinct(), ["word"], "id")

@@ -462,13 +462,18 @@ def lexicon_build(spark: SparkSession, d: str) -> DataFrame:
     return words.where((F.col("word") != "") & ~F.col("word").rlike("[ \t\n\f\r]")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+SHA_SQL = "substr(sha256(coalesce({0}, '') || chr(9) || coalesce({1}, '')), 1, 12)"
+
+
 @query(
-    f"""with k as (select example_id, substr(sha256(coalesce(latin, '') || chr(9) || coalesce(persian, '')), 1, 12) as sha from example), r as (select sha from (select substr(sha256(coalesce(latin, '') || chr(9) || coalesce(persian, '')), 1, 12) as sha, example_id from example where split = 'test') group by sha)
-    select count(*) as n, count(r.sha) as n_attached from k left join r using (sha)"""
+    f"""with k as (select {SHA_SQL.format('latin', 'persian')} as sha from example), r as (select distinct {SHA_SQL.format("trim(latin, ' ')", "trim(persian, ' ')")} as sha from example where split = 'test')
+    select (select count(*) from k) as n, (select count(*) from k where sha in (select sha from r)) as n_attached, (select count(*) from r where sha not in (select sha from k)) as n_stale"""
 )
 def attach_reference(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that find a second reference by the hash of their content."""
-    sha = W.content_id(F.coalesce("latin", F.lit("")), F.coalesce("persian", F.lit("")))
+    """Rows that find a second reference by the hash of their content, and references of which the row has changed since: here those taken without blanks at the ends."""
+    sha = lambda a, b: W.content_id(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
     rows = table(spark, d, "example")
-    refs = rows.where("split = 'test'").select(sha.alias("sha")).distinct().withColumn("hit", F.lit(1))
-    return rows.select(sha.alias("sha")).join(refs, "sha", "left").agg(F.count("*").alias("n"), F.count("hit").alias("n_attached"))
+    refs = rows.where("split = 'test'").select(sha(F.trim("latin"), F.trim("persian")).alias("sha")).distinct()
+    keyed_rows = rows.select(sha(F.col("latin"), F.col("persian")).alias("sha"))
+    counts = C.attached(keyed_rows, refs.withColumn("hit", F.lit(1)), "sha").agg(F.count("*").alias("n"), F.count("hit").alias("n_attached"))
+    return counts.crossJoin(C.stale(keyed_rows, refs, "sha").agg(F.count("*").alias("n_stale")))

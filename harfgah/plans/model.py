@@ -115,11 +115,14 @@ def model_decode(spark: SparkSession, d: str) -> DataFrame:
     return M.decoded(T.latin_words(spark, d), "word", weights).withColumn("log_prob", F.round("log_prob", 4))
 
 
-@query(f"select typed, round(max(s) filter (where ord = 0), 6) as best, round(least(1, greatest(0, exp(max(s) filter (where ord = 0) / length(typed)))), 6) as confidence from (select *, round(ln(greatest(probability, 1e-6)), 9) as s from {D.LISTS_SQL}) where typed <> '' group by typed")
+@query(f"select typed, output, round(exp(s - max(s) over w) / sum(exp(s)) over w * exp(max(s) over w), 6) as probability, round(least(1, greatest(0, exp(max(s) over w / length(typed)))), 6) as confidence from (select *, round(ln(greatest(probability, 1e-6)), 9) as s from {D.LISTS_SQL} where typed <> '') window w as (partition by typed)")
 def hypothesis_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Confidence of the first reading, by the length of what was typed."""
-    rows = D.lists(spark, d).where("ord = 0 and typed <> ''").withColumn("s", F.round(F.log(F.greatest("probability", F.lit(1e-6))), 9))
-    return rows.select("typed", F.round("s", 6).alias("best"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(F.col("s") / F.length("typed")))), 6).alias("confidence"))
+    """Log probabilities of a word's hypotheses as shares that add up to one, and the best one's mean over the typed letters as confidence."""
+    rows = D.lists(spark, d).where("typed <> ''").withColumn("s", F.round(F.log(F.greatest("probability", F.lit(1e-6))), 9))
+    w = Window.partitionBy("typed")
+    e = F.exp(F.col("s") - F.max("s").over(w))
+    confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(F.max("s").over(w) / F.length("typed"))))
+    return rows.select("typed", "output", F.round(e / F.sum(e).over(w), 6).alias("probability"), F.round(confidence, 6).alias("confidence"))
 
 
 @query(f"select typed, output, row_number() over (partition by typed order by s desc, ord) - 1 as ord from (select *, round(ln(greatest(probability, 1e-6)), 6) + case when output in (select fa from loanwords where fa is not null) then 1.5 else 0 end as s from {D.LISTS_SQL})")

@@ -291,6 +291,15 @@ def needle_survival(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("n").cast("long").alias("n_protected"), F.size(F.filter("n", lambda x: F.contains(F.col("output"), x))).cast("long").alias("n_kept"))
 
 
+@query(f"select t.kind, count(*) as n, count(*) filter (where contains(o.output, t.tok)) as n_kept from {TOKENS_SQL} t join ({ORACLES['naive_transliterate_docs']}) o using (doc_id) where t.kind not in ('word', 'space', 'punct') group by t.kind")
+def copy_preservation(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that a conversion must copy, by kind, and how many of them the naive one leaves as they were."""
+    rows = docs(spark, d)
+    spans = K.tokens(rows, "doc_id", "text").where(~F.col("kind").isin("word", "space", "punct")).select("doc_id", "kind", "tok")
+    kept = spans.join(rows.select("doc_id", W.naive_text(F.col("text")).alias("output")), "doc_id")
+    return kept.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.contains("output", F.col("tok"))).alias("n_kept"))
+
+
 @query(
     f"""select a.id, count(*) as n_inside from (select id, {split_sql('expected')} as part from chat_test where expected is not null) a,
     (select {split_sql('expected')} as whole from chat_test where expected is not null) b

@@ -136,6 +136,14 @@ def test_artifacts_of_each_kind(spark):
         codecs.decoded(cut, "n", "d", "words").collect()
 
 
+def test_stale_references_are_refused(spark):
+    rows, refs = spark.createDataFrame([("a",), ("b",), ("b",)], "sha string"), spark.createDataFrame([("b", 1), ("c", 2)], "sha string, ref int")
+    assert sorted(tuple(r) for r in C.attached(rows, refs.where("sha = 'b'"), "sha", refuse=True).na.fill(0).collect()) == [("a", 0), ("b", 1), ("b", 1)]
+    assert [r["sha"] for r in C.stale(rows, refs, "sha").collect()] == ["c"]
+    with pytest.raises(ValueError, match="1 references"):
+        C.attached(rows, refs, "sha", refuse=True)
+
+
 def test_six_bits_and_scans(spark):
     import numpy as np
 

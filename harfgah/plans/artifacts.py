@@ -152,9 +152,11 @@ SIX_SQL = f"(select vec_id, v, list_max(list_transform(v, lambda x: abs(x))) / 3
 
 @query(f"select vec_id, array_to_string(list_transform(v, lambda x: substr('{M.SIX_BIT}', greatest(-31, least(31, round_even(x / s, 0)))::integer + 32, 1)), '') as letters, list_transform(v, lambda x: round(greatest(-31, least(31, round_even(x / s, 0))) * s, 9)) as weights from {SIX_SQL}")
 def six_bit_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Each row as six-bit codes of one letter each, and the numbers that the letters stand for."""
-    rows = model.vecs(spark, d).select("vec_id", M.row_scale(F.col("v"), 31).alias("s"), M.letters_of(M.row_codes(F.col("v"), 31)).alias("letters"))
-    return rows.select("vec_id", "letters", F.transform(M.codes_of(F.col("letters")), lambda c: F.round(c * F.col("s"), 9)).alias("weights"))
+    """Each row as six-bit codes of one letter each, and the numbers that the letters stand for; a zero has the sign of the row's number, as in the SQL."""
+    rows = model.vecs(spark, d).select("vec_id", "v", M.row_scale(F.col("v"), 31).alias("s"), M.letters_of(M.row_codes(F.col("v"), 31)).alias("letters"))
+    # neither a letter nor F.round keeps the sign of a zero
+    signed = lambda w, x: F.when((w == 0) & x.isNotNull(), 0.0 * x).otherwise(w)
+    return rows.select("vec_id", "letters", F.zip_with(M.codes_of(F.col("letters")), F.col("v"), lambda c, x: signed(F.round(c * F.col("s"), 9), x)).alias("weights"))
 
 
 @query("select fa, latin, pos, role, w::double as w from (select * from " + values_sql([(fa, "|".join(us), "|".join(pos), role, float(w)) for fa, us, pos, role, w in CORRESPONDENCES], "fa, l, p, role, w") + ") s, lateral (select string_split(l, '|') as latin, string_split(p, '|') as pos)")

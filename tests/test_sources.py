@@ -165,6 +165,20 @@ def test_six_bits_and_scans(spark):
         M.dequantised("!" + codes[1:], scales, shape, 6)
 
 
+def test_zeros_of_six_bits_have_a_sign(spark, tmp_path):
+    import duckdb
+
+    from harfgah.plans import artifacts
+
+    vecs = [[1.0, -0.001, 0.001, -1.0], [1.0, -0.0, 0.0], [1e-12, -1e-12], [31.0, 0.5, -0.5, 1.5], [1.0, None, -0.001], [1e-12, None], [], None]
+    spark.createDataFrame(list(enumerate(vecs)), "vec_id int, embedding array<float>").selectExpr("vec_id", "'a' as label", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    # as text, since -0.0 == 0.0
+    want = sorted(map(str, con.sql(artifacts.ORACLES["six_bit_codes"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in artifacts.six_bit_codes(spark, str(tmp_path)).collect()) == want and "(0, '+ffA', [1.0, -0.0, 0.0, -1.0])" in want
+
+
 def test_very_many_different_words(spark):
     from harfgah.operators import alignment as A
 
